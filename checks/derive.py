@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktrail.operators import clicks, latest, parse_lines
-from clicktrail.sources import read_logs, read_raw, read_task_log, write_logs
+from clicktrail.plans import parsed_files
+from clicktrail.sources import read_logs, write_logs
 
 REDELIVERY = 10_000_000
 
@@ -71,6 +72,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed click lines, straight from the tables and with their line numbers."""
     return parse_lines(raw_lines(spark, sf_dir))
 
 
@@ -159,6 +161,11 @@ def raw_files(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "raw", lambda path: _write_in_order(raw_lines(spark, sf_dir), path))
 
 
+def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed click lines as a load reads them from the files."""
+    return parsed_files(spark, raw_files(spark, sf_dir))
+
+
 def task_files(spark: SparkSession, sf_dir: str) -> str:
     """The task log under a folder, named as the log reader expects."""
 
@@ -172,7 +179,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored click table, loaded from the text files and written by the library."""
 
     def build(path: str) -> None:
-        write_logs(latest(clicks(parse_lines(read_raw(spark, raw_files(spark, sf_dir))))), path)
+        write_logs(latest(clicks(loaded(spark, sf_dir))), path)
 
     return read_logs(spark, _once(spark, sf_dir, "logs", build))
 
@@ -180,15 +187,3 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/clicktrail-{what}-{uuid.uuid4().hex}"
 
-
-__all__ = [
-    "new_folder",
-    "parsed",
-    "raw_files",
-    "raw_lines",
-    "read_task_log",
-    "shared_folder",
-    "stored",
-    "task_files",
-    "task_lines",
-]

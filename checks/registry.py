@@ -54,7 +54,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 START, END = "09:00:00", "18:00:00"
 COLUMNS = ", ".join(LOG_COLUMNS)
-CLICK_COLUMNS = "line_no, " + COLUMNS
 # The documented kinds of condition in one: time, users, keywords and ranges.
 CONDITION = "time:06:00:00|20:00:00 + user:user1|user2|user3|user5|user7|user9 + query:CLICK|view + rank:1-10 + click:1-5"
 CONDITION_SQL = (
@@ -101,12 +100,12 @@ def _read_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "parse_lines",
     oracle.parsed(
-        "SELECT line_no, ts_ms, access_time, user_id, query, rank, click_order, url FROM parsed WHERE reason IS NULL"
+        "SELECT ts_ms, access_time, user_id, query, rank, click_order, url FROM parsed WHERE reason IS NULL"
     ),
 )
 def _parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = derive.parsed(spark, sf_dir).where(F.col("reason").isNull())
-    return good.select("line_no", "ts_ms", "access_time", "user_id", "query", "rank", "click_order", "url")
+    good = derive.loaded(spark, sf_dir).where(F.col("reason").isNull())
+    return good.select("ts_ms", "access_time", "user_id", "query", "rank", "click_order", "url")
 
 
 @_query("rejects", oracle.parsed("SELECT line_no, line, reason FROM parsed WHERE reason IS NOT NULL"))
@@ -114,9 +113,9 @@ def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects(derive.parsed(spark, sf_dir))
 
 
-@_query("clicks", oracle.clicks(f"SELECT {CLICK_COLUMNS} FROM clicks"))
+@_query("clicks", oracle.clicks(f"SELECT {COLUMNS} FROM clicks"))
 def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clicks(derive.parsed(spark, sf_dir))
+    return clicks(derive.loaded(spark, sf_dir)).select(*LOG_COLUMNS)
 
 
 @_query(
@@ -130,12 +129,12 @@ UNION ALL SELECT 'stored', count(*) FROM stored"""
     ),
 )
 def _load_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_stats(derive.raw_lines(spark, sf_dir), derive.stored(spark, sf_dir))
+    return load_stats(read_raw(spark, derive.raw_files(spark, sf_dir)), derive.stored(spark, sf_dir))
 
 
 @_query("upsert_one_load", oracle.stored(f"SELECT {COLUMNS} FROM stored"))
 def _upsert_one_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(clicks(derive.parsed(spark, sf_dir)), "line_no")
+    return latest(clicks(derive.loaded(spark, sf_dir)))
 
 
 @_query("upsert_second_load", oracle.stored(f"SELECT {COLUMNS} FROM stored"))
@@ -157,7 +156,7 @@ domain, CAST(NULL AS VARCHAR[]) AS tokens FROM clicks"""
     ),
 )
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_documents(clicks(derive.parsed(spark, sf_dir)))
+    return to_documents(clicks(derive.loaded(spark, sf_dir)))
 
 
 # --- Column functions --------------------------------------------------------------------------
@@ -173,17 +172,20 @@ def _extract_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", extract_domain("url").alias("domain"))
 
 
-@_query("user_salt", oracle.clicks("SELECT line_no, user_id, hash, salt FROM clicks"))
+@_query("user_salt", oracle.clicks("SELECT user_id, hash, salt FROM clicks"))
 def _user_salt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = derive.parsed(spark, sf_dir).where(F.col("reason").isNull())
-    return good.select("line_no", "user_id", java_hash("user_id").alias("hash"), salt("user_id").alias("salt"))
+    good = derive.loaded(spark, sf_dir).where(F.col("reason").isNull())
+    return good.select("user_id", java_hash("user_id").alias("hash"), salt("user_id").alias("salt"))
 
 
-@_query("row_keys", oracle.clicks("SELECT line_no, reverse_ts, row_key FROM clicks"))
+@_query("row_keys", oracle.stored("SELECT reverse_ts, row_key FROM clicks"))
 def _row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = clicks(derive.parsed(spark, sf_dir))
-    key = row_key(salt("user_id"), "ts_ms", "user_id", "domain")
-    return keyed.select("line_no", reverse_ts("ts_ms").alias("reverse_ts"), key.alias("row_key"))
+    # Keys built again from the parts of every click.
+    good = derive.loaded(spark, sf_dir).where(F.col("reason").isNull())
+    parts = good.select("ts_ms", "user_id", salt("user_id").alias("salt"), extract_domain("url").alias("domain"))
+    return parts.select(
+        reverse_ts("ts_ms").alias("reverse_ts"), row_key("salt", "ts_ms", "user_id", "domain").alias("row_key")
+    )
 
 
 @_query(

@@ -25,8 +25,7 @@ def java_hash(value: Column | str) -> Column:
     ``split`` by the empty pattern yields characters; one beyond U+FFFF counts as its two surrogates.
     """
 
-    def step(h: Column, char: Column) -> Column:
-        point = F.ascii(char).cast("bigint")
+    def step(h: Column, point: Column) -> Column:
         beyond = point - 0x10000
         high = F.shiftright(beyond, 10) + 0xD800
         low = beyond.bitwiseAND(F.lit(0x3FF).cast("bigint")) + 0xDC00
@@ -35,7 +34,8 @@ def java_hash(value: Column | str) -> Column:
     def signed(h: Column) -> Column:
         return F.when(h > 0x7FFFFFFF, h - (_WORD + 1)).otherwise(h)
 
-    return F.aggregate(F.split(as_column(value), ""), F.lit(0).cast("bigint"), step, signed)
+    points = F.transform(F.split(as_column(value), ""), lambda char: F.ascii(char).cast("bigint"))
+    return F.aggregate(points, F.lit(0).cast("bigint"), step, signed)
 
 
 def salt(user_id: Column | str) -> Column:

@@ -24,7 +24,11 @@ def extract_domain(url: Column | str) -> Column:
     with_scheme = F.when(F.contains(c, F.lit("://")), c).otherwise(F.concat(F.lit("http://"), c))
     host = F.coalesce(
         F.try_parse_url(with_scheme, F.lit("HOST")),
-        F.regexp_extract(raw, HOST_GUESS, 1),
+        F.regexp_extract(F.when(c == "", "").otherwise(raw), HOST_GUESS, 1),
     )
-    label = F.regexp_replace(host, SECOND_LAST_LABEL, "$1")
-    return F.when(raw.isNull() | (c == ""), "").otherwise(label)
+    # Without a dot at the end, which is nearly always, two cuts do what the pattern does. The host stands
+    # in the first test, outside any branch, so that generated code computes it once.
+    label = F.when(
+        ~F.endswith(host, F.lit(".")), F.substring_index(F.substring_index(host, ".", -2), ".", 1)
+    ).otherwise(F.regexp_replace(host, SECOND_LAST_LABEL, "$1"))
+    return F.coalesce(label, F.lit(""))
