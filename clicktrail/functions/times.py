@@ -13,8 +13,8 @@ from clicktrail.schema import DAY_MS, LONG_MAX, LONG_MIN
 # Three integers between colons; colons at the end carry nothing. Any size and sign is let through,
 # so 25:99:99 is a time.
 THREE_INTEGERS = r"^[+-]?[0-9]+:[+-]?[0-9]+:[+-]?[0-9]+:*\z"
-# A clock time of HH:mm:ss, with 24:00:00 as another name of midnight.
-CLOCK_TIME = r"^(?:(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]|24:00:00)\z"
+# A clock time of HH:mm:ss, blanks around it allowed, with 24:00:00 as another name of midnight.
+CLOCK_TIME = r"^[\x00-\x20]*(?:(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]|24:00:00)[\x00-\x20]*\z"
 
 _LOOSE = re.compile(r"([+-]?[0-9]+):([+-]?[0-9]+):([+-]?[0-9]+):*")
 _CLOCK = re.compile(CLOCK_TIME.replace(r"\z", r"\Z"))
@@ -67,11 +67,18 @@ def clock_bound(text: str) -> str | None:
     return "00:00:00" if text == "24:00:00" else text
 
 
+def is_clock_time(value: Column | str) -> Column:
+    """True for strict HH:mm:ss texts."""
+    return as_column(value).rlike(CLOCK_TIME)
+
+
 def in_time_window(value: Column | str, start: str, end: str) -> Column:
     """True for strict clock times within [start, end]; false for other texts and bad bounds."""
     low, high = clock_bound(start), clock_bound(end)
     if low is None or high is None:
         return F.lit(False)
     c = trim_control(value)
-    clock = F.when(c == "24:00:00", "00:00:00").otherwise(c)
-    return F.coalesce(c.rlike(CLOCK_TIME) & clock.between(low, high), F.lit(False))
+    inside = c.between(low, high)
+    if low == "00:00:00":
+        inside = inside | (c == "24:00:00")
+    return F.coalesce(is_clock_time(c) & inside, F.lit(False))

@@ -13,8 +13,9 @@ from clicktrail.functions.keys import salt_of, salt_of_key
 from clicktrail.functions.times import bound_to_ms
 from clicktrail.schema import SALT_BUCKETS
 
-# A key list is held by the driver, so it is small; up to this many keys it is surely safe to broadcast.
-BROADCAST_KEYS = 10_000
+# A key list comes from the driver. Up to this many keys it is broadcast and also tested at the scan;
+# longer lists join as any table does, by size.
+LISTED_KEYS = 1_000
 
 
 def scan_time_range(logs: DataFrame, start: str, end: str) -> DataFrame:
@@ -38,16 +39,17 @@ def get_by_key(logs: DataFrame, key: str) -> DataFrame:
 def get_by_keys(logs: DataFrame, keys: Sequence[str] | DataFrame) -> DataFrame:
     """Clicks of many keys, in the order of the keys; keys without a row drop out.
 
-    ``keys`` is a list, or a DataFrame of (pos, row_key) of any size. The salt in the keys joins too, so
-    that with a small key side the scan skips partitions at run time.
+    ``keys`` is a list, or a DataFrame of (pos, row_key) of any size.
     """
     if isinstance(keys, DataFrame):
         wanted = keys.select("pos", "row_key")
     else:
         rows = list(enumerate(keys))
         wanted = logs.sparkSession.createDataFrame(rows, "pos bigint, row_key string")
-        if len(rows) <= BROADCAST_KEYS:
+        if len(rows) <= LISTED_KEYS:
             wanted = F.broadcast(wanted)
+            numbers = sorted({_salt_literal(k) for k in keys} - {None})
+            logs = logs.where(F.col("salt").isin(numbers) & F.col("row_key").isin(list(keys)))
     wanted = wanted.withColumn("salt", salt_of_key("row_key"))
     return logs.join(wanted, ["salt", "row_key"]).orderBy("pos").select(*logs.columns)
 

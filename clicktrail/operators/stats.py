@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clicktrail.functions.times import bound_to_ms, clock_bound, in_time_window
+from clicktrail.functions.times import bound_to_ms, clock_bound, is_clock_time
 from clicktrail.schema import DAY_MS
 
 TOP = 20
@@ -18,19 +18,16 @@ TOP = 20
 def in_window(logs: DataFrame, start: str, end: str) -> DataFrame:
     """Clicks whose stored time is a strict clock time within [start, end].
 
-    The strict test cannot reach the scan. The range of ``ts_ms`` that it implies can, and lets the reader
-    skip row groups; 24:00:00 counts as midnight.
+    A strict time and its ``ts_ms`` say the same, so the range test is on ``ts_ms``: it reaches the scan,
+    where footers rule out row groups, and the text is only looked at for the rows left. 24:00:00 is midnight.
     """
     low, high = clock_bound(start), clock_bound(end)
     if low is None or high is None:
         return logs.where(F.lit(False))
-    strict = logs.where(in_time_window("access_time", low, high))
-    if "ts_ms" not in logs.columns:
-        return strict
-    span = F.col("ts_ms").between(bound_to_ms(low), bound_to_ms(high))
+    inside = F.col("ts_ms").between(bound_to_ms(low), bound_to_ms(high))
     if low == "00:00:00":
-        span = span | (F.col("ts_ms") == DAY_MS)
-    return strict.where(span)
+        inside = inside | (F.col("ts_ms") == DAY_MS)
+    return logs.where(inside & is_clock_time("access_time"))
 
 
 def _counts(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -120,20 +117,22 @@ def facet(counts: DataFrame, key: str, name: str) -> DataFrame:
     return counts.where(F.col("facet") == key).select(key, F.col("n").alias(name))
 
 
+def _total() -> Column:
+    # Every facet adds up to all searches; domain has few rows.
+    of_domains = F.sum(F.when(F.col("facet") == "domain", F.col("n")))
+    return F.coalesce(of_domains, F.lit(0).cast("bigint")).alias("total_searches")
+
+
 def total_of_facets(counts: DataFrame) -> DataFrame:
-    """All searches; every facet adds up to them, domain is a small one."""
-    total = F.coalesce(F.sum(F.when(F.col("facet") == "domain", F.col("n"))), F.lit(0).cast("bigint"))
-    return counts.agg(total.alias("total_searches"))
+    return counts.agg(_total())
 
 
 def summary_of_facets(counts: DataFrame, start: str, end: str) -> DataFrame:
-    total = F.coalesce(F.sum(F.when(F.col("facet") == "domain", F.col("n"))), F.lit(0).cast("bigint"))
-
     def distinct(key: str) -> Column:
         return F.count(F.when(F.col("facet") == key, F.col(key)))
 
     return counts.agg(
-        total.alias("total_searches"),
+        _total(),
         distinct("user_id").alias("unique_users"),
         distinct("query").alias("unique_queries"),
         distinct("domain").alias("unique_domains"),
