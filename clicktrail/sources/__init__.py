@@ -8,7 +8,6 @@ from clicktrail.sources.tables import (
     key_ordered,
     read_logs,
     register,
-    replace_table,
     table_logs,
     to_documents,
     upsert_table,
@@ -25,7 +24,6 @@ __all__ = [
     "read_raw",
     "read_task_log",
     "register",
-    "replace_table",
     "table_logs",
     "to_documents",
     "upsert_table",

@@ -7,6 +7,8 @@ import codecs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clicktrail.sources.settings import settings
+
 # Charsets whose line breaks are not the single bytes CR and LF, so files cannot be split by them.
 _WIDE = ("utf-16", "utf-16-be", "utf-16-le", "utf-32", "utf-32-be", "utf-32-le")
 
@@ -34,23 +36,6 @@ def read_raw(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8"
     )
     if name == "utf-8":
         return lines.select(F.make_valid_utf8("value").alias("line"), "load_seq")
-    with _java_charsets(spark):
+    # Both settings are taken up when the expression is built.
+    with settings(spark, legacy__javaCharsets="true", legacy__codingErrorAction="true"):
         return lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("line"), "load_seq")
-
-
-class _java_charsets:
-    """All JVM charsets for the expressions built inside the block; the settings are put back after."""
-
-    _KEYS = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
-
-    def __init__(self, spark: SparkSession):
-        self._conf = spark.conf
-
-    def __enter__(self) -> None:
-        self._before = {k: self._conf.get(k) for k in self._KEYS}
-        for k in self._KEYS:
-            self._conf.set(k, "true")
-
-    def __exit__(self, *_: object) -> None:
-        for k, v in self._before.items():
-            self._conf.set(k, v)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.operators.merge import latest, upsert
+from clicktrail.operators.merge import upsert
 from clicktrail.schema import LOG_COLUMNS, LOGS
+from clicktrail.sources.settings import settings
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -51,8 +52,8 @@ def table_logs(spark: SparkSession, name: str) -> DataFrame:
 def upsert_table(spark: SparkSession, name: str, new: DataFrame, order: str = "load_seq") -> None:
     """Upsert parsed clicks into a catalog table; only the salts that ``new`` holds are rewritten.
 
-    Dynamic partition overwrite stages the new files and swaps partitions when the job commits, so the
-    statement may read the partitions it replaces, and a failed job leaves the table as it was.
+    Dynamic partition overwrite stages the new files beside the table and swaps partitions at the commit,
+    so the job may read the partitions it replaces, and lost tasks or executors leave no trace.
     """
     create_table(spark, name)
     # At most 16 numbers reach the driver.
@@ -61,19 +62,8 @@ def upsert_table(spark: SparkSession, name: str, new: DataFrame, order: str = "l
         return
     stored = table_logs(spark, name).where(F.col("salt").isin(touched))
     merged = key_ordered(upsert(stored, new, order))
-    (
-        merged.select(*spark.table(name).columns)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .insertInto(name)
-    )
-
-
-def replace_table(spark: SparkSession, name: str, new: DataFrame, order: str = "load_seq") -> None:
-    """First load into an empty table: no stored side to merge."""
-    create_table(spark, name)
-    rows = key_ordered(latest(new, order)).select(*spark.table(name).columns)
-    rows.write.mode("overwrite").insertInto(name)
+    with settings(spark, sources__partitionOverwriteMode="dynamic"):
+        merged.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
 
 
 def register(df: DataFrame, name: str = "search_logs") -> None:
