@@ -152,25 +152,29 @@ def _once(spark: SparkSession, sf_dir: str, what: str, build) -> str:
     return _built[key]
 
 
-def _write_in_order(lines: DataFrame, path: str) -> None:
-    lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.text(path)
+def raw_files(spark: SparkSession, sf_dir: str, delivery: int | None = None) -> str:
+    """The click lines as text files in line order; all of them, or those of one delivery."""
 
+    def build(path: str) -> None:
+        ordered = raw_lines(spark, sf_dir).repartitionByRange("line_no").sortWithinPartitions("line_no")
+        numbered = ordered.select("line", F.when(F.col("line_no") < REDELIVERY, 1).otherwise(2).alias("delivery"))
+        numbered.write.partitionBy("delivery").text(path)
 
-def raw_files(spark: SparkSession, sf_dir: str) -> str:
-    """The click lines as text files, in line order."""
-    return _once(spark, sf_dir, "raw", lambda path: _write_in_order(raw_lines(spark, sf_dir), path))
+    path = _once(spark, sf_dir, "raw", build)
+    return path if delivery is None else f"{path}/delivery={delivery}"
 
 
-def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def loaded(spark: SparkSession, sf_dir: str, delivery: int | None = None) -> DataFrame:
     """Parsed click lines as a load reads them from the files."""
-    return parsed_files(spark, raw_files(spark, sf_dir))
+    return parsed_files(spark, raw_files(spark, sf_dir, delivery))
 
 
 def task_files(spark: SparkSession, sf_dir: str) -> str:
     """The task log under a folder, named as the log reader expects."""
 
     def build(path: str) -> None:
-        _write_in_order(task_lines(spark, sf_dir), f"{path}/tasks_all.log")
+        ordered = task_lines(spark, sf_dir).repartitionByRange("line_no").sortWithinPartitions("line_no")
+        ordered.select("line").write.text(f"{path}/tasks_all.log")
 
     return _once(spark, sf_dir, "tasks", build)
 

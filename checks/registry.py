@@ -25,7 +25,6 @@ from clicktrail.operators import (
     page,
     page_after,
     page_info,
-    parse_lines,
     parse_task_log,
     rank_distribution,
     recent_operations,
@@ -139,10 +138,8 @@ def _upsert_one_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("upsert_second_load", oracle.stored(f"SELECT {COLUMNS} FROM stored"))
 def _upsert_second_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The first deliveries are the table and the second ones come in: a split of the lines, not a subset.
-    arrived = clicks(derive.parsed(spark, sf_dir))
-    again = F.col("line_no") >= derive.REDELIVERY
-    return upsert(latest(arrived.where(~again), "line_no"), arrived.where(again), "line_no")
+    first = latest(clicks(derive.loaded(spark, sf_dir, delivery=1)))
+    return upsert(first, clicks(derive.loaded(spark, sf_dir, delivery=2)))
 
 
 _on_logs("stored_table", lambda logs: logs, oracle.stored(f"SELECT {COLUMNS} FROM stored"))
@@ -487,14 +484,18 @@ _on_window(
 RECORD = "ts, task_id, status, type, details"
 
 
-@_query("read_task_log", oracle.tasks(f"SELECT {RECORD} FROM records"))
+def _task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_task_log(spark, derive.task_files(spark, sf_dir))
+
+
+@_query("read_task_log", oracle.tasks("SELECT line FROM task_lines"))
 def _read_task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_task_log(read_task_log(spark, derive.task_files(spark, sf_dir))).drop("load_seq")
+    return _task_log(spark, sf_dir).select("line")
 
 
-@_query("task_records", oracle.tasks(f"SELECT line_no, {RECORD} FROM records"))
+@_query("task_records", oracle.tasks(f"SELECT {RECORD} FROM records"))
 def _task_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_task_log(derive.task_lines(spark, sf_dir))
+    return parse_task_log(_task_log(spark, sf_dir)).drop("load_seq")
 
 
 @_query(
@@ -507,7 +508,7 @@ FROM records WHERE status = 'START'
     ),
 )
 def _incomplete_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incomplete_tasks(parse_task_log(derive.task_lines(spark, sf_dir)), "line_no")
+    return incomplete_tasks(parse_task_log(_task_log(spark, sf_dir)))
 
 
 @_query(
@@ -518,40 +519,40 @@ WHERE status = 'START' AND task_id = (SELECT max(task_id) FROM records) ORDER BY
     ),
 )
 def _task_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = parse_task_log(derive.task_lines(spark, sf_dir))
-    return task_info(records, records.agg(F.max("task_id")).first()[0], "line_no")
+    records = parse_task_log(_task_log(spark, sf_dir))
+    return task_info(records, records.agg(F.max("task_id")).first()[0])
 
 
 @_query(
     "recent_operations",
     oracle.tasks(
-        f"""SELECT line_no, {RECORD} FROM records WHERE line_no IN
+        f"""SELECT {RECORD} FROM records WHERE line_no IN
 (SELECT line_no FROM task_lines ORDER BY string_split(line, '|')[1] DESC, line_no LIMIT 10)"""
     ),
 )
 def _recent_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recent_operations(derive.task_lines(spark, sf_dir), order="line_no")
+    return recent_operations(_task_log(spark, sf_dir)).drop("load_seq")
 
 
 @_query(
     "task_parameters",
     oracle.tasks(
-        r"""SELECT line_no, CASE WHEN type = 'DATA_LOAD' THEN regexp_extract(details, 'file=([^,]*)', 1) END AS file,
+        r"""SELECT task_id, CASE WHEN type = 'DATA_LOAD' THEN regexp_extract(details, 'file=([^,]*)', 1) END AS file,
   CASE WHEN type = 'DATA_LOAD' THEN regexp_extract(details, 'batch=([^,]*)', 1) END AS batch,
   CASE WHEN type = 'SPARK_ANALYSIS' THEN regexp_extract(details, ', start = ([0-9:]*)', 1) END AS start,
   CASE type WHEN 'DATA_LOAD' THEN 4 WHEN 'CLEAN_TABLE' THEN 0 ELSE 2 END AS n FROM records WHERE status = 'START'"""
     ),
 )
 def _task_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = parse_task_log(derive.task_lines(spark, sf_dir)).where(F.col("status") == "START")
-    mapped = starts.select("line_no", params_to_map("details").alias("p"))
-    names = ("file", "batch", "start")
-    return mapped.select("line_no", *(F.try_element_at("p", F.lit(n)).alias(n) for n in names), F.size("p").alias("n"))
+    starts = parse_task_log(_task_log(spark, sf_dir)).where(F.col("status") == "START")
+    given = starts.select("task_id", params_to_map("details").alias("p"))
+    values = (F.try_element_at("p", F.lit(name)).alias(name) for name in ("file", "batch", "start"))
+    return given.select("task_id", *values, F.size("p").alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From raw lines to the hot queries of a window in one plan."""
-    stored = latest(clicks(parse_lines(derive.raw_lines(spark, sf_dir))), "line_no")
+    """From log files to the hot queries of a window in one plan."""
+    stored = latest(clicks(derive.loaded(spark, sf_dir)))
     return top_queries(in_window(stored, START, END))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clicktrail.functions.text import as_column, trim_control
+from clicktrail.functions.text import CONTROL_AND_BLANK, as_column
 
 
 def params_to_map(value: Column | str) -> Column:
@@ -18,12 +18,20 @@ def params_to_map(value: Column | str) -> Column:
     pairs = F.transform(
         items,
         lambda i: F.struct(
-            trim_control(F.substring_index(i, "=", 1)).alias("name"),
-            trim_control(F.substr(i, F.instr(i, "=") + 1)).alias("value"),
+            F.btrim(F.substring_index(i, "=", 1), F.lit(CONTROL_AND_BLANK)).alias("name"),
+            F.btrim(F.substr(i, F.instr(i, "=") + 1), F.lit(CONTROL_AND_BLANK)).alias("value"),
         ),
     )
-    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
-    return F.map_from_arrays(
-        names,
-        F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["name"] == n), -1)["value"]),
+    # Going through an array of one gives the pairs a name, so they are computed once.
+    return F.get(F.transform(F.array(pairs), _to_map), F.lit(0))
+
+
+def _to_map(pairs: Column) -> Column:
+    names = F.array_distinct(pairs["name"])
+
+    def last(name: Column) -> Column:
+        return F.element_at(F.filter(pairs, lambda p: p["name"] == name), -1)["value"]
+
+    return F.when(F.size(names) == F.size(pairs), F.map_from_arrays(pairs["name"], pairs["value"])).otherwise(
+        F.map_from_arrays(names, F.transform(names, last))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.operators.merge import upsert
+from clicktrail.operators.merge import latest, upsert
 from clicktrail.schema import LOG_COLUMNS, LOGS
 from clicktrail.sources.settings import settings
 
@@ -56,12 +56,16 @@ def upsert_table(spark: SparkSession, name: str, new: DataFrame, order: str = "l
     so the job may read the partitions it replaces, and lost tasks or executors leave no trace.
     """
     create_table(spark, name)
-    # At most 16 numbers reach the driver.
-    touched = [r[0] for r in new.select("salt").distinct().collect()]
-    if not touched:
-        return
-    stored = table_logs(spark, name).where(F.col("salt").isin(touched))
-    merged = key_ordered(upsert(stored, new, order))
+    stored = table_logs(spark, name)
+    if stored.isEmpty():
+        merged = latest(new, order)
+    else:
+        # At most 16 numbers reach the driver.
+        touched = [r[0] for r in new.select("salt").distinct().collect()]
+        if not touched:
+            return
+        merged = upsert(stored.where(F.col("salt").isin(touched)), new, order)
+    merged = key_ordered(merged)
     with settings(spark, sources__partitionOverwriteMode="dynamic"):
         merged.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
 
