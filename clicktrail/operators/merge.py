@@ -7,26 +7,53 @@ from pyspark.sql import functions as F
 
 from clicktrail.schema import LOG_COLUMNS
 
-CELLS = [c for c in LOG_COLUMNS if c not in ("row_key", "salt")]
+KEY = ("salt", "row_key")
+CELLS = [c for c in LOG_COLUMNS if c not in KEY]
 
 
-def _last_per_key(df: DataFrame, order: str) -> DataFrame:
-    # max_by is combined before the shuffle, so a key that repeats without end sends one row per task.
+def _last_per_key(rows: DataFrame, order: str) -> DataFrame:
     last = F.max_by(F.struct(*CELLS), order).alias("last")
-    return df.groupBy("row_key", "salt").agg(last).select("row_key", "salt", "last.*").select(*LOG_COLUMNS)
+    return rows.groupBy(*KEY).agg(last).select(*KEY, "last.*").select(*LOG_COLUMNS)
 
 
 def latest(new: DataFrame, order: str = "load_seq") -> DataFrame:
-    """One row per row key, the one with the greatest ``order`` value."""
+    """One row per row key, the one with the greatest ``order`` value.
+
+    Combined before the shuffle: a key that repeats without end sends one row per task.
+    """
     return _last_per_key(new, order)
 
 
+def _both(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """Stored and new rows, no more than two per key, marked with their turn."""
+    stored = existing.select(*LOG_COLUMNS, F.lit(0).alias("turn"))
+    return stored.unionByName(latest(new, order).withColumn("turn", F.lit(1)))
+
+
 def upsert(existing: DataFrame, new: DataFrame, order: str = "load_seq") -> DataFrame:
     """``existing`` with the rows of ``new`` added; a row of ``new`` replaces the one with its key.
 
-    ``order`` is a column of ``new``, unique within it. Stored rows precede all of it: null sorts first.
+    ``order`` is a column of ``new``, unique within it. Stored rows precede all of it.
+    """
+    return _last_per_key(_both(existing, new, order), "turn")
+
+
+def key_ordered(rows: DataFrame) -> DataFrame:
+    """Lay rows out for writing: ranges of the row key, sorted within each task.
+
+    A task then writes to one or two salts only, a file covers a short span of time of day (so footer
+    statistics prune on row_key, ts_ms and access_time) and a user with a large share of all rows is cut
+    into several ranges, as the key also holds the time. The number of files follows
+    ``spark.sql.shuffle.partitions``, merged by adaptive execution where small.
+    """
+    return rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+
+
+def upsert_key_ordered(existing: DataFrame, new: DataFrame, order: str = "load_seq") -> DataFrame:
+    """``upsert``, laid out for writing, with a single shuffle of the stored rows.
+
+    Rows are brought into key ranges before they are merged. Equal keys share a range, so the merge needs
+    no exchange of its own, and its sort is already the one the files want.
     """
-    kind = new.schema[order].dataType
-    stored = existing.select(*LOG_COLUMNS, F.struct(F.lit(0).alias("turn"), F.lit(None).cast(kind).alias("seq")).alias("at"))
-    incoming = new.select(*LOG_COLUMNS, F.struct(F.lit(1).alias("turn"), F.col(order).alias("seq")).alias("at"))
-    return _last_per_key(stored.unionByName(incoming), "at")
+    ranged = _both(existing, new, order).repartitionByRange(*KEY)
+    return _last_per_key(ranged, "turn").sortWithinPartitions(*KEY)

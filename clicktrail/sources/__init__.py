@@ -5,7 +5,6 @@ from clicktrail.sources.tables import (
     append_documents,
     clear_table,
     create_table,
-    key_ordered,
     read_logs,
     register,
     table_logs,
@@ -19,7 +18,6 @@ __all__ = [
     "append_documents",
     "clear_table",
     "create_table",
-    "key_ordered",
     "read_logs",
     "read_raw",
     "read_task_log",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.operators.merge import latest, upsert
+from clicktrail.operators.merge import key_ordered, latest, upsert_key_ordered
 from clicktrail.schema import LOG_COLUMNS, LOGS
 from clicktrail.sources.settings import settings
 
@@ -15,20 +15,9 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOGS).parquet(path).select(*LOG_COLUMNS)
 
 
-def key_ordered(df: DataFrame) -> DataFrame:
-    """Lay rows out for writing: ranges of the row key, sorted within each task.
-
-    A task then writes to one or two salts only, a file covers a short span of time of day (so footer
-    statistics prune on row_key, ts_ms and access_time) and a user with a large share of all rows is cut
-    into several ranges, as the key also holds the time. The number of files follows
-    ``spark.sql.shuffle.partitions``, merged by adaptive execution where small.
-    """
-    return df.select(*LOG_COLUMNS).repartitionByRange("salt", "row_key").sortWithinPartitions("salt", "row_key")
-
-
 def write_logs(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write clicks that are unique by row key to a path."""
-    key_ordered(df).write.mode(mode).partitionBy("salt").parquet(path)
+    key_ordered(df.select(*LOG_COLUMNS)).write.mode(mode).partitionBy("salt").parquet(path)
 
 
 def create_table(spark: SparkSession, name: str) -> None:
@@ -58,14 +47,13 @@ def upsert_table(spark: SparkSession, name: str, new: DataFrame, order: str = "l
     create_table(spark, name)
     stored = table_logs(spark, name)
     if stored.isEmpty():
-        merged = latest(new, order)
+        merged = key_ordered(latest(new, order))
     else:
         # At most 16 numbers reach the driver.
         touched = [r[0] for r in new.select("salt").distinct().collect()]
         if not touched:
             return
-        merged = upsert(stored.where(F.col("salt").isin(touched)), new, order)
-    merged = key_ordered(merged)
+        merged = upsert_key_ordered(stored.where(F.col("salt").isin(touched)), new, order)
     with settings(spark, sources__partitionOverwriteMode="dynamic"):
         merged.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
 

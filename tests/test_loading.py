@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clicktrail.operators import clicks, latest, load_stats, parse_lines, rejects, upsert
+from clicktrail.operators.merge import upsert_key_ordered
 from clicktrail.plans import load_documents, load_files
 from clicktrail.schema import LOG_COLUMNS, LOGS
 from clicktrail.sources import (
@@ -153,10 +154,20 @@ def test_upsert_combines_a_hot_key_before_the_shuffle(spark):
     result = latest(clicks(parse_lines(raw)), "line_no")
     assert [(r["rank"], r.user_id) for r in result.collect()] == [(n - 1, "u")]
     plan = result._jdf.queryExecution().executedPlan().toString()
-    combined, shuffled = plan.index("partial_max_by"), plan.index("Exchange hashpartitioning(row_key")
+    combined, shuffled = plan.index("partial_max_by"), plan.index("Exchange hashpartitioning(salt")
     assert shuffled < combined  # a plan prints its inputs below
 
 
+def test_merge_for_writing_shuffles_stored_rows_once(spark, logs):
+    new = some_clicks(spark, GOOD, line(user="nobody"), line(user="nobody", numbers="4 4"))
+    merged = upsert_key_ordered(logs, new, "line_no")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning(salt") == 1
+    assert plan.count("Exchange hashpartitioning(salt") == 1  # of the new rows
+    assert plan.index("Exchange rangepartitioning") < plan.index("Exchange hashpartitioning")
+    assert sorted(merged.collect()) == sorted(upsert(logs, new, "line_no").collect())
+
+
 # --- Files -------------------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 """Conditions, searches, lookups by key and saved results."""
 
+import importlib
 import math
 
 import pytest
@@ -177,6 +178,15 @@ def test_pages_join_up_to_the_whole(logs):
         page(found, 0)
 
 
+def test_deep_pages(logs, logs_list, monkeypatch):
+    module = importlib.import_module("clicktrail.operators.search")
+    keys = sorted(r.row_key for r in logs_list)
+    monkeypatch.setattr(module, "SORTED_SKIP", -1)
+    for number in (1, 4, 7, len(keys) // 50, len(keys) // 50 + 1, len(keys) // 50 + 2):
+        expected = keys[(number - 1) * 50 : number * 50]
+        assert [r.row_key for r in page(logs, number, 50).collect()] == expected
+
+
 # --- Keys --------------------------------------------------------------------------------------
 
 
