@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clicktrail.functions.times import bound_to_ms, clock_bound, is_clock_time
+from clicktrail.functions.times import bound_to_ms, clock_bound, in_time_window, is_clock_time
 from clicktrail.schema import DAY_MS
 
 TOP = 20
@@ -24,6 +24,8 @@ def in_window(logs: DataFrame, start: str, end: str) -> DataFrame:
     low, high = clock_bound(start), clock_bound(end)
     if low is None or high is None:
         return logs.where(F.lit(False))
+    if "ts_ms" not in logs.columns:
+        return logs.where(in_time_window("access_time", low, high))
     inside = F.col("ts_ms").between(bound_to_ms(low), bound_to_ms(high))
     if low == "00:00:00":
         inside = inside | (F.col("ts_ms") == DAY_MS)

@@ -17,7 +17,7 @@ def parse_task_log(lines: DataFrame) -> DataFrame:
     Four parts have empty details; fewer make no record. Pipes in the details stay.
     """
     carried = [c for c in lines.columns if c != "line"]
-    parts = lines.select(*carried, F.split("line", "[|]", 5).alias("p")).where(F.size("p") >= 4)
+    parts = lines.select(*carried, F.split("line", r"\|", 5).alias("p")).where(F.size("p") >= 4)
     fields = (F.coalesce(F.get("p", F.lit(i)), F.lit("")).alias(f.name) for i, f in enumerate(TASK_LOG))
     return parts.select(*carried, *fields)
 

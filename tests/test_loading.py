@@ -1,12 +1,14 @@
 """Reading, parsing, upserting and writing."""
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, given
+from hypothesis import settings as examples
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from clicktrail.functions import row_key, salt
 from clicktrail.operators import clicks, latest, load_stats, parse_lines, rejects, upsert
-from clicktrail.operators.merge import upsert_key_ordered
+from clicktrail.operators.merge import key_ordered, upsert_key_ordered
 from clicktrail.plans import load_documents, load_files
 from clicktrail.schema import LOG_COLUMNS, LOGS
 from clicktrail.sources import (
@@ -19,6 +21,7 @@ from clicktrail.sources import (
     upsert_table,
     write_logs,
 )
+from clicktrail.sources.settings import settings
 
 GOOD = "00:00:01\tuser1\t[旅游]\t1 1\thttp://www.acme.com/travel"
 
@@ -109,7 +112,7 @@ LINES = st.lists(
 )
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@examples(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(LINES)
 def test_counters_add_up_and_later_lines_win(spark, texts):
     raw = spark.createDataFrame(list(enumerate(texts)), "line_no int, line string")
@@ -168,6 +171,24 @@ def test_merge_for_writing_shuffles_stored_rows_once(spark, logs):
     assert sorted(merged.collect()) == sorted(upsert(logs, new, "line_no").collect())
 
 
+def test_a_hot_user_is_spread_over_the_written_ranges(spark):
+    # A third of all rows is by one user, so in one salt.
+    rows = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), "id")).alias("user_id"),
+        (F.col("id") % 86_400 * 1000).alias("ts_ms"),
+        F.lit("acme").alias("domain"),
+    )
+    keyed = rows.withColumn("salt", salt("user_id")).withColumn("row_key", row_key("salt", "ts_ms", "user_id", "domain"))
+    with settings(spark, adaptive__coalescePartitions__enabled="false", shuffle__partitions="32"):
+        parts = key_ordered(keyed).groupBy(F.spark_partition_id().alias("p")).agg(
+            F.count("*").alias("n"), F.count_if(F.col("user_id") == "hot").alias("hot"), F.count_distinct("salt").alias("salts")
+        )
+        sizes = parts.collect()
+    assert max(r.n for r in sizes) < 2.5 * 60_000 / 32
+    assert sum(r.hot > 0 for r in sizes) >= 8
+    assert max(r.salts for r in sizes) <= 3
+
+
 # --- Files -------------------------------------------------------------------------------------
 
 

@@ -51,7 +51,9 @@ def test_window_is_strict_and_knows_midnight(spark, logs):
     df = spark.createDataFrame(list(zip(times, ms)), "access_time string, ts_ms bigint")
 
     def found(start, end):
-        return {r.access_time for r in in_window(df, start, end).collect()}
+        by_ms = {r.access_time for r in in_window(df, start, end).collect()}
+        assert {r.access_time for r in in_window(df.drop("ts_ms"), start, end).collect()} == by_ms
+        return by_ms
 
     assert found("00:00:00", "23:59:59") == {"24:00:00", "00:00:00", "01:00:00"}
     assert found("00:30:00", "23:59:59") == {"01:00:00"}
