@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clicktrail.llm import packing, sharding
+from clicktrail.llm import bpe, packing, quality, secrets, sharding, toxicity, urls
 
 TOKENIZER = {
     "path": public_tokenizers.path("byte_bpe_50k.json"),
@@ -16,10 +19,67 @@ TOKENIZER = {
 }
 
 
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package, wherever the driver was started."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*filter(None, known), root])
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+]
+
+
+QUALITY_CUT = 0.3
+
+
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
+    return found.select(
+        "doc_id",
+        *(F.col(f"n_{k}").cast("long").alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(secrets.as_text(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.as_text(F.col("spans")).alias("spans"),
+    )
+
+
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def held_out(id_col: str = "doc_id"):
+    """Whether a document's label may not be learned from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels.filter(~held_out())))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.train(docs, labels.filter(~held_out()), cut_score=QUALITY_CUT))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), TOKENIZER["path"], TOKENIZER["pattern"])
+
+
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -30,8 +90,13 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": secret_spans,
         "op3_sharding": shards,
+        "op4_url_filter": url_verdicts,
+        "op5_toxicity": toxicity_scores,
+        "op7_quality": quality_scores,
         "op9_packing": packed,
+        "op10_bpe": bpe_round_trip,
     }
 
 
