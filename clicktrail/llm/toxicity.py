@@ -21,11 +21,16 @@ from pyspark.sql import functions as F
 from clicktrail.sources.scratch import written
 
 SCORED = "doc_id long, score double, evidence array<struct<example: long, label: int, cosine: double>>"
+SURE = 40.0
+"""Chi-square above which a term hardly meets a label by chance, even as one of millions."""
 _TERM = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str) -> list[str]:
-    return _TERM.findall(text.lower())
+    """Words in lower case, their beginnings of four to seven letters, and marks for beginnings met twice and four times."""
+    words = _TERM.findall(text.lower())
+    starts = Counter(w[:n] + "*" for w in words for n in range(4, 8) if len(w) > n)
+    return [*words, *starts.elements(), *(f"{s}{n}" for n in (2, 4) for s, met in starts.items() if met >= n)]
 
 
 @dataclass
@@ -132,8 +137,9 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, max_terms: int = 2_000, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> NearestExamples | None:
     """Index at most ``max_examples`` labelled documents, half of each label at most, those of the smallest id hash.
 
-    The ``max_terms`` terms of the largest chi-square between presence and label make up the vocabulary; document
-    frequencies are counted over all documents. Both bounds keep the broadcast small. None where one label has no
+    The terms of the largest chi-square between presence and label, ``max_terms`` at most, make up the vocabulary: those
+    above ``SURE``, or the first few of a small training set that has none. Document
+    frequencies are counted over all documents. The bounds keep the broadcast small. None where one label has no
     document or no term tells the labels apart.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").distinct()
@@ -147,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, max_ter
     seen = examples.select("label", "text").mapInArrow(_document_terms, "label int, term string").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     n, with_term = pos + neg, F.col("a") + F.col("b")
     chi = n * F.pow(F.col("a") * neg - F.col("b") * pos, F.lit(2)) / (with_term * (n - with_term + 0.5) * pos * neg)
-    chosen = seen.withColumn("chi", chi).filter("chi > 20").orderBy(F.desc("chi"), "term").limit(max_terms).collect()
+    ranked = seen.withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(max_terms).select("term", "chi").collect()
+    chosen = [r for r in ranked if r["chi"] > SURE] or [r for r in ranked[:20] if r["chi"] > 5]
     if not chosen:
         return None
     vocabulary = {r["term"]: i for i, r in enumerate(sorted(chosen, key=lambda r: r["term"]))}
