@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import bpe, packing, quality, secrets, sharding, toxicity, urls
+from clicktrail.llm import bpe, neighbours, packing, quality, secrets, sharding, toxicity, urls
 
 TOKENIZER = {
     "path": public_tokenizers.path("byte_bpe_50k.json"),
@@ -70,6 +70,10 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = quality.score(docs, quality.train(docs, labels.filter(~held_out()), cut_score=QUALITY_CUT))
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": shards,
         "op4_url_filter": url_verdicts,
         "op5_toxicity": toxicity_scores,
+        "op6_neighbours": nearest_vectors,
         "op7_quality": quality_scores,
         "op9_packing": packed,
         "op10_bpe": bpe_round_trip,
