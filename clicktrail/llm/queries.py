@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import bpe, neighbours, packing, quality, secrets, sharding, toxicity, urls
+from clicktrail.llm import bpe, jaccard, neighbours, packing, quality, secrets, sharding, simhash, toxicity, urls
 
 TOKENIZER = {
     "path": public_tokenizers.path("byte_bpe_50k.json"),
@@ -55,6 +55,17 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With n_within for each id divisible by 50: other documents whose fingerprints are at most three bits away."""
+    made = simhash.fingerprints(_table(spark, sf_dir, "documents"))
+    asked = made.filter("doc_id % 50 = 0")
+    copies = made.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    met = simhash.within(asked, made).join(copies, "fingerprint").groupBy("query").agg(F.sum("n").alias("met"))
+    hexed = {c: simhash.as_hex(F.col(c)) for c in ("fingerprint", "edited_fingerprint")}
+    counted = made.join(met.withColumnRenamed("query", "fingerprint"), "fingerprint", "left").withColumn("n_within", F.when(F.col("doc_id") % 50 == 0, F.col("met") - 1))
+    return counted.withColumns(hexed).select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next", "n_within")
+
+
 def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -84,6 +95,10 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), TOKENIZER["path"], TOKENIZER["pattern"])
 
 
+def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -95,11 +110,13 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secret_spans,
+        "op2_fingerprints": text_fingerprints,
         "op3_sharding": shards,
         "op4_url_filter": url_verdicts,
         "op5_toxicity": toxicity_scores,
         "op6_neighbours": nearest_vectors,
         "op7_quality": quality_scores,
+        "op8_jaccard_join": linked_documents,
         "op9_packing": packed,
         "op10_bpe": bpe_round_trip,
     }
