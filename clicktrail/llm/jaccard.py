@@ -371,3 +371,18 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, band: int = 256, id_col
     of_class = grouped.join(least, "component").select("class", "component_id")
     linked = nonempty.select("doc_id", F.col("n").alias("n_shingles"), "class").join(of_class, "class").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(signed.filter("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, of each component only the one with the smallest id.
+
+    Rows of one id and one text count as one; rows of one id and other texts stay together, and so do rows without id.
+    """
+    linked = written(join(docs, percent, k, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(id_col), "component_id"), "jaccard-linked")
+    gone = linked.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ENTRIES else gone
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    repeated = linked.groupBy(id_col).count().filter(F.col("count") > 1).select(id_col)
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, id_col, "left_anti").unionByName(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])).select(docs.columns)

@@ -19,7 +19,7 @@ TOKENIZER = {
 }
 
 
-def _importable(spark: SparkSession) -> None:
+def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine find the package, wherever the driver was started."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
@@ -27,8 +27,8 @@ def _importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*filter(None, known), root])
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    _importable(spark)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,7 +45,7 @@ QUALITY_CUT = 0.3
 
 
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
     return found.select(
         "doc_id",
@@ -57,7 +57,7 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With n_within for each id divisible by 50: other documents whose fingerprints are at most three bits away."""
-    made = simhash.fingerprints(_table(spark, sf_dir, "documents"))
+    made = simhash.fingerprints(table(spark, sf_dir, "documents"))
     asked = made.filter("doc_id % 50 = 0")
     copies = made.groupBy("fingerprint").agg(F.count("*").alias("n"))
     met = simhash.within(asked, made).join(copies, "fingerprint").groupBy("query").agg(F.sum("n").alias("met"))
@@ -67,7 +67,7 @@ def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -76,35 +76,35 @@ def held_out(id_col: str = "doc_id"):
 
 
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.train(docs, labels.filter(~held_out())))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.score(docs, quality.train(docs, labels.filter(~held_out()), cut_score=QUALITY_CUT))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_table(spark, sf_dir, "documents"), TOKENIZER["path"], TOKENIZER["pattern"])
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER["path"], TOKENIZER["pattern"])
 
 
 def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents"))
 
 
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"))
+    return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), **TOKENIZER)
+    return packing.pack(table(spark, sf_dir, "documents"), **TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

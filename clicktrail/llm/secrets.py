@@ -143,12 +143,15 @@ def redact(docs: DataFrame, model: MarkovPair, threshold: float = 10.0, text_col
 
     Kinds go one after the other, so that a random token is looked for in what the patterns leave.
     """
+
+    def masked(text: Column, kind: str, pattern: str) -> Column:
+        keep = _kept(kind, model, threshold)
+        parts = F.zip_with(F.split(text, pattern, -1), _found(text, pattern), lambda gap, m: F.concat(gap, F.coalesce(F.when(keep(m), F.lit(MARK)).otherwise(m), F.lit(""))))
+        return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+
     out = docs
     for kind, pattern in (PATTERNS | {"random": TOKEN}).items():
-        text = F.col(text_col)
-        keep = _kept(kind, model, threshold)
-        whole = F.zip_with(F.split(text, pattern, -1), _found(text, pattern), lambda g, m, keep=keep: F.concat(g, F.coalesce(F.when(keep(m), F.lit(MARK)).otherwise(m), F.lit(""))))
-        out = out.withColumn(text_col, F.when(text.rlike(pattern), F.array_join(whole, "")).otherwise(text))
+        out = out.withColumn(text_col, masked(F.col(text_col), kind, pattern))
     return out
 
 

@@ -210,3 +210,15 @@ def score(docs: DataFrame, model: NearestExamples | None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in found], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCORED)
+
+
+def keep(docs: DataFrame, model: NearestExamples | None, below: float, text_col: str = "text") -> DataFrame:
+    """The rows of documents that score below ``below``, with all their columns; without a model, all rows."""
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t.as_py() or "")[0] < below for t in batch.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
