@@ -10,12 +10,12 @@ OTHER = "其他"
 
 
 def top_n_with_other(
-    counted: DataFrame, key: str, value: str, n: int = 8, cap: int | None = 100, other: str = OTHER
+    counted: DataFrame, key: str, value: str, n: int = 8, cap: int | None = None, other: str = OTHER
 ) -> DataFrame:
     """The ``n`` largest rows and one more for the sum of the rest, as (key, value, is_other).
 
-    With a ``cap`` the rest ends at that row, with None it is the true rest. The extra row is left out when
-    it would be zero. It is a difference of two sums, so nothing but the sums is brought together.
+    The rest is all other rows; with a ``cap`` it ends at that row, as where only the head of a list is at hand.
+    The extra row is left out when it would be zero. It is a difference of two sums, so nothing but the sums is brought together.
     """
     order = (F.desc(value), F.asc(key))
     considered = counted if cap is None else counted.orderBy(*order).limit(cap)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from clicktrail.functions.times import normalize_time
 
 Mode = Literal["substring", "like"]
 
-_INTEGER = re.compile(r"[+-]?[0-9]+")
+_INTEGER = re.compile(r"[+-]?\d+")
 
 
 @dataclass(frozen=True)
@@ -70,8 +71,16 @@ class SearchCondition:
                 tests.append(F.col(name).between(*bounds))
         return reduce(and_, tests) if tests else F.lit(True)
 
+    def identity(self) -> str:
+        """An unambiguous text of all criteria: two conditions share it only if they are equal."""
+        return json.dumps({name: getattr(self, name) for name in self.__dataclass_fields__}, ensure_ascii=False)
+
     def key(self) -> str:
-        """Canonical text; parses back to the same condition."""
+        """The condition as typed text, for display.
+
+        Values may hold the separators ``|`` and ``+``, so it need not parse back; ``identity`` tells
+        conditions apart.
+        """
         lists = (("user", self.users), ("query", self.query), ("domain", self.domain), ("url", self.url))
         ranges = (("rank", self.rank), ("click", self.click))
         parts = [f"time:{self.time[0]}|{self.time[1]}"] if self.time else []
@@ -121,7 +130,9 @@ def as_condition(condition: SearchCondition | str | None) -> SearchCondition:
 
 def _keyword(column: Column, keyword: str, mode: Mode) -> Column:
     if mode == "like":
-        return column.like(f"%{keyword}%")
+        # A backslash is a letter of its own, as nothing escapes in a keyword.
+        escaped = keyword.replace("\\", "\\\\")
+        return column.like(f"%{escaped}%")
     return F.contains(F.lower(column), F.lower(F.lit(keyword)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +13,6 @@ from clicktrail.functions.keys import salt_of, salt_of_key
 from clicktrail.functions.times import bound_to_ms
 from clicktrail.schema import SALT_BUCKETS
 
-# A key list comes from the driver. Up to this many keys it is broadcast and also tested at the scan;
-# longer lists join as any table does, by size.
-LISTED_KEYS = 1_000
-
 
 def scan_time_range(logs: DataFrame, start: str, end: str) -> DataFrame:
     """Clicks of ``start`` to ``end``, both inclusive, by parsed time; exact in every salt."""
@@ -39,17 +35,20 @@ def get_by_key(logs: DataFrame, key: str) -> DataFrame:
 def get_by_keys(logs: DataFrame, keys: Sequence[str] | DataFrame) -> DataFrame:
     """Clicks of many keys, in the order of the keys; keys without a row drop out.
 
-    ``keys`` is a list, or a DataFrame of (pos, row_key) of any size.
+    ``keys`` is a list, or a DataFrame of (pos, row_key) of any size; the join goes by size. A list's range of
+    keys in each salt, at most 16, is tested at the scan.
     """
     if isinstance(keys, DataFrame):
         wanted = keys.select("pos", "row_key")
     else:
-        rows = list(enumerate(keys))
-        wanted = logs.sparkSession.createDataFrame(rows, "pos bigint, row_key string")
-        if len(rows) <= LISTED_KEYS:
-            wanted = F.broadcast(wanted)
-            numbers = sorted({_salt_literal(k) for k in keys} - {None})
-            logs = logs.where(F.col("salt").isin(numbers) & F.col("row_key").isin(list(keys)))
+        wanted = logs.sparkSession.createDataFrame(list(enumerate(keys)), "pos bigint, row_key string")
+        spans: dict[int, list[str]] = {}
+        for key in keys:
+            number = _salt_literal(key)
+            if number is not None:
+                spans[number] = [min(key, *spans.get(number, [key])), max(key, *spans.get(number, [key]))]
+        inside = [(F.col("salt") == s) & F.col("row_key").between(low, high) for s, (low, high) in spans.items()]
+        logs = logs.where(reduce(or_, inside) if inside else F.lit(False))
     wanted = wanted.withColumn("salt", salt_of_key("row_key"))
     return logs.join(wanted, ["salt", "row_key"]).orderBy("pos").select(*logs.columns)
 

@@ -45,10 +45,13 @@ def task_info(records: DataFrame, task_id: str, order: str = "load_seq") -> Data
     return starts.orderBy(order).limit(1).select("task_id", "type", F.col("details").alias("parameters"))
 
 
-def recent_operations(lines: DataFrame, n: int = 10, order: str = "load_seq") -> DataFrame:
-    """The ``n`` newest lines as records.
+def recent_operations(lines: DataFrame, n: int = 10, order: str = "load_seq", lines_first: bool = False) -> DataFrame:
+    """The ``n`` newest records.
 
-    Lines are picked first and those that make no record dropped after, so fewer than ``n`` may remain.
+    With ``lines_first`` the newest lines are picked before those that make no record are dropped, so fewer
+    than ``n`` may remain, or none behind a stack trace.
     """
-    newest = lines.orderBy(F.substring_index("line", "|", 1).desc(), F.asc(order)).limit(n)
-    return parse_task_log(newest)
+    if lines_first:
+        newest = lines.orderBy(F.substring_index("line", "|", 1).desc(), F.asc(order)).limit(n)
+        return parse_task_log(newest)
+    return parse_task_log(lines).orderBy(F.desc("ts"), F.asc(order)).limit(n)
