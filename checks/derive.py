@@ -8,8 +8,6 @@ derives the same in SQL.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from clicktrail.operators import clicks, latest, parse_lines
 from clicktrail.plans import parsed_files
 from clicktrail.sources import read_logs, write_logs
+from clicktrail.sources.scratch import new_path
 
 REDELIVERY = 10_000_000
 
@@ -127,18 +126,6 @@ def task_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.inline(written))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster shares, from ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="clicktrail-")
-    spark.sparkContext.setCheckpointDir(f"file://{folder}")
-    return spark.sparkContext.getCheckpointDir()
-
-
 _built: dict[tuple[str, ...], str] = {}
 
 
@@ -146,7 +133,7 @@ def _once(spark: SparkSession, sf_dir: str, what: str, build) -> str:
     """Path of something written once per application; known only after its job has committed."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), what)
     if key not in _built:
-        path = f"{shared_folder(spark).rstrip('/')}/clicktrail-{what}-{uuid.uuid4().hex}"
+        path = new_path(spark, what)
         build(path)
         _built[key] = path
     return _built[key]
@@ -186,8 +173,3 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_logs(latest(clicks(loaded(spark, sf_dir))), path)
 
     return read_logs(spark, _once(spark, sf_dir, "logs", build))
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/clicktrail-{what}-{uuid.uuid4().hex}"
-

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +46,20 @@ from clicktrail.operators import (
     user_frequency,
     with_share,
 )
-from clicktrail.plans import load_result, save_result, traffic_report, write_report
+from clicktrail.plans import load_documents, load_files, load_result, save_result, search_saved, traffic_report, write_report
 from clicktrail.schema import LOG_COLUMNS
-from clicktrail.sources import read_raw, read_task_log, register, to_documents
+from clicktrail.sources import (
+    clear_table,
+    compact_table,
+    create_table,
+    read_raw,
+    read_task_log,
+    register,
+    table_logs,
+    to_documents,
+)
+from clicktrail.sources.scratch import new_path, written
+from clicktrail.sources.settings import settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,6 +154,82 @@ def _upsert_second_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(first, clicks(derive.loaded(spark, sf_dir, delivery=2)))
 
 
+def _with_table(spark: SparkSession, work: Callable[[str], None]) -> DataFrame:
+    """Rows of a new catalog table after some work on it; the table is dropped again."""
+    name = f"clicks_{uuid.uuid4().hex}"
+    try:
+        work(name)
+        return written(table_logs(spark, name), "loaded")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@_query("load_table_twice", oracle.stored(f"SELECT {COLUMNS} FROM stored"))
+def _load_table_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def work(name: str) -> None:
+        for delivery in (1, 2, 2):
+            load_files(spark, derive.raw_files(spark, sf_dir, delivery), name)
+
+    return _with_table(spark, work)
+
+
+@_query("load_then_compact", oracle.stored(f"SELECT {COLUMNS} FROM stored"))
+def _load_then_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def work(name: str) -> None:
+        load_files(spark, derive.raw_files(spark, sf_dir, 1), name)
+        load_files(spark, derive.raw_files(spark, sf_dir, 2), name)
+        compact_table(spark, name)
+
+    return _with_table(spark, work)
+
+
+@_query("create_clear_reload", oracle.stored(f"SELECT {COLUMNS} FROM clicks WHERE line_no < 10000000 QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY line_no DESC) = 1"))
+def _create_clear_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def work(name: str) -> None:
+        create_table(spark, name)
+        load_files(spark, derive.raw_files(spark, sf_dir), name)
+        clear_table(spark, name)
+        load_files(spark, derive.raw_files(spark, sf_dir, 1), name)
+
+    return _with_table(spark, work)
+
+
+@_query(
+    "load_result",
+    oracle.parsed(
+        """SELECT 'lines' AS counter, count(*) AS n FROM raw_lines
+UNION ALL SELECT 'parsed', count(*) FROM parsed WHERE reason IS NULL
+UNION ALL SELECT reason, count(*) FROM parsed WHERE reason IS NOT NULL GROUP BY reason"""
+    ),
+)
+def _load_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = []
+    _with_table(spark, lambda name: done.append(load_files(spark, derive.raw_files(spark, sf_dir), name)))
+    counters = {"lines": done[0].lines, "parsed": done[0].parsed} | done[0].rejected
+    return spark.createDataFrame(list(counters.items()), "counter string, n bigint")
+
+
+@_query("rejects_of_repeated_load", oracle.parsed("SELECT line, reason FROM parsed WHERE reason IS NOT NULL"))
+def _rejects_of_repeated_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "rejects")
+
+    def work(name: str) -> None:
+        for _ in range(2):
+            load_files(spark, derive.raw_files(spark, sf_dir), name, out)
+
+    _with_table(spark, work)
+    return spark.read.parquet(out).select("line", "reason")
+
+
+@_query("read_raw_gbk", oracle.raw("SELECT replace(line, '[', '[旅游') AS line FROM raw_lines"))
+def _read_raw_gbk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "gbk")
+    lines = derive.raw_lines(spark, sf_dir).select(F.replace("line", F.lit("["), F.lit("[旅游")).alias("line"))
+    with settings(spark, legacy__javaCharsets="true"):
+        lines.write.option("encoding", "GBK").option("sep", "\x01").option("quote", "").csv(path)
+    return read_raw(spark, path, "GBK").select("line")
+
+
 _on_logs("stored_table", lambda logs: logs, oracle.stored(f"SELECT {COLUMNS} FROM stored"))
 
 
@@ -156,6 +244,21 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_documents(clicks(derive.loaded(spark, sf_dir)))
 
 
+@_query(
+    "documents_appended",
+    oracle.clicks(
+        """SELECT ts_ms AS ts, access_time AS "tsStr", user_id AS "userId", query, rank, click_order AS "clickOrder", url, domain
+FROM clicks, (VALUES (1), (2)) AS twice(turn)"""
+    ),
+)
+def _documents_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "documents")
+    for _ in range(2):
+        load_documents(spark, derive.raw_files(spark, sf_dir), out)
+    schema = "ts bigint, tsStr string, userId string, query string, rank int, clickOrder int, url string, domain string"
+    return spark.read.schema(schema).json(out)
+
+
 # --- Column functions --------------------------------------------------------------------------
 
 
@@ -169,6 +272,30 @@ def _extract_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", extract_domain("url").alias("domain"))
 
 
+# A host that no URI parser takes, a blank, a pipe, no scheme, and a web address as it is.
+_DAMAGED = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN replace(url, '://', '://a_') WHEN 1 THEN url || ' b'
+  WHEN 2 THEN url || '|c' WHEN 3 THEN replace(replace(url, 'https://', ''), 'http://', '') || '|d'
+  ELSE replace(url, '://', '://www.b_') END AS url FROM pages"""
+
+
+@_query(
+    "extract_domain_fallback",
+    f"""SELECT page_id, url, string_split(regexp_extract(url, '^(?:https?://)?(?:www\\.)?([^/]+)', 1), '.')[-2] AS domain
+FROM ({_DAMAGED})""",
+)
+def _extract_domain_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, url = F.col("page_id") % 5, F.col("url")
+    damaged = (
+        F.when(kind == 0, F.replace(url, F.lit("://"), F.lit("://a_")))
+        .when(kind == 1, F.concat(url, F.lit(" b")))
+        .when(kind == 2, F.concat(url, F.lit("|c")))
+        .when(kind == 3, F.concat(F.regexp_replace(url, "^https?://", ""), F.lit("|d")))
+        .otherwise(F.replace(url, F.lit("://"), F.lit("://www.b_")))
+    )
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", damaged.alias("url"))
+    return pages.select("page_id", "url", extract_domain("url").alias("domain"))
+
+
 @_query("user_salt", oracle.clicks("SELECT user_id, hash, salt FROM clicks"))
 def _user_salt(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = derive.loaded(spark, sf_dir).where(F.col("reason").isNull())
@@ -230,6 +357,17 @@ def _get_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return get_by_keys(logs, keys)
 
 
+@_query(
+    "get_by_key_list",
+    oracle.stored(f"SELECT {COLUMNS} FROM stored WHERE row_key IN (SELECT max(row_key) FROM stored GROUP BY salt)"),
+)
+def _get_by_key_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One key of each salt and many that no row has.
+    logs = derive.stored(spark, sf_dir)
+    keys = [r[1] for r in logs.groupBy("salt").agg(F.max("row_key")).collect()]
+    return get_by_keys(logs, keys + [f"{k}?{i}" for k in keys for i in range(100)])
+
+
 _on_logs(
     "key_prefix",
     lambda logs: search_by_key_parts(logs, prefix="06|92233720367"),
@@ -317,6 +455,14 @@ _on_logs(
 WHERE (query LIKE '%c_ick1%%' OR query LIKE '%VIEW%') AND rank BETWEEN 1 AND 8"""
     ),
 )
+_on_logs(
+    "search_like_backslash",
+    lambda logs: hits(logs.withColumn("url", F.replace("url", F.lit("/"), F.lit("\\"))), SearchCondition(url=["\\en\\", "fr\\"]), "like"),
+    oracle.stored(
+        f"""SELECT {COLUMNS.replace("url", "replace(url, '/', chr(92)) AS url")} FROM stored
+WHERE contains(url, '/en/') OR contains(url, 'fr/')"""
+    ),
+)
 _on_logs(
     "search_count",
     lambda logs: search_count(logs, CONDITION),
@@ -344,6 +490,32 @@ _on_logs(
 )
 
 
+_PURCHASES = "FROM stored WHERE contains(lower(query), 'purchase')"
+
+
+def _on_page(name: str, number: Callable[[int], int], sql_number: str) -> None:
+    """A page of the purchases whose number follows the number of pages."""
+
+    def build(logs: DataFrame) -> DataFrame:
+        found = hits(logs, "query:purchase")
+        return page(found, number(page_info(found, 1).first()["pages"]))
+
+    place = "row_number() OVER (ORDER BY row_key) - 1"
+    pages = f"(SELECT CAST(ceil(count(*) / 20) AS BIGINT) AS pages {_PURCHASES})"
+    _on_logs(
+        name,
+        build,
+        oracle.stored(
+            f"""SELECT {COLUMNS} FROM (SELECT *, {place} AS place {_PURCHASES}), {pages} WHERE place // 20 + 1 = {sql_number}"""
+        ),
+    )
+
+
+_on_page("search_page_first", lambda pages: 1, "1")
+_on_page("search_page_middle", lambda pages: pages // 2 + 1, "pages // 2 + 1")
+_on_page("search_page_last", lambda pages: pages, "pages")
+
+
 @_query(
     "search_page_after",
     oracle.stored(
@@ -374,11 +546,40 @@ _on_logs(
 )
 def _saved_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = derive.stored(spark, sf_dir)
-    path = derive.new_folder(spark, "saved")
+    path = new_path(spark, "saved")
     save_result(logs, CONDITION, path)
     return load_result(logs, CONDITION, path)
 
 
+_CLICK_OR_VIEW = "contains(lower(query), 'click') OR contains(lower(query), 'view')"
+
+
+@_query(
+    "saved_result_larger_limit",
+    oracle.stored(f"SELECT {COLUMNS} FROM stored WHERE {_CLICK_OR_VIEW} ORDER BY row_key LIMIT 100"),
+)
+def _saved_result_larger_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs, path = derive.stored(spark, sf_dir), new_path(spark, "saved")
+    search_saved(logs, "query:click|view", path, limit=5)
+    return search_saved(logs, "query:click|view", path, limit=100)
+
+
+@_query(
+    "saved_result_ambiguous_text",
+    oracle.stored(
+        f"""SELECT {COLUMNS} FROM (SELECT * FROM stored WHERE contains(lower(query), 'click|view')
+UNION ALL SELECT * FROM stored WHERE {_CLICK_OR_VIEW}) ORDER BY row_key LIMIT 100"""
+    ),
+)
+def _saved_result_ambiguous_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Both conditions read ``query:click|view``; the first one has no hits.
+    logs, path = derive.stored(spark, sf_dir), new_path(spark, "saved")
+    one, two = SearchCondition(query=["click|view"]), SearchCondition(query=["click", "view"])
+    save_result(logs, two, path)
+    save_result(logs, one, path)
+    return search_saved(logs, one, path).unionByName(search_saved(logs, two, path))
+
+
 # --- Statistics --------------------------------------------------------------------------------
 
 _on_window("window_clicks", lambda win: win, f"SELECT {COLUMNS} FROM win")
@@ -421,7 +622,7 @@ for _part, _select in (
 ):
     _on_logs(
         f"report_{_part}",
-        lambda logs, part=_part: traffic_report(logs, START, END)[part],
+        lambda logs, part=_part: traffic_report(logs, START, END, keep=False)[part],
         oracle.windowed(_select, START, END),
     )
 
@@ -429,10 +630,35 @@ for _part, _select in (
 @_query("report_files", oracle.windowed(_SHARES.format(k=100), START, END))
 def _report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with traffic_report(derive.stored(spark, sf_dir), START, END) as report:
-        folder = write_report(report, derive.new_folder(spark, "report"), "run")
+        folder = write_report(report, new_path(spark, "report"), "run")
     return spark.read.csv(f"{folder}/domain_distribution", schema="domain string, count bigint, percentage double")
 
 
+def _on_report_file(name: str, schema: str, select: str) -> None:
+    """One of the files that a report writes, read back."""
+
+    @_query(f"report_file_{name}", oracle.windowed(select, START, END))
+    def _report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+        report = traffic_report(derive.stored(spark, sf_dir), START, END, keep=False)
+        folder = write_report({name: report[name]}, new_path(spark, "report"), "run")
+        return spark.read.csv(f"{folder}/{name}", schema=schema)
+
+
+for _part, _schema, _select in (
+    ("query_statistics", "query string, search_count bigint", _TOP.format(key="query", name="search_count", k=100)),
+    ("domain_statistics", "domain string, visit_count bigint", _TOP.format(key="domain", name="visit_count", k=100)),
+    ("user_frequency", "user_id string, search_count bigint", _TOP.format(key="user_id", name="search_count", k=100)),
+    ("rank_statistics", "rank int, visit_count bigint", _RANKS.format(where="")),
+    ("click_order_statistics", "click_order int, count bigint", _CLICK_ORDERS),
+    (
+        "summary_report",
+        "start_time string, end_time string, total_searches bigint, unique_users bigint, unique_queries bigint, unique_domains bigint",
+        _SUMMARY,
+    ),
+):
+    _on_report_file(_part, _schema, _select)
+
+
 # --- Chart data --------------------------------------------------------------------------------
 
 def _chart_sql(key: str, name: str, cap: int | None) -> str:
@@ -448,9 +674,9 @@ def _chart_sql(key: str, name: str, cap: int | None) -> str:
 
 
 for _name, _key, _value, _cap in (
-    ("queries", "query", "search_count", 100),
-    ("domains", "domain", "visit_count", 100),
-    ("users", "user_id", "search_count", 100),
+    ("queries", "query", "search_count", None),
+    ("domains", "domain", "visit_count", None),
+    ("users", "user_id", "search_count", None),
     ("queries_true_rest", "query", "search_count", None),
 ):
     _on_logs(
@@ -475,7 +701,7 @@ _on_window(
     """SELECT domain, count, is_other, count / sum(count) OVER () AS share FROM (
   SELECT CASE WHEN place <= 8 THEN domain ELSE '其他' END AS domain, place > 8 AS is_other, CAST(sum(count) AS BIGINT) AS count
   FROM (SELECT domain, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, domain) AS place FROM win GROUP BY domain)
-  WHERE place <= 100 GROUP BY 1, 2)""",
+  GROUP BY 1, 2)""",
 )
 
 
@@ -526,8 +752,7 @@ def _task_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "recent_operations",
     oracle.tasks(
-        f"""SELECT {RECORD} FROM records WHERE line_no IN
-(SELECT line_no FROM task_lines ORDER BY string_split(line, '|')[1] DESC, line_no LIMIT 10)"""
+        f"SELECT {RECORD} FROM records ORDER BY ts DESC, line_no LIMIT 10"
     ),
 )
 def _recent_operations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ from clicktrail.operators import (
 )
 from clicktrail.plans import parsed_files, traffic_report
 from clicktrail.sources import read_logs, read_raw, write_logs
+from clicktrail.sources.scratch import new_path
+from clicktrail.sources.tables import partitions_for
 
 
 def copied_lines(lines: DataFrame, copies: int) -> DataFrame:
@@ -51,9 +53,9 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     copies = int(sys.argv[2]) if len(sys.argv) > 2 else 10
     spark = session()
-    raw = derive.new_folder(spark, "copies-raw")
-    table = derive.new_folder(spark, "copies-logs")
-    copied_lines(derive.raw_lines(spark, sf_dir), copies).repartition(8).write.text(raw)
+    raw = new_path(spark, "copies-raw")
+    table = new_path(spark, "copies-logs")
+    copied_lines(derive.raw_lines(spark, sf_dir), copies).write.text(raw)
     seconds: dict[str, float] = {}
 
     def timed(name: str, run) -> None:
@@ -63,7 +65,7 @@ def main() -> None:
             result.write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 2)
 
-    timed("load", lambda: write_logs(latest(clicks(parsed_files(spark, raw))), table))
+    timed("load", lambda: write_logs(latest(clicks(parsed_files(spark, raw))), table, partitions=partitions_for(spark, raw)))
     logs = read_logs(spark, table)
     win = in_window(logs, "09:00:00", "18:00:00")
     timed("load_stats", lambda: load_stats(read_raw(spark, raw)))

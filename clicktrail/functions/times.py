@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clicktrail.functions.text import CONTROL_AND_BLANK, as_column, trim_control
+from clicktrail.functions.text import CONTROL_AND_BLANK, as_column, ascii_digits, trim_control
 from clicktrail.schema import DAY_MS, LONG_MAX, LONG_MIN
 
 # Three integers between colons; colons at the end carry nothing. Any size and sign is let through,
@@ -16,7 +16,7 @@ THREE_INTEGERS = r"^[+-]?[0-9]+:[+-]?[0-9]+:[+-]?[0-9]+:*\z"
 # A clock time of HH:mm:ss, blanks around it allowed, with 24:00:00 as another name of midnight.
 CLOCK_TIME = r"^[\x00-\x20]*(?:(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]|24:00:00)[\x00-\x20]*\z"
 
-_LOOSE = re.compile(r"([+-]?[0-9]+):([+-]?[0-9]+):([+-]?[0-9]+):*")
+_LOOSE = re.compile(r"([+-]?\d+):([+-]?\d+):([+-]?\d+):*")
 _CLOCK = re.compile(CLOCK_TIME.replace(r"\z", r"\Z"))
 
 
@@ -27,8 +27,8 @@ def ms_of_parts(parts: Column) -> Column:
 
 
 def time_to_ms(value: Column | str) -> Column:
-    """Time text to milliseconds since midnight, null where it is not three int32 parts."""
-    c = trim_control(value)
+    """Time text to milliseconds since midnight, null where it is not three int32 parts. Digits may be of any script."""
+    c = ascii_digits(trim_control(value))
     return F.when(c.rlike(THREE_INTEGERS), ms_of_parts(F.split(c, ":")))
 
 

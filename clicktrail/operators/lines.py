@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicktrail.functions.keys import row_key, salt
-from clicktrail.functions.text import trim_control
+from clicktrail.functions.text import ascii_digits, trim_control
 from clicktrail.functions.times import THREE_INTEGERS, ms_of_parts
 from clicktrail.functions.urls import extract_domain
 from clicktrail.schema import (
@@ -42,15 +42,19 @@ def _classify(raw: DataFrame) -> DataFrame:
         F.size("parts").alias("n_parts"),
         *(trim_control(F.get("parts", F.lit(i))).alias(name) for i, name in enumerate(FIELDS)),
     )
-    shaped = fields.select(
+    # Numbers may be written in the digits of any script; the stored time keeps them.
+    digits = fields.select(
+        "*", ascii_digits("rank_click").alias("rank_digits"), ascii_digits("access_time").alias("time_digits")
+    )
+    shaped = digits.select(
         *carried,
         "line",
         "n_parts",
         *FIELDS,
-        F.col("rank_click").rlike(TWO_INTEGERS).alias("two_integers"),
-        F.regexp_replace("rank_click", r"[\x00-\x20]+", " ").alias("numbers"),
-        F.col("access_time").rlike(THREE_INTEGERS).alias("three_integers"),
-        F.split("access_time", ":").alias("time_parts"),
+        F.col("rank_digits").rlike(TWO_INTEGERS).alias("two_integers"),
+        F.regexp_replace("rank_digits", r"[\x00-\x20]+", " ").alias("numbers"),
+        F.col("time_digits").rlike(THREE_INTEGERS).alias("three_integers"),
+        F.split("time_digits", ":").alias("time_parts"),
     )
     numbered = shaped.select(
         "*",

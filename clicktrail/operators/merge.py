@@ -39,22 +39,18 @@ def upsert(existing: DataFrame, new: DataFrame, order: str = "load_seq") -> Data
     return _last_per_key(_both(existing, new, order), "turn", ("ts_ms", *KEY))
 
 
-def key_ordered(rows: DataFrame) -> DataFrame:
+def last_of(rows: DataFrame, order: str) -> DataFrame:
+    """Stored rows of several loads, the last of each key by ``order``."""
+    return _last_per_key(rows, order, ("ts_ms", *KEY))
+
+
+def key_ordered(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     """Lay rows out for writing: ranges of the row key, sorted within each task.
 
     A task then writes to one or two salts only, a file covers a short span of time of day (so footer
     statistics prune on row_key, ts_ms and access_time) and a user with a large share of all rows is cut
-    into several ranges, as the key also holds the time. The number of files follows
-    ``spark.sql.shuffle.partitions``, merged by adaptive execution where small.
-    """
-    return rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
-
-
-def upsert_key_ordered(existing: DataFrame, new: DataFrame, order: str = "load_seq") -> DataFrame:
-    """``upsert``, laid out for writing, with a single shuffle of the stored rows.
-
-    Rows are brought into key ranges before they are merged. Equal keys share a range, so the merge needs
-    no exchange of its own, and its sort is already the one the files want.
+    into several ranges, as the key also holds the time. ``partitions`` should follow the size of the rows;
+    without it ``spark.sql.shuffle.partitions`` counts, merged by adaptive execution where small.
     """
-    ranged = _both(existing, new, order).repartitionByRange(*KEY)
-    return _last_per_key(ranged, "turn", KEY).sortWithinPartitions(*KEY)
+    ranged = rows.repartitionByRange(*KEY) if partitions is None else rows.repartitionByRange(partitions, *KEY)
+    return ranged.sortWithinPartitions(*KEY)

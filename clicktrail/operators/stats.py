@@ -6,7 +6,7 @@ per task. Every top-k sorts by count, then by key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktrail.functions.times import bound_to_ms, clock_bound, in_time_window, is_clock_time
@@ -119,16 +119,58 @@ def facet(counts: DataFrame, key: str, name: str) -> DataFrame:
     return counts.where(F.col("facet") == key).select(key, F.col("n").alias(name))
 
 
+def head_of_facets(counts: DataFrame, k: int, whole: tuple[str, ...] = ("rank", "click_order")) -> DataFrame:
+    """What a report needs of the counts: (facet, <facets...>, n, values), with the counts grouped once.
+
+    The ``k`` largest counts of each facet, all counts of the facets in ``whole``, and for each facet a row with
+    ``values``, the number of its values, and their sum as n. Apart from ``whole`` its size doesn't depend on the data.
+    """
+    facets = [c for c in counts.columns if c not in ("facet", "n")]
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), *(f for f in facets if f not in whole)))
+    none = F.lit(None).cast("bigint").alias("values")
+    largest = counts.where(~F.col("facet").isin(*whole)).withColumn("place", place).where(F.col("place") <= k)
+    sums = counts.groupBy("facet").agg(F.sum("n").alias("n"), F.count(F.coalesce(*(F.col(f).cast("string") for f in facets))).alias("values"))
+    empty = (F.lit(None).cast(counts.schema[f].dataType).alias(f) for f in facets)
+    columns = ["facet", *facets, "n"]
+    return (
+        largest.select(*columns, none)
+        .unionByName(counts.where(F.col("facet").isin(*whole)).select(*columns, none))
+        .unionByName(sums.select("facet", *empty, "n", "values"))
+    )
+
+
+def _sum_of(facet: str) -> Column:
+    return F.max(F.when((F.col("facet") == facet) & F.col("values").isNotNull(), F.col("n")))
+
+
+def total_of_head(head: DataFrame) -> DataFrame:
+    """All searches: every facet adds up to them."""
+    return head.agg(F.coalesce(_sum_of("domain"), F.lit(0).cast("bigint")).alias("total_searches"))
+
+
+def summary_of_head(head: DataFrame, start: str, end: str) -> DataFrame:
+    names = {"unique_users": "user_id", "unique_queries": "query", "unique_domains": "domain"}
+    values = (F.coalesce(F.max(F.when(F.col("facet") == f, F.col("values"))), F.lit(0).cast("bigint")).alias(n) for n, f in names.items())
+    total = F.coalesce(_sum_of("domain"), F.lit(0).cast("bigint")).alias("total_searches")
+    return head.agg(total, *values).select(F.lit(start).alias("start_time"), F.lit(end).alias("end_time"), "*")
+
+
+def share_of_head(head: DataFrame, key: str, name: str, k: int) -> DataFrame:
+    """The ``k`` largest counts of a facet with their percentage of its sum."""
+    whole = head.agg(_sum_of(key)).scalar()
+    return first_by_count(head_facet(head, key, name), key, name, k).withColumn("percentage", percent(F.col(name), whole))
+
+
+def head_facet(head: DataFrame, key: str, name: str) -> DataFrame:
+    return facet(head.where(F.col("values").isNull()), key, name)
+
+
 def _total() -> Column:
     # Every facet adds up to all searches; domain has few rows.
     of_domains = F.sum(F.when(F.col("facet") == "domain", F.col("n")))
     return F.coalesce(of_domains, F.lit(0).cast("bigint")).alias("total_searches")
 
 
-def total_of_facets(counts: DataFrame) -> DataFrame:
-    return counts.agg(_total())
-
-
 def summary_of_facets(counts: DataFrame, start: str, end: str) -> DataFrame:
     def distinct(key: str) -> Column:
         return F.count(F.when(F.col("facet") == key, F.col(key)))

@@ -10,19 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicktrail.operators.stats import (
-    facet,
     facet_counts,
     first_by_count,
+    head_facet,
+    head_of_facets,
     in_window,
-    share_of_counts,
-    summary_of_facets,
-    total_of_facets,
+    share_of_head,
+    summary_of_head,
+    total_of_head,
 )
 
-# Parts whose size is not bounded by a row count.
-DISTRIBUTIONS = ("rank_statistics", "click_order_statistics")
-
-
 class TrafficReport(Mapping[str, DataFrame]):
     """Parts of a report by name. Leave the ``with`` block, or call ``close``, to free what it keeps."""
 
@@ -49,30 +46,35 @@ class TrafficReport(Mapping[str, DataFrame]):
         self._kept.unpersist()
 
 
-def traffic_report(logs: DataFrame, start: str = "00:00:00", end: str = "23:59:59", k: int = 100) -> TrafficReport:
+def traffic_report(
+    logs: DataFrame, start: str = "00:00:00", end: str = "23:59:59", k: int = 100, keep: bool = True
+) -> TrafficReport:
     """All statistics of a window.
 
-    The stored clicks are scanned and shuffled once, for the counts per value of all five facets. Only
-    those counts are kept, never the clicks, and each part is a small query over them.
+    The stored clicks are scanned and shuffled once, for the counts per value of all five facets. Only what the parts
+    show is kept: the ``k`` largest of three facets, the two distributions and the sums, however many users there are.
+    With ``keep`` false nothing is kept and every part counts anew, for a caller who wants one of them.
     """
-    kept = facet_counts(in_window(logs, start, end)).persist(StorageLevel.MEMORY_AND_DISK)
+    head = head_of_facets(facet_counts(in_window(logs, start, end)), k)
+    if keep:
+        head = head.persist(StorageLevel.MEMORY_AND_DISK)
 
     def top(key: str, name: str) -> DataFrame:
-        return first_by_count(facet(kept, key, name), key, name, k)
+        return first_by_count(head_facet(head, key, name), key, name, k)
 
-    ranks = facet(kept, "rank", "visit_count")
+    ranks = head_facet(head, "rank", "visit_count")
     parts = {
-        "total_searches": total_of_facets(kept),
+        "total_searches": total_of_head(head),
         "query_statistics": top("query", "search_count"),
         "domain_statistics": top("domain", "visit_count"),
         "user_frequency": top("user_id", "search_count"),
         "rank_statistics": ranks.orderBy("rank"),
         "top10_rank_statistics": ranks.where(F.col("rank") <= 10).orderBy("rank"),
-        "click_order_statistics": facet(kept, "click_order", "count").orderBy("click_order"),
-        "domain_distribution": share_of_counts(facet(kept, "domain", "count"), "domain", "count", k),
-        "summary_report": summary_of_facets(kept, start, end),
+        "click_order_statistics": head_facet(head, "click_order", "count").orderBy("click_order"),
+        "domain_distribution": share_of_head(head, "domain", "count", k),
+        "summary_report": summary_of_head(head, start, end),
     }
-    return TrafficReport(kept, parts)
+    return TrafficReport(head, parts)
 
 
 # The parts that are written to files; the others are shown only.
@@ -90,14 +92,13 @@ FILES = (
 def write_report(results: Mapping[str, DataFrame], out: str, run_id: str | None = None) -> str:
     """Write each result as CSV without header under ``<out>/<run id>/<name>``; returns that folder.
 
-    Results of at most k rows go to a single file. Distributions have a row per distinct number and are
-    sorted, so they keep their own partitions: one file where small, more in order where not.
+    A result cut to its k largest rows is one partition, and so one file. Distributions have a row per distinct number
+    and are sorted: one file where small, more in order where not.
     """
     folder = f"{out.rstrip('/')}/{run_id or datetime.now().strftime('%Y%m%d_%H%M%S')}"
     for name in FILES:
         if name in results:
-            part = results[name] if name in DISTRIBUTIONS else results[name].coalesce(1)
-            part.write.mode("overwrite").csv(f"{folder}/{name}")
+            results[name].write.mode("overwrite").csv(f"{folder}/{name}")
     return folder
 
 

@@ -4,7 +4,9 @@ from clicktrail.sources.raw_text import read_raw
 from clicktrail.sources.tables import (
     append_documents,
     clear_table,
+    compact_table,
     create_table,
+    loads,
     read_logs,
     register,
     table_logs,
@@ -17,7 +19,9 @@ from clicktrail.sources.task_log import read_task_log
 __all__ = [
     "append_documents",
     "clear_table",
+    "compact_table",
     "create_table",
+    "loads",
     "read_logs",
     "read_raw",
     "read_task_log",

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-import codecs
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktrail.sources.settings import settings
 
-# Charsets whose line breaks are not the single bytes CR and LF, so files cannot be split by them.
-_WIDE = ("utf-16", "utf-16-be", "utf-16-le", "utf-32", "utf-32-be", "utf-32-le")
+_PROBE = "\r\n0\t"
+
+
+def _encoded(spark: SparkSession, text: str, encoding: str) -> bytes:
+    """Bytes of a text by the JVM's charset of that name, the one that decodes the files."""
+    with settings(spark, legacy__javaCharsets="true", legacy__codingErrorAction="true"):
+        return bytes(spark.range(1).select(F.encode(F.lit(text), encoding)).first()[0])
+
+
+def _check_line_breaks(spark: SparkSession, encoding: str) -> None:
+    """Refuse charsets whose line breaks, tabs or digits are not the single ASCII bytes."""
+    if _encoded(spark, _PROBE, encoding) != _PROBE.encode("ascii"):
+        raise ValueError(f"{encoding} files cannot be split by line; convert them to UTF-8 first")
 
 
 def read_raw(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
@@ -20,12 +29,9 @@ def read_raw(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8"
     costs no shuffle and no numbering pass. Files are split and read in parallel whatever the charset:
     lines are cut on raw bytes and decoded afterwards, with broken bytes replaced rather than fatal.
     """
-    try:
-        name = codecs.lookup(encoding).name
-    except LookupError:  # a charset that only the JVM knows
-        name = encoding.lower()
-    if name in _WIDE:
-        raise ValueError(f"{encoding} files cannot be split by line; convert them to UTF-8 first")
+    utf8 = encoding.lower().replace("_", "-") in ("utf-8", "utf8")
+    if not utf8:
+        _check_line_breaks(spark, encoding)
     lines = spark.read.text(path).select(
         F.col("value"),
         F.struct(
@@ -34,7 +40,7 @@ def read_raw(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8"
             F.monotonically_increasing_id().alias("row"),
         ).alias("load_seq"),
     )
-    if name == "utf-8":
+    if utf8:
         return lines.select(F.make_valid_utf8("value").alias("line"), "load_seq")
     # Both settings are taken up when the expression is built.
     with settings(spark, legacy__javaCharsets="true", legacy__codingErrorAction="true"):

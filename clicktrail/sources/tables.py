@@ -1,13 +1,22 @@
-"""The stored click table: Parquet, one partition per salt, rows in key order within each file."""
+"""The stored click table: Parquet, a partition per load and salt, rows in key order within each file.
+
+A load only adds its own rows, so that its cost follows the load and not the table. Readers take the last row of
+each key; ``compact_table`` merges all loads into one. Folders without loads (``write_logs``) hold each key once.
+"""
 
 from __future__ import annotations
 
+import uuid
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.operators.merge import key_ordered, latest, upsert_key_ordered
+from clicktrail.operators.merge import key_ordered, last_of, latest
 from clicktrail.schema import LOG_COLUMNS, LOGS
-from clicktrail.sources.settings import settings
+
+BYTES_PER_FILE = 256 << 20
+ROWS_PER_FILE = 4_000_000
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -15,15 +24,23 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOGS).parquet(path).select(*LOG_COLUMNS)
 
 
-def write_logs(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Write clicks that are unique by row key to a path."""
-    key_ordered(df.select(*LOG_COLUMNS)).write.mode(mode).partitionBy("salt").parquet(path)
+def write_logs(df: DataFrame, path: str, mode: str = "error", partitions: int | None = None) -> None:
+    """Write clicks that are unique by row key to a path, in ``partitions`` key ranges."""
+    key_ordered(df.select(*LOG_COLUMNS), partitions).write.mode(mode).partitionBy("salt").parquet(path)
+
+
+def partitions_for(spark: SparkSession, path: str | list[str], bytes_per_file: int = BYTES_PER_FILE) -> int:
+    """Key ranges for what is read from files, by their sizes; no content is read for it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return max(1, -(-(files.agg(F.sum("length")).first()[0] or 0) // bytes_per_file))
 
 
 def create_table(spark: SparkSession, name: str) -> None:
     """Create the catalog table where it is missing."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in LOGS if f.name != "salt")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, `salt` int) USING parquet PARTITIONED BY (`salt`)")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}, `load` string, `salt` int) USING parquet PARTITIONED BY (`load`, `salt`)"
+    )
 
 
 def clear_table(spark: SparkSession, name: str) -> bool:
@@ -34,28 +51,64 @@ def clear_table(spark: SparkSession, name: str) -> bool:
     return True
 
 
+def _partitions(spark: SparkSession, name: str) -> list[tuple[str, str]]:
+    """(load, salt) of all partitions, in load order: at most 16 for each load since the last compaction."""
+    found = (r[0].split("/") for r in spark.sql(f"SHOW PARTITIONS {name}").collect())
+    return sorted((load.partition("=")[2], salt.partition("=")[2]) for load, salt in found)
+
+
+def loads(spark: SparkSession, name: str) -> list[str]:
+    """Loads that the table holds, oldest first."""
+    return sorted({load for load, _ in _partitions(spark, name)})
+
+
 def table_logs(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name).select(*LOG_COLUMNS)
+    """Stored clicks, the last row of each key.
+
+    The oldest load, which a compaction has made the largest, is read without the keys of the later ones: it is
+    neither grouped nor sorted, and the later keys are broadcast where they are few. With one load nothing is merged.
+    """
+    stored, known = spark.table(name), loads(spark, name)
+    if len(known) <= 1:
+        return stored.select(*LOG_COLUMNS)
+    base = stored.where(F.col("load") == known[0]).select(*LOG_COLUMNS)
+    later = last_of(stored.where(F.col("load").isin(known[1:])), "load")
+    return base.join(later.select("salt", "row_key"), ["salt", "row_key"], "left_anti").select(*LOG_COLUMNS).unionByName(later)
 
 
-def upsert_table(spark: SparkSession, name: str, new: DataFrame, order: str = "load_seq") -> None:
-    """Upsert parsed clicks into a catalog table; only the salts that ``new`` holds are rewritten.
+def upsert_table(
+    spark: SparkSession, name: str, new: DataFrame, order: str = "load_seq", partitions: int | None = None
+) -> str:
+    """Add parsed clicks to a catalog table as one load; its rows replace earlier ones of their keys. Returns the load.
 
-    Dynamic partition overwrite stages the new files beside the table and swaps partitions at the commit,
-    so the job may read the partitions it replaces, and lost tasks or executors leave no trace.
+    No stored row is read or written. Files appear at the job's commit, and loads that run at once add their own
+    partitions each.
     """
     create_table(spark, name)
-    stored = table_logs(spark, name)
-    if stored.isEmpty():
-        merged = key_ordered(latest(new, order))
-    else:
-        # At most 16 numbers reach the driver.
-        touched = [r[0] for r in new.select("salt").distinct().collect()]
-        if not touched:
-            return
-        merged = upsert_key_ordered(stored.where(F.col("salt").isin(touched)), new, order)
-    with settings(spark, sources__partitionOverwriteMode="dynamic"):
-        merged.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
+    load = f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    _append(spark, name, latest(new, order), load, partitions)
+    return load
+
+
+def _append(spark: SparkSession, name: str, rows: DataFrame, load: str, partitions: int | None) -> None:
+    laid = key_ordered(rows.select(*LOG_COLUMNS), partitions).withColumn("load", F.lit(load))
+    laid.select(*spark.table(name).columns).write.mode("append").insertInto(name)
+
+
+def compact_table(spark: SparkSession, name: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Merge all loads into one.
+
+    The merged load sorts right after those that it replaces and before any that began later, so readers see the
+    same rows before, between and after its two steps: writing it, and dropping the old partitions.
+    """
+    merged = _partitions(spark, name)
+    if len({load for load, _ in merged}) <= 1:
+        return
+    rows = table_logs(spark, name)
+    count = spark.table(name).count()
+    _append(spark, name, rows, merged[-1][0] + "~", max(1, -(-count // rows_per_file)))
+    gone = ", ".join(f"PARTITION (`load` = '{load}', `salt` = {salt})" for load, salt in merged)
+    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {gone}")
 
 
 def register(df: DataFrame, name: str = "search_logs") -> None:

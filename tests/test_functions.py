@@ -31,7 +31,7 @@ def apply(spark, expression, values, kind="string"):
 
 
 DOMAINS = {
-    "http://www.acme.com/travel": "acme",
+    "http://shop.acme.com/rooms?id=3": "acme",
     "news.acme.com:8080/x": "acme",
     "HTTP://WWW.ACME.COM/": "ACME",
     "http://www.acme.com./": "acme",
@@ -100,7 +100,7 @@ TIMES = {
     "12:30:00:1": None,
     "::": None,
     "99999999999:00:00": None,
-    "1２:00:00": None,
+    "1２:00:00": 43_200_000,
     "": None,
 }
 

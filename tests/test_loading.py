@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from clicktrail.functions import row_key, salt
 from clicktrail.operators import clicks, latest, load_stats, parse_lines, rejects, upsert
-from clicktrail.operators.merge import key_ordered, upsert_key_ordered
+from clicktrail.operators.merge import key_ordered
 from clicktrail.plans import load_documents, load_files
 from clicktrail.schema import LOG_COLUMNS, LOGS
 from clicktrail.sources import (
     clear_table,
+    compact_table,
     create_table,
+    loads,
     read_logs,
     read_raw,
     register,
@@ -22,11 +24,12 @@ from clicktrail.sources import (
     write_logs,
 )
 from clicktrail.sources.settings import settings
+from clicktrail.sources.tables import partitions_for
 
-GOOD = "00:00:01\tuser1\t[旅游]\t1 1\thttp://www.acme.com/travel"
+GOOD = "07:41:12\tann\t[hotel 7]\t4 2\thttp://shop.acme.com/rooms?id=3"
 
 
-def line(time="00:00:01", user="user1", query="[旅游]", numbers="1 1", url="http://www.acme.com/travel"):
+def line(time="07:41:12", user="ann", query="[hotel 7]", numbers="4 2", url="http://shop.acme.com/rooms?id=3"):
     return "\t".join((time, user, query, numbers, url))
 
 
@@ -37,6 +40,7 @@ REASONS = [
     (line(time="12:30:00:"), None),
     (line(time=" 12:30:00 "), None),
     (line(query=""), None),
+    (line(time="１２:٣0:00", numbers="１ ２"), None),
     (line(numbers="1\x0b 2"), None),
     (line(numbers=" +1  -2 "), None),
     (line(numbers="2147483647 -2147483648"), None),
@@ -75,15 +79,15 @@ def test_parsed_cells(spark):
     row = clicks(parse_lines(spark.createDataFrame([(7, "\x00 " + GOOD)], "line_no int, line string"))).first()
     assert row.asDict() == {
         "line_no": 7,
-        "row_key": "06|9223372036854774807#user1#acme",
-        "salt": 6,
-        "ts_ms": 1000,
-        "access_time": "00:00:01",
-        "user_id": "user1",
-        "query": "[旅游]",
-        "rank": 1,
-        "click_order": 1,
-        "url": "http://www.acme.com/travel",
+        "row_key": "01|9223372036827103807#ann#acme",
+        "salt": 1,
+        "ts_ms": 27_672_000,
+        "access_time": "07:41:12",
+        "user_id": "ann",
+        "query": "[hotel 7]",
+        "rank": 4,
+        "click_order": 2,
+        "url": "http://shop.acme.com/rooms?id=3",
         "domain": "acme",
     }
 
@@ -146,7 +150,7 @@ def test_upsert_new_beats_stored_whatever_its_order(spark):
     stored = latest(some_clicks(spark, line(numbers="1 1"), line(user="u2"), first=100), "line_no")
     new = some_clicks(spark, line(numbers="2 2"), line(numbers="3 3"), line(user="u3"))
     rows = {r.user_id: r["rank"] for r in upsert(stored, new, "line_no").collect()}
-    assert rows == {"user1": 3, "u2": 1, "u3": 1}
+    assert rows == {"ann": 3, "u2": 4, "u3": 4}
 
 
 def test_upsert_combines_a_hot_key_before_the_shuffle(spark):
@@ -161,16 +165,6 @@ def test_upsert_combines_a_hot_key_before_the_shuffle(spark):
     assert shuffled < combined  # a plan prints its inputs below
 
 
-def test_merge_for_writing_shuffles_stored_rows_once(spark, logs):
-    new = some_clicks(spark, GOOD, line(user="nobody"), line(user="nobody", numbers="4 4"))
-    merged = upsert_key_ordered(logs, new, "line_no")
-    plan = merged._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange rangepartitioning(salt") == 1
-    assert plan.count("Exchange hashpartitioning(ts_ms") == 1  # of the new rows
-    assert plan.index("Exchange rangepartitioning") < plan.index("Exchange hashpartitioning")
-    assert sorted(merged.collect()) == sorted(upsert(logs, new, "line_no").collect())
-
-
 def test_a_hot_user_is_spread_over_the_written_ranges(spark):
     # A third of all rows is by one user, so in one salt.
     rows = spark.range(0, 60_000, 1, 8).select(
@@ -236,8 +230,9 @@ def test_read_raw_replaces_broken_bytes(spark, tmp_path, encoding):
 
 
 def test_read_raw_refuses_wide_charsets(spark, tmp_path):
-    with pytest.raises(ValueError, match="UTF-8"):
-        read_raw(spark, str(tmp_path), "UTF-16LE")
+    for encoding in ("UTF-16LE", "UTF-32", "x-UTF-16LE-BOM", "cp037", "IBM1047"):
+        with pytest.raises(ValueError, match="UTF-8"):
+            read_raw(spark, str(tmp_path), encoding)
 
 
 # --- Tables ------------------------------------------------------------------------------------
@@ -279,22 +274,54 @@ def test_create_clear_table(spark, table):
     assert table_logs(spark, table).columns == LOG_COLUMNS
 
 
-def test_upsert_table_rewrites_only_the_salts_it_touches(spark, table, tmp_path):
-    users = ["user1", "user123", "旅游"]
-    upsert_table(spark, table, some_clicks(spark, *(line(user=u) for u in users)), "line_no")
+def table_rows(spark, table):
+    return sorted((r.user_id, r.access_time, r["rank"]) for r in table_logs(spark, table).collect())
 
-    def files():
-        rows = spark.table(table).select("salt", F.input_file_name().alias("f")).distinct().collect()
-        return {r.salt: r.f for r in rows}
 
-    before = files()
-    assert before.keys() == {6, 9, 3}
+def test_a_load_leaves_all_earlier_files(spark, table):
+    users = ["ann", "user1", "user123", "旅游"]
+    upsert_table(spark, table, some_clicks(spark, *(line(user=u) for u in users)), "line_no")
+    before = set(spark.table(table).inputFiles())
     upsert_table(spark, table, some_clicks(spark, line(numbers="5 5"), line(time="01:00:00")), "line_no")
-    after = files()
-    assert after.keys() == before.keys()
-    assert {s for s in after if after[s] != before[s]} == {6}
-    rows = sorted((r.user_id, r.access_time, r["rank"]) for r in table_logs(spark, table).collect())
-    assert rows == [("user1", "00:00:01", 5), ("user1", "01:00:00", 1), ("user123", "00:00:01", 1), ("旅游", "00:00:01", 1)]
+    after = set(spark.table(table).inputFiles())
+    assert before < after
+    expected = [("ann", "01:00:00", 4), ("ann", "07:41:12", 5), *((u, "07:41:12", 4) for u in users[1:])]
+    assert table_rows(spark, table) == expected
+    assert len(loads(spark, table)) == 2
+    compact_table(spark, table)
+    assert table_rows(spark, table) == expected
+    assert len(loads(spark, table)) == 1
+    assert not set(spark.table(table).inputFiles()) & after
+    # A load after a compaction still comes last, and one row more is one more load.
+    upsert_table(spark, table, some_clicks(spark, line(numbers="6 6")), "line_no")
+    assert table_rows(spark, table)[1] == ("ann", "07:41:12", 6)
+    compact_table(spark, table)
+    compact_table(spark, table)
+    assert table_rows(spark, table)[1] == ("ann", "07:41:12", 6)
+
+
+def test_the_oldest_load_is_not_grouped(spark, table):
+    for numbers in ("1 1", "2 2", "3 3"):
+        upsert_table(spark, table, some_clicks(spark, line(numbers=numbers), line(user="u2")), "line_no")
+    plan = table_logs(spark, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan
+    assert plan.index("Join LeftAnti") < plan.index("Aggregate")
+    assert table_rows(spark, table) == [("ann", "07:41:12", 3), ("u2", "07:41:12", 4)]
+
+
+def test_more_input_gives_more_files(spark, table, tmp_path):
+    texts = [line(user=f"u{i}") for i in range(4000)]
+    write(tmp_path / "small" / "a.log", "\n".join(texts[:400]).encode())
+    write(tmp_path / "large" / "a.log", "\n".join(texts).encode())
+    target = 20_000
+    ranges = {name: partitions_for(spark, str(tmp_path / name), target) for name in ("small", "large")}
+    assert ranges["large"] > 5 * ranges["small"]
+    files = []
+    for name in ranges:
+        clear_table(spark, table)
+        load_files(spark, str(tmp_path / name), table, bytes_per_file=target)
+        files.append(len(spark.table(table).inputFiles()))
+    assert files[1] > files[0]
 
 
 def test_upsert_table_with_nothing_new(spark, table):
@@ -303,13 +330,19 @@ def test_upsert_table_with_nothing_new(spark, table):
 
 
 def test_load_files(spark, table, tmp_path):
-    write(tmp_path / "day1" / "a.log", "\n".join([GOOD, "bad", line(numbers="2 2"), ""]).encode("GBK"))
+    write(tmp_path / "day1" / "a.log", "\n".join([line(query="[旅游]"), "bad", line(query="[旅游]", numbers="2 2"), ""]).encode("GBK"))
     write(tmp_path / "day2" / "a.log", "\n".join([line(numbers="3 3"), line(user="u2")]).encode())
     rejected = str(tmp_path / "rejects")
-    load_files(spark, str(tmp_path / "day1"), table, rejected, "GBK")
+    first = load_files(spark, str(tmp_path / "day1"), table, rejected, "GBK")
+    assert (first.lines, first.parsed, first.rejected) == (3, 2, {"field_count": 1})
     assert [(r.query, r["rank"]) for r in table_logs(spark, table).collect()] == [("[旅游]", 2)]
+    second = load_files(spark, str(tmp_path / "day2"), table, rejected)
+    assert (second.lines, second.parsed, second.rejected) == (2, 2, {})
+    assert sorted((r.user_id, r["rank"]) for r in table_logs(spark, table).collect()) == [("ann", 3), ("u2", 4)]
+    # The same files again: the same rows, and the same bad lines once.
+    load_files(spark, str(tmp_path / "day1"), table, rejected, "GBK")
     load_files(spark, str(tmp_path / "day2"), table, rejected)
-    assert sorted((r.user_id, r["rank"]) for r in table_logs(spark, table).collect()) == [("u2", 1), ("user1", 3)]
+    assert sorted((r.user_id, r["rank"]) for r in table_logs(spark, table).collect()) == [("ann", 3), ("u2", 4)]
     assert [(r.line, r.reason) for r in spark.read.parquet(rejected).collect()] == [("bad", "field_count")]
 
 
@@ -323,7 +356,7 @@ def test_documents_are_appended(spark, tmp_path, kind):
     assert back.count() == 4
     row = back.first().asDict()
     assert row["tokens"] is None
-    assert (row["ts"], row["tsStr"], row["userId"], row["clickOrder"], row["domain"]) == (1000, "00:00:01", "user1", 1, "acme")
+    assert (row["ts"], row["tsStr"], row["userId"], row["clickOrder"], row["domain"]) == (27_672_000, "07:41:12", "ann", 2, "acme")
     if kind == "json":
         assert all('"tokens":null' in r.value for r in spark.read.text(out).collect())
 

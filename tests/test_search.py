@@ -1,7 +1,7 @@
 """Conditions, searches, lookups by key and saved results."""
 
-import importlib
 import math
+import sys
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clicktrail import SearchCondition
+from clicktrail.functions import row_key
 from clicktrail.operators import (
     get_by_key,
     get_by_keys,
@@ -45,7 +46,7 @@ C = SearchCondition
         ("rank:99999999999", C()),
         ("rank:1-9 + rank:5-x", C(rank=(5, 9))),
         ("click:1-3", C(click=(1, 3))),
-        ("user:user1|user2 + rank:1-10", C(users=["user1", "user2"], rank=(1, 10))),
+        ("user:ann|bob + rank:3-17", C(users=["ann", "bob"], rank=(3, 17))),
         ("user:a | b", C(users=["a ", " b"])),
         ("user:a|b||", C(users=["a", "b"])),
         ("user:|a", C(users=["", "a"])),
@@ -85,6 +86,14 @@ def test_key_is_canonical():
     assert C().key() == ""
 
 
+def test_identity_tells_conditions_apart():
+    assert C(query=["click|view"]).key() == C(query=["click", "view"]).key()
+    assert C(query=["click|view"]).identity() != C(query=["click", "view"]).identity()
+    assert C(users=["a", ""]).identity() != C(users=["a"]).identity()
+    assert C(query=["c++"]).identity() != C(query=["c"]).identity()
+    assert C.parse("rank:1-5+query:x").identity() == C(query=["x"], rank=(1, 5)).identity()
+
+
 def matches(c, row, mode="substring"):
     """The condition tested on one row, in Python."""
 
@@ -136,6 +145,20 @@ def test_like_patterns_and_quotes_are_data(spark, logs):
     assert hits(logs, C(query=["' OR 1=1 --"], users=["o'x"]), "like").count() == 0
 
 
+def test_like_takes_backslashes_as_they_are(spark, logs):
+    urls = ["x/a\\b", "a\\", "a", "50%", "5_0", "a\\%b"]
+    rows = logs.limit(1).drop("url").join(spark.createDataFrame([(u,) for u in urls], "url string"))
+
+    def found(keyword):
+        return sorted(r.url for r in hits(rows, C(url=[keyword]), "like").collect())
+
+    assert found("a\\b") == ["x/a\\b"]
+    assert found("a\\") == sorted(["x/a\\b", "a\\", "a\\%b"])
+    assert found("\\%b") == sorted(["x/a\\b", "a\\%b"])
+    assert found("5_") == sorted(["50%", "5_0"])
+    assert found("%") == sorted(urls)
+
+
 def test_empty_keyword_and_empty_user(logs):
     assert hits(logs, "query:").count() == logs.count()
     assert hits(logs, "user:").count() == 0
@@ -178,10 +201,26 @@ def test_pages_join_up_to_the_whole(logs):
         page(found, 0)
 
 
+def test_pages_read_only_the_salts_they_need(logs, logs_list):
+    keys = sorted(r.row_key for r in logs_list)
+    for df in (page(logs, 2, 20), page_after(logs, keys[100], 20)):
+        assert "salt" in plan_of(df).split("PartitionFilters")[1].split("]")[0]
+
+
+def test_pages_of_times_outside_a_day(spark, logs, monkeypatch):
+    monkeypatch.setattr(sys.modules["clicktrail.operators.search"], "_SORTED", 10)
+    spread = spark.range(20_000).select(
+        F.lit(6).alias("salt"), ((F.col("id") - 500) * 360_000_000).alias("ts_ms"), F.lit("user1").alias("user_id"), F.lit("acme").alias("domain")
+    )
+    found = spread.select(row_key("salt", "ts_ms", "user_id", "domain").alias("row_key"), "salt")
+    keys = sorted(r.row_key for r in found.collect())
+    for number in (1, 60, 777, 1000):
+        assert [r.row_key for r in page(found, number, 20).collect()] == keys[(number - 1) * 20 : number * 20]
+
+
 def test_deep_pages(logs, logs_list, monkeypatch):
-    module = importlib.import_module("clicktrail.operators.search")
     keys = sorted(r.row_key for r in logs_list)
-    monkeypatch.setattr(module, "SORTED_SKIP", -1)
+    monkeypatch.setattr(sys.modules["clicktrail.operators.search"], "_SORTED", 0)
     for number in (1, 4, 7, len(keys) // 50, len(keys) // 50 + 1, len(keys) // 50 + 2):
         expected = keys[(number - 1) * 50 : number * 50]
         assert [r.row_key for r in page(logs, number, 50).collect()] == expected
@@ -219,6 +258,7 @@ def test_long_key_lists_are_not_broadcast_by_force(logs, logs_list):
     keys = [r.row_key for r in logs_list] + [f"00|{i}" for i in range(1000)]
     found = get_by_keys(logs, keys)
     assert "strategy=broadcast" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan_of(found).split("PartitionFilters")[1].split("]")[0]
     assert found.collect() == logs_list
 
 
@@ -261,18 +301,36 @@ def test_saved_results(spark, logs, tmp_path):
     condition = "query:view + rank:1-5"
     expected = search(logs, condition, limit=40).collect()
     assert search_saved(logs, condition, path, limit=40).collect() == expected
-    assert load_result(logs, condition, path).collect() == expected
+    loaded = load_result(logs, condition, path, limit=40)
+    assert loaded.collect() == expected
+    assert "row_key" in plan_of(loaded).split("PushedFilters")[1].split("]")[0].replace("IsNotNull(row_key)", "")
     # Another condition stands beside it; one without hits leaves nothing.
     save_result(logs, "rank:2", path)
     save_result(logs, "user:nobody", path)
     assert load_result(logs, "user:nobody", path).count() == 0
     # Rows that are gone vanish, the others show their cells of today.
     changed = logs.where(F.col("row_key") != expected[0].row_key).withColumn("rank", F.lit(77))
-    now = load_result(changed, condition, path).collect()
+    now = load_result(changed, condition, path, limit=40).collect()
     assert [r.row_key for r in now] == [r.row_key for r in expected[1:]]
     assert {r["rank"] for r in now} == {77}
     # Equal conditions share a result, and saving again replaces it.
-    assert search_saved(changed, "rank:1-5+query:view", path).count() == len(expected) - 1
-    save_result(logs, condition, path, limit=5)
-    assert load_result(logs, condition, path).count() == 5
+    assert search_saved(changed, "rank:1-5+query:view", path, limit=40).count() == len(expected) - 1
+    fewer = logs.where(F.col("row_key") != expected[0].row_key)
+    save_result(fewer, condition, path, limit=40)
+    assert expected[0].row_key not in {r.row_key for r in load_result(logs, condition, path, limit=40).collect()}
     assert load_result(logs, "rank:2", path).count() == min(100, hits(logs, "rank:2").count())
+
+
+def test_a_saved_result_serves_its_own_limit_and_mode(logs, tmp_path):
+    path = str(tmp_path / "saved")
+    total = hits(logs, "query:view").count()
+    assert search_saved(logs, "query:view", path, limit=5).count() == 5
+    assert search_saved(logs, "query:view", path, limit=100).count() == min(100, total)
+    assert search_saved(logs, C(query=["V_EW"]), path, mode="like").count() == search(logs, C(query=["V_EW"]), "like").count()
+    assert search_saved(logs, C(query=["V_EW"]), path).count() == 0
+    assert search_saved(logs, C(query=["click", "view"]), path).count() > 0
+    assert search_saved(logs, C(query=["click|view"]), path).count() == 0
+
+
+def test_a_search_without_hits_under_a_new_path(logs, tmp_path):
+    assert search_saved(logs, "user:nobody", str(tmp_path / "new")).count() == 0

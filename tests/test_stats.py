@@ -142,9 +142,9 @@ def chart(df, **options):
 def test_other_sums_the_rows_up_to_the_cap(spark):
     df = counted(spark, range(200, 0, -1))
     top = {(f"k{i:03d}", False): 200 - i for i in range(8)}
-    assert chart(df) == top | {("其他", True): sum(range(101, 193))}
-    assert chart(df, cap=None) == top | {("其他", True): sum(range(1, 193))}
-    assert chart(df, n=2, other="rest") == {("k000", False): 200, ("k001", False): 199, ("rest", True): sum(range(101, 199))}
+    assert chart(df) == top | {("其他", True): sum(range(1, 193))}
+    assert chart(df, cap=100) == top | {("其他", True): sum(range(101, 193))}
+    assert chart(df, n=2, cap=100, other="rest") == {("k000", False): 200, ("k001", False): 199, ("rest", True): sum(range(101, 199))}
 
 
 def test_other_is_left_out_when_nothing_remains(spark):
@@ -185,6 +185,17 @@ def test_report_parts_equal_the_single_statistics(logs, win, rows):
             assert "InMemoryRelation" in plan, name
 
 
+def test_a_report_keeps_little_and_frees_it(spark, logs):
+    many = spark.range(20_000).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in logs.schema.fields if f.name not in ("user_id", "access_time", "ts_ms", "rank")), F.concat(F.lit("u"), "id").alias("user_id"), F.lit("10:00:00").alias("access_time"), F.lit(36_000_000).cast("bigint").alias("ts_ms"), (F.col("id") % 7).cast("int").alias("rank"))
+    with traffic_report(many, START, END, k=15) as report:
+        assert report["summary_report"].first()["unique_users"] == 20_000
+        assert report._kept.count() < 100
+    single = traffic_report(logs, START, END, keep=False)
+    assert single["user_frequency"].count() > 0
+    assert not single._kept.is_cached
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
 def test_report_files(spark, logs, win, tmp_path):
     with traffic_report(logs, START, END, k=15) as report:
         folder = write_report(report, str(tmp_path), "20260101_000000")

@@ -67,7 +67,16 @@ def test_task_info(spark, folder):
 
 def test_recent_operations(spark, folder):
     lines = read_task_log(spark, folder)
-    # The text line sorts above all times and takes one of the four places.
-    recent = recent_operations(lines, 4).collect()
-    assert [(r.task_id, r.status) for r in recent] == [("B_2", "SUCCESS"), ("F_6", "START")]
+    # A text line sorts above all times, but makes no record.
+    recent = [(r.task_id, r.status) for r in recent_operations(lines, 4).collect()]
+    assert len(recent) == 4 and recent[:2] == [("B_2", "SUCCESS"), ("F_6", "START")]
     assert len(recent_operations(lines, 100).collect()) == 9
+    # Where lines are picked first, such lines take some of the places.
+    early = recent_operations(lines, 4, lines_first=True).collect()
+    assert [(r.task_id, r.status) for r in early] == [("B_2", "SUCCESS"), ("F_6", "START")]
+
+
+def test_a_stack_trace_hides_no_operation(spark):
+    texts = [f"2026-03-04 05:06:0{i}|T_{i}|START|X|" for i in range(5)] + [f"trace {i}" for i in range(10)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "load_seq int, line string")
+    assert [r.task_id for r in recent_operations(lines, 5).collect()] == [f"T_{i}" for i in (4, 3, 2, 1, 0)]
