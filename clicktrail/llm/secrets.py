@@ -146,7 +146,7 @@ def redact(docs: DataFrame, model: MarkovPair, threshold: float = 10.0, text_col
 
     def masked(text: Column, kind: str, pattern: str) -> Column:
         keep = _kept(kind, model, threshold)
-        parts = F.zip_with(F.split(text, pattern, -1), _found(text, pattern), lambda gap, m: F.concat(gap, F.coalesce(F.when(keep(m), F.lit(MARK)).otherwise(m), F.lit(""))))
+        parts = F.zip_with(F.split(text, pattern, -1), _found(text, pattern), lambda gap, m: F.concat(gap, F.coalesce(F.when(m.isNotNull() & keep(m), F.lit(MARK)).otherwise(m), F.lit(""))))
         return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
 
     out = docs
