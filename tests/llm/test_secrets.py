@@ -1,0 +1,98 @@
+"""Secret scans against Python's regular expressions and a plain Markov model."""
+
+import math
+import re
+from collections import Counter
+
+import pytest
+
+from clicktrail.llm import secrets
+from tests.llm.conftest import frame
+
+BASE = {
+    "assign": re.compile(secrets.ASSIGN, re.ASCII),
+    "access": re.compile(r"AKIA[A-Z0-9]+"),
+    "hex": re.compile(r"[0-9a-f]+"),
+}
+KEPT = {"assign": lambda m: len(m[1]) >= 8, "access": lambda m: len(m[0]) >= 16, "hex": lambda m: len(m[0]) >= 32}
+HEX = "0123456789abcdef0123456789abcdef"
+TEXTS = [
+    f"é😀 token = '{HEX}' and {HEX}",
+    "password: token = abcdefgh1",
+    "secret=short api_key=\"long-enough.value\" APIKEY : x",
+    f"AKIA AKIAABC AKIAABCDEFGHIJKL {HEX[:31]} {HEX}0",
+    f"apikey={HEX} tokentoken=abcdefgh passwdpassword=12345678",
+    "PassWord='ſecretſecret' password=ſ12345678",
+    "xq9Zt7LmW2pKv8RjN4bHs6 is random, internationalization is not",
+]
+
+
+def base_spans(text):
+    found = [(m.start(), list(BASE).index(k), m.end(), k) for k, p in BASE.items() for m in p.finditer(text or "") if KEPT[k](m)]
+    return [(a, z, k) for a, _, z, k in sorted(found)]
+
+
+@pytest.fixture(scope="module")
+def model(documents):
+    return secrets.train(secrets.labelled_samples(documents, per_label=3000))
+
+
+def check(docs, model):
+    rows = secrets.scan(docs, model).collect()
+    got = sorted((repr(r.doc_id), [(s.start, s.end, s.kind) for s in r.base_spans]) for r in rows)
+    assert got == sorted((repr(r.doc_id), base_spans(r.text)) for r in docs.select("doc_id", "text").collect())
+    for r in rows:
+        spans = [(s.start, s.end, s.kind) for s in r.spans]
+        assert [s for s in spans if s[2] != "random"] == [(s.start, s.end, s.kind) for s in r.base_spans]
+        assert spans == sorted(spans, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+        assert (r.n_assign, r.n_access, r.n_hex, r.n_random) == tuple(sum(s[2] == k for s in spans) for k in secrets.KINDS)
+        assert not any(a < z2 and a2 < z for a, z, k in spans if k == "random" for a2, z2, k2 in spans if k2 != "random")
+    return rows
+
+
+def test_patterns(spark, model):
+    rows = {r.doc_id: r for r in check(frame(spark, TEXTS), model)}
+    assert rows[0].n_assign == 1 and rows[0].n_hex == 2
+    assert [(s.start, s.end) for s in rows[6].spans if s.kind == "random"] == [(0, 22)]
+
+
+def test_odd_rows_and_empty_table(odd, empty, model):
+    check(odd, model)
+    assert secrets.scan(empty, model).collect() == []
+
+
+def test_given_documents(documents, model):
+    rows = check(documents, model)
+    assert sum(r.n_hex for r in rows) > 0
+
+
+def test_training_needs_no_samples(spark, empty):
+    model = secrets.train(secrets.labelled_samples(empty))
+    assert all(abs(x) < 1e-9 for x in model.ratios)
+    check(frame(spark, TEXTS), model)
+
+
+def test_scores_equal_a_plain_model(spark):
+    samples = [("aB3xQ9zL", 1), ("qW7rT2yU", 1), ("ordinary", 0), ("identifier_name", 0)]
+    model = secrets.train(spark.createDataFrame(samples, "token string, label int"), smooth=1.0)
+    places = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+    pairs = {y: Counter((places.get(a, 0), places.get(b, 0)) for t, label in samples if label == y for a, b in zip(t, t[1:])) for y in (0, 1)}  # noqa: B905
+
+    def p(y, a, b):
+        return (pairs[y][a, b] + 1) / (sum(n for (x, _), n in pairs[y].items() if x == a) + secrets.WIDTH)
+
+    for token in ("aB3xQ9zL", "ordinary", "é9", "x", ""):
+        at = [places.get(c, 0) for c in token]
+        wanted = sum(math.log(p(1, a, b) / p(0, a, b)) for a, b in zip(at, at[1:]))  # noqa: B905
+        df = spark.createDataFrame([(token,)], "t string")
+        assert df.select(model.score(df.t)).first()[0] == pytest.approx(wanted, abs=1e-3)
+
+
+def test_masking_takes_what_the_scan_finds(spark, model):
+    docs = frame(spark, [*TEXTS, None, "", "clean text"])
+    out = {r.doc_id: r for r in secrets.redact(docs, model).collect()}
+    assert secrets.redact(docs, model).columns == docs.columns
+    assert out[0].text == "é😀 [SECRET]' and [SECRET]"
+    assert out[6].text.startswith("[SECRET] is random, internationalization")
+    assert [out[i].text for i in (7, 8, 9)] == [None, "", "clean text"]
+    assert all(not base_spans(r.text) for r in out.values())
