@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FEW = 64
-"""Words of more symbols are merged through a heap."""
+"""Words of more bytes are merged one by one through a heap."""
+NONE = 1 << 40
+PORTION = 1 << 20
+"""Code points of text that are encoded together."""
 
 
 def _byte_letters() -> dict[str, int]:
@@ -48,6 +51,10 @@ class Vocabulary:
         for letter, b in letters.items():
             self.first[b] = ids[letter]
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        codes = np.array([ids[a] << 32 | ids[b] for a, b in pairs], dtype=np.int64)
+        order = np.argsort(codes)
+        self.codes, self.ranks = codes[order], order.astype(np.int64)
+        self.joined = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in parsed["added_tokens"]):
             raise ValueError("special tokens must be plain strings")
@@ -71,20 +78,58 @@ class Vocabulary:
         if at < len(text):
             yield text[at:], None
 
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of a word: the pair of lowest rank is merged, the leftmost first, until none is left."""
-        ids = [self.first[b] for b in word]
-        return self._merge_few(ids) if len(ids) <= FEW else self._merge_many(ids)
-
-    def _merge_few(self, ids: list[int]) -> list[int]:
-        rules = self.merges
-        while len(ids) > 1:
-            best = min(((rules[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rules), default=None)  # noqa: B905
-            if best is None:
-                break
-            (_, joined), i = best
-            ids[i : i + 2] = [joined]
-        return ids
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, four bytes an id: the pair of lowest rank is merged, the leftmost first, until none is left."""
+        out = [b""] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            if len(word) > FEW:
+                out[i] = np.array(self._merge_many([self.first[b] for b in word]), dtype="<u4").tobytes()
+            else:
+                by_width.setdefault(max(4, 1 << (len(word) - 1).bit_length()), []).append(i)
+        for width, places in by_width.items():
+            for at in range(0, len(places), 20_000):
+                part = places[at : at + 20_000]
+                for i, ids in zip(part, self._merge_together([words[i] for i in part], width), strict=True):
+                    out[i] = ids
+        return out
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; ``NONE`` where there is no rule."""
+        code = a << 32 | b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((self.codes[at] == code) & (b >= 0), self.ranks[at], NONE)
+
+    def _merge_together(self, words: list[bytes], width: int) -> list[bytes]:
+        """All words side by side, one merge of each in a step."""
+        lengths = np.array([len(w) for w in words])
+        ids = np.full((len(words), width + 1), -1, dtype=np.int64)
+        ids[np.arange(width + 1) < lengths[:, None]] = np.array(self.first, dtype=np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = np.concatenate([self._rank(ids[:, :-1], ids[:, 1:]), np.full((len(words), 1), NONE)], axis=1)
+        columns, live, done = np.arange(width + 1), np.arange(len(words)), ids.copy()
+        while len(live):
+            at = ranks.argmin(axis=1)
+            rows = np.arange(len(live))
+            best = ranks[rows, at]
+            more = best < NONE
+            if not more.all():
+                done[live[~more]] = ids[~more]
+                ids, ranks, live, at, best = ids[more], ranks[more], live[more], at[more], best[more]
+                rows = np.arange(len(live))
+                if not len(live):
+                    break
+            shifted = np.minimum(columns + (columns > at[:, None]), width)
+            ids = np.take_along_axis(ids, shifted, axis=1)
+            ids[:, -1] = -1
+            ids[rows, at] = self.joined[best]
+            ranks = np.take_along_axis(ranks, np.minimum(columns + (columns >= at[:, None]), width), axis=1)
+            ranks[:, -1] = NONE
+            ranks[rows, at] = self._rank(ids[rows, at], ids[rows, np.minimum(at + 1, width)])
+            left = np.maximum(at - 1, 0)
+            ranks[rows, left] = np.where(at > 0, self._rank(ids[rows, left], ids[rows, at]), ranks[rows, left])
+        counts = (done >= 0).sum(axis=1)
+        raw, ends = done[done >= 0].astype("<u4").tobytes(), 4 * np.cumsum(counts)
+        return [raw[z - 4 * n : z] for z, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
     def _merge_many(self, ids: list[int]) -> list[int]:
         rules, n = self.merges, len(ids)
@@ -114,18 +159,18 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 class Lexicon:
     """A minimal acyclic automaton over the bytes of words; a word's path adds up to its place in the outputs.
 
-    One block of 32-bit integers: a head of five counts, for each state its first arc and whether a word ends there,
-    for each arc byte, target and number, for each word the start of its ids, then all ids.
+    One block of 32-bit integers: a head of five counts, for each state whether a word ends there, for each arc its
+    state and byte in one key, its target and its number, for each word the start of its ids, then all ids. Keys rise.
     """
 
     def __init__(self, block: np.ndarray) -> None:
         states, arcs, words, ids, self.root = (int(x) for x in block[:5])
-        cuts = np.cumsum([5, states + 1, states, arcs, arcs, arcs, words + 1, ids])
-        self.first, self.final, self.label, self.target, self.number, self.starts, self.ids = (block[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True))
+        cuts = np.cumsum([5, states, arcs, arcs, arcs, words + 1, ids])
+        self.final, self.key, self.target, self.number, self.starts, self.ids = (block[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True))
 
     @classmethod
-    def build(cls, entries: dict[bytes, list[int]]) -> Lexicon:
-        """Compile words in byte order; states with the same future are one state."""
+    def build(cls, entries: dict[bytes, bytes]) -> Lexicon:
+        """Compile words, given with their ids, in byte order; states with the same future are one state."""
         known: dict[tuple, int] = {}
         states: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
         size: list[int] = []
@@ -156,24 +201,23 @@ class Lexicon:
             path[-1][0][0] = True
         close(0)
         root = keep(path[0])
-        first, final, label, target, number = [0], [], [], [], []
-        for ends, arcs in states:
+        final, keys, target, number = [], [], [], []
+        for state, (ends, arcs) in enumerate(states):
             final.append(int(ends))
             before = int(ends)
             for b, t in arcs:
-                label.append(b)
+                keys.append(state << 8 | b)
                 target.append(t)
                 number.append(before)
                 before += size[t]
-            first.append(len(label))
-        starts = np.cumsum([0, *(len(entries[w]) for w in words)])
-        ids = [i for w in words for i in entries[w]]
-        head = [len(states), len(label), len(words), len(ids), root]
-        return cls(np.concatenate([np.array(x, dtype=np.int32) for x in (head, first, final, label, target, number, starts, ids)]))
+        starts = np.cumsum([0, *(len(entries[w]) // 4 for w in words)])
+        ids = np.frombuffer(b"".join(entries[w] for w in words), dtype="<u4")
+        head = [len(states), len(keys), len(words), len(ids), root]
+        return cls(np.concatenate([np.array(x, dtype=np.int32) for x in (head, final, keys, target, number, starts, ids)]))
 
     def block(self) -> bytes:
-        parts = (self.first, self.final, self.label, self.target, self.number, self.starts, self.ids)
-        head = np.array([len(self.final), len(self.label), len(self.starts) - 1, len(self.ids), self.root], dtype=np.int32)
+        parts = (self.final, self.key, self.target, self.number, self.starts, self.ids)
+        head = np.array([len(self.final), len(self.key), len(self.starts) - 1, len(self.ids), self.root], dtype=np.int32)
         return np.concatenate([head, *parts]).astype(np.int32).tobytes()
 
     @classmethod
@@ -187,16 +231,32 @@ class Lexicon:
         area.write(block)
         return cls(np.frombuffer(area, dtype=np.int32))
 
-    def find(self, word: bytes) -> np.ndarray | None:
-        state, place = self.root, 0
-        for b in word:
-            a, z = self.first[state], self.first[state + 1]
-            i = a + self.label[a:z].searchsorted(b)
-            if i == z or self.label[i] != b:
-                return None
-            place += self.number[i]
-            state = self.target[i]
-        return self.ids[self.starts[place] : self.starts[place + 1]] if self.final[state] else None
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of each word, or None; all words go along their paths side by side, a byte in each step."""
+        out: list[bytes | None] = [None] * len(words)
+        if not words or not len(self.key):
+            return out
+        lengths = np.array([len(w) for w in words])
+        letters = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        live = np.arange(len(words))
+        state, place = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        for step in range(int(lengths.max())):
+            ended = lengths[live] == step
+            self._give(out, live[ended], state[ended], place[ended])
+            live, state, place = live[~ended], state[~ended], place[~ended]
+            wanted = state << 8 | letters[starts[live] + step]
+            at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+            found = self.key[at] == wanted
+            live, at = live[found], at[found]
+            state, place = self.target[at].astype(np.int64), place[found] + self.number[at]
+        self._give(out, live, state, place)
+        return out
+
+    def _give(self, out: list[bytes | None], rows: np.ndarray, state: np.ndarray, place: np.ndarray) -> None:
+        at_end = self.final[state] == 1
+        for row, p in zip(rows[at_end].tolist(), place[at_end].tolist(), strict=True):
+            out[row] = self.ids[self.starts[p] : self.starts[p + 1]].tobytes()
 
 
 class Codec:
@@ -206,29 +266,39 @@ class Codec:
         self.vocabulary, self.lexicon, self.remember = vocabulary, lexicon, remember
         self.seen: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        raw = word.encode("utf-8")
-        ids = self.lexicon.find(raw)
-        if ids is None:
-            ids = np.array(self.vocabulary.merge(raw), dtype="<u4")
-        out = ids.astype("<u4").tobytes()
-        if len(raw) <= FEW:
-            if len(self.seen) >= self.remember:
-                self.seen.clear()
-            self.seen[word] = out
+    def _learn(self, words: set[str]) -> None:
+        """Look words up in the lexicon; merge those it doesn't hold."""
+        fresh = sorted(words)
+        raw = [w.encode("utf-8") for w in fresh]
+        found = self.lexicon.find(raw)
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(missing, self.vocabulary.merge([raw[i] for i in missing]), strict=True):
+            found[i] = ids
+        self.seen.update(zip(fresh, found, strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= PORTION):
+                size += len(texts[end])
+                end += 1
+            out += self._encode([list(self.vocabulary.parts(t)) for t in texts[at:end]])
+            at = end
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out, seen = [], self.seen
-        for part, special in self.vocabulary.parts(text):
-            if special is not None:
-                out.append(special.to_bytes(4, "little"))
-                continue
-            for word in self.vocabulary.words.findall(part):
-                ids = seen.get(word)
-                out.append(self._word(word) if ids is None else ids)
-        return b"".join(out)
+    def _encode(self, texts: list[list[tuple[str, int | None]]]) -> list[bytes]:
+        findall = self.vocabulary.words.findall
+        if len(self.seen) > self.remember:
+            self.seen = {}
+        words = [[findall(part) if special is None else special for part, special in parts] for parts in texts]
+        fresh = {w for parts in words for part in parts if isinstance(part, list) for w in part} - self.seen.keys()
+        if fresh:
+            self._learn(fresh)
+        known = self.seen.__getitem__
+        return [b"".join([b"".join(map(known, part)) if isinstance(part, list) else part.to_bytes(4, "little") for part in parts]) for parts in words]
 
     def decode(self, ids: bytes) -> str:
         table = self.vocabulary.bytes_of
@@ -277,7 +347,8 @@ def frequent_words(docs: DataFrame, path: str, pattern: str, words: int, longest
 
 def lexicon(words: Iterable[str], path: str, pattern: str) -> Lexicon:
     rules = vocabulary(path, pattern)
-    return Lexicon.build({w: rules.merge(w) for w in (word.encode("utf-8") for word in words)})
+    raw = [w.encode("utf-8") for w in words]
+    return Lexicon.build(dict(zip(raw, rules.merge(raw), strict=True)))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, words: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,8 +367,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, words: int = 50_000,
         codec = _codec(path, pattern, name, shipped.value)
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                ids = codec.encode(text.as_py() or "")
+            for ids in codec.encode([text or "" for text in batch.column(1).to_pylist()]):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest()))
             n, coded, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
