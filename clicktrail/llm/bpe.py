@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clicktrail.sources.scratch import written
+
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FEW = 64
 """Words of more bytes are merged one by one through a heap."""
@@ -322,7 +324,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, path: str, pattern: str, words: int, longest: int = 48, flush: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The most frequent words of all texts with their counts; ties by word. Longer words are left to merging."""
+    """At most ``words`` of the most frequent words of all texts, with their counts.
+
+    A histogram of the counts (exact below 65,536, then in classes of 1/4096) says which counts are taken: all words
+    of a class or none, so no list of words is sorted or gathered beyond those. Longer words are left to merging.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, counts = vocabulary(path, pattern), Counter()
@@ -341,8 +347,16 @@ def frequent_words(docs: DataFrame, path: str, pattern: str, words: int, longest
                     yield out()
         yield out()
 
-    counted = _texts(docs, id_col, text_col).mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    counted = _texts(docs, id_col, text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    step = F.when(F.col("n") < 1 << 16, 1).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n")) - 12).cast("long"))
+    counted = written(counted.withColumn("least", F.col("n") - F.col("n") % step), "bpe-words")
+    taken, least = 0, None
+    for r in counted.groupBy("least").count().orderBy(F.desc("least")).collect():
+        taken += r["count"]
+        if taken > words:
+            break
+        least = r["least"]
+    return counted.filter(F.col("least") >= least).select("word", "n") if least is not None else counted.select("word", "n").limit(0)
 
 
 def lexicon(words: Iterable[str], path: str, pattern: str) -> Lexicon:

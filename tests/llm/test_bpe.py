@@ -71,7 +71,11 @@ def test_given_documents(spark):
 
 def test_frequent_words_are_counted_over_all_texts(spark):
     docs = spark.createDataFrame([(i, "a b b c" if i % 2 else "b d") for i in range(10)], "doc_id long, text string")
-    assert [tuple(r) for r in frequent_words(docs, PATH, PATTERN, 3).collect()] == [(" b", 10), (" c", 5), (" d", 5)]
+    wanted = {" b": 10, " c": 5, " d": 5, "a": 5, "b": 5}
+    assert {r.word: r.n for r in frequent_words(docs, PATH, PATTERN, 5).collect()} == wanted
+    # Words of one count go together or not at all.
+    assert {r.word: r.n for r in frequent_words(docs, PATH, PATTERN, 4).collect()} == {" b": 10}
+    assert frequent_words(docs, PATH, PATTERN, 0).collect() == []
 
 
 def test_empty_table(empty):
