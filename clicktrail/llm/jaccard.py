@@ -1,8 +1,8 @@
 """Exact self-join of documents by Jaccard similarity of their shingles, as components.
 
 Documents of the same shingles are one class. Two linked classes share one of the first shingles of each, in an order
-common to all (frequent shingles last, else by hash), so classes meet in the tile of a shingle. Tiles are cut into
-bands of neighbouring sizes. Inside a tile, sizes and then hashed bitmaps bound the overlap from above; what is left
+common to all (frequent shingles last, else by hash), so classes meet in the tile of a shingle and a band of sizes.
+Large tiles are cut into parts, and parts are compared in pairs. Inside a tile, sizes and then hashed bitmaps bound the overlap from above; what is left
 is decided by intersecting sorted arrays. Links inside a component that is known already need no test: each class is
 first compared in one tile of its own, and then only classes of different components are compared in the others. Tiles
 give back links of a spanning forest, never all pairs.
@@ -11,17 +11,19 @@ give back links of a spanning forest, never all pairs.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktrail.sources.scratch import written
 
-BITMAP = 1024
+NARROW, WIDE = 256, 1 << 17
+"""Bits of the bitmaps of the smallest and of the largest sets."""
 PIECE = 1 << 20
 BROADCAST_ENTRIES = 500_000
 """A lookup side of at most so many entries (of some 50 bytes) is broadcast after they were counted; a larger one is shuffled."""
@@ -93,8 +95,10 @@ def shingle_set(text: str, k: int = 5) -> np.ndarray:
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP, bool)
-    bits[(shingles % np.uint64(BITMAP)).astype(np.int64)] = True
+    """A bit for each shingle, in twice as many bits as shingles, up to a power of two."""
+    width = min(WIDE, max(NARROW, 1 << (2 * len(shingles) - 1).bit_length()))
+    bits = np.zeros(width, bool)
+    bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -191,24 +195,36 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator
         yield table, np.array([0, len(table)])
 
 
-def _bits(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITMAP // 64)
+def _folded(bitmap: bytes, width: int) -> np.ndarray:
+    """A bitmap in fewer bits, which is the one that the shingles would have had there."""
+    return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, width // 64), axis=0)
 
 
-def _possible(n: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and bitmaps allow the pairs (a, b) to be linked.
+def _possible(n: np.ndarray, bitmaps: list[bytes], a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b), by place, that sizes and bitmaps allow to be linked, and the bits in which they differ.
 
-    A bit that one set has and the other hasn't stands for a shingle outside the overlap, at least.
+    A bit that one set has and the other hasn't stands for a shingle outside the overlap, at least. Bitmaps of two
+    widths are compared in the narrower one.
     """
-    x, y = n[a], n[b]
-    fits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-    out = np.zeros(len(a), bool)
-    at = np.flatnonzero(fits)
-    for part in np.array_split(at, max(1, len(at) // 50_000)):
-        p, q = bits[a[part]], bits[b[part]]
-        both = np.minimum(x[part] - np.bitwise_count(p & ~q).sum(axis=1), y[part] - np.bitwise_count(q & ~p).sum(axis=1))
-        out[part] = 100 * both >= percent * (x[part] + y[part] - both)
-    return out
+    fits = np.flatnonzero(100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+    widths = 8 * np.array([len(x) for x in bitmaps])
+    narrow = np.minimum(widths[a[fits]], widths[b[fits]])
+    places, differing = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for width in np.unique(narrow).tolist():
+        at = fits[narrow == width]
+        rows, where = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        bits = np.stack([_folded(bitmaps[r], width) for r in rows.tolist()])
+        step = max(1, (1 << 24) // width)
+        for start in range(0, len(at), step):
+            part = at[start : start + step]
+            p, q = bits[where[: len(at)][start : start + step]], bits[where[len(at) :][start : start + step]]
+            only_a, only_b = np.bitwise_count(p & ~q).sum(axis=1).astype(np.int64), np.bitwise_count(q & ~p).sum(axis=1).astype(np.int64)
+            x, y = n[a[part]], n[b[part]]
+            both = np.minimum(x - only_a, y - only_b)
+            maybe = 100 * both >= percent * (x + y - both)
+            places.append(part[maybe])
+            differing.append((only_a + only_b)[maybe])
+    return np.concatenate(places), np.concatenate(differing)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -227,7 +243,7 @@ def _forest(percent: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], I
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _whole_groups(batches, ["tile", "i", "j"]):
             names = table.column("class").to_pylist()
-            n, bits = table.column("n").to_numpy(), _bits(table.column("bitmap"))
+            n, bitmaps = table.column("n").to_numpy(), table.column("bitmap").to_pylist()
             known = table.column("component").to_pylist() if apart else names
             sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
             out: list[tuple[bytes, bytes]] = []
@@ -240,10 +256,8 @@ def _forest(percent: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], I
                     return x
 
                 a, b = _pairs(start, end)
-                maybe = _possible(n, bits, a, b, percent)
-                a, b = a[maybe], b[maybe]
-                near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) if len(a) else a
-                for p in np.argsort(near, kind="stable").tolist():
+                maybe, differing = _possible(n, bitmaps, a, b, percent)
+                for p in maybe[np.argsort(differing, kind="stable")].tolist():
                     x, y = top(known[a[p]]), top(known[b[p]])
                     if x != y and _linked(sets[a[p]], sets[b[p]], percent):
                         lead[y] = x
@@ -258,14 +272,14 @@ def _undecided(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _whole_groups(batches, ["tile", "i", "j"]):
-            n, bits = table.column("n").to_numpy(), _bits(table.column("bitmap"))
+            n, bitmaps = table.column("n").to_numpy(), table.column("bitmap").to_pylist()
             _, component = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)
             keep = np.zeros(len(table), bool)
             for start, end in zip(cuts[:-1].tolist(), [*cuts[1:-1].tolist(), len(table)], strict=True):
                 a, b = _pairs(start, end)
                 other = component[a] != component[b]
                 a, b = a[other], b[other]
-                maybe = _possible(n, bits, a, b, percent)
+                maybe, _ = _possible(n, bitmaps, a, b, percent)
                 keep[a[maybe]] = keep[b[maybe]] = True
             kept = table.select(["tile", "i", "j", "class"]).filter(pa.array(keep)).combine_chunks()
             yield from kept.to_batches() or [pa.RecordBatch.from_pylist([], schema=kept.schema)]
@@ -314,7 +328,14 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, band: int = 256, id_col
     met = firsts.withColumns({"size": F.count("*").over(by_first), "x": F.bit_xor(code).over(by_first), "y": F.bit_xor(F.xxhash64(code, F.lit(1))).over(by_first)})
     met = written(met.filter("size > 1"), "jaccard-met")
     chosen = met.groupBy("size", "x", "y").agg(F.min("tile").alias("tile")).select("tile")
-    tiles = written(met.join(chosen, "tile", "left_semi").select("tile", "size", "class"), "jaccard-tiles")
+    # Sizes of linked sets differ by less than a band, so each class stands in its own band and in the next.
+    size_band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent * 1.0001)) if percent < 100 else F.col("n")
+    shared = met.join(chosen, "tile", "left_semi").select("tile", "class").join(classes.select("class", "n"), "class")
+    bands = (F.struct(F.xxhash64("tile", size_band + i).alias("tile"), F.lit(i == 0).alias("own")) for i in (0, 1))
+    shared = written(shared.select("class", F.inline(F.array(*bands))), "jaccard-banded")
+    # Classes that only visit a band have met in their own.
+    sizes = shared.groupBy("tile").agg(F.count("*").alias("size"), F.max("own").alias("own")).filter("size > 1 and own").select("tile", "size")
+    tiles = written(shared.join(sizes, "tile").select("tile", "size", "class"), "jaccard-tiles")
 
     def with_sets(rows: DataFrame) -> DataFrame:
         """Rows of (class, ...) with the class's n, bitmap and shingles."""
@@ -339,28 +360,33 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, band: int = 256, id_col
     def in_tiles(rows: DataFrame, work, schema: str) -> DataFrame:
         return rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(work, schema)
 
+    def parted(size) -> Column:
+        """Parts of a tile, each of some ``band`` classes, so that no task holds a whole hot tile."""
+        return F.ceil((F.col(size) if isinstance(size, str) else size) / band).cast("int")
+
     own = tiles.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("size"), "tile"))).filter("r = 1")
-    own = own.join(classes.select("class", "n"), "class")
-    place = F.row_number().over(Window.partitionBy("tile").orderBy("n", "class")) - 1
-    guide = F.row_number().over(Window.partitionBy("tile").orderBy(F.xxhash64("class"), "class"))
-    bands = F.floor((F.count("*").over(by_first) - 1) / band).cast("int")
-    own = own.select("class", "tile", F.floor(place / band).cast("int").alias("b"), F.when(guide <= 8, bands).otherwise(-1).alias("others"))
-    own = own.select("class", "tile", F.explode(F.when(F.col("others") >= 0, F.sequence(F.lit(0), "others")).otherwise(F.array("b"))).alias("i"), F.lit(0).alias("j"))
-    first_links = written(in_tiles(with_sets(own), _forest(percent, False), "a binary, b binary"), "jaccard-links")
+    # A class meets its part of the tile, and some eight of all, which go to every part, tie the parts together.
+    guide = F.pmod(F.xxhash64("class", F.lit(2)), F.ceil(F.col("size") / 8)) == 0
+    parts = parted("size")
+    at = F.when(guide, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), parts).cast("int")))
+    own = own.select("class", "tile", F.explode(at).alias("i"), F.lit(0).alias("j"))
+    own = own.join(classes.select("class", "n", "bitmap"), "class").withColumn("component", F.col("class"))
+    likely = written(in_tiles(own, _undecided(percent), "tile long, i int, j int, class binary"), "jaccard-likely")
+    first_links = written(in_tiles(with_sets(likely), _forest(percent, False), "a binary, b binary"), "jaccard-links")
     known = written(components(first_links), "jaccard-components")
 
-    named = tiles.join(classes.select("class", "n", "bitmap"), "class").join(known.withColumnRenamed("node", "class"), "class", "left")
-    named = written(named.select("tile", "class", "n", "bitmap", F.coalesce("component", "class").alias("component")), "jaccard-named")
+    named = tiles.join(known.withColumnRenamed("node", "class"), "class", "left")
+    named = written(named.select("tile", "class", F.coalesce("component", "class").alias("component")), "jaccard-named")
     shares = named.groupBy("tile", "component").agg(F.count("*").alias("m"))
     largest = shares.groupBy("tile").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("m").alias("size"), F.max("m").alias("most")).filter("parts > 1")
     open_tiles = named.join(largest, "tile")
     minor = F.col("component") != F.col("largest")
-    rank_all = F.row_number().over(Window.partitionBy("tile").orderBy("n", "class")) - 1
-    rank_minor = F.row_number().over(Window.partitionBy("tile", minor).orderBy("n", "class")) - 1
-    banded = open_tiles.select("tile", "class", "n", "bitmap", "component", minor.alias("minor"), F.floor(rank_all / band).cast("int").alias("all_band"), F.floor(rank_minor / band).cast("int").alias("minor_band"), F.floor((F.col("size") - 1) / band).cast("int").alias("last_all"), F.floor((F.col("size") - F.col("most") - 1) / band).cast("int").alias("last_minor"))
-    as_any = F.transform(F.sequence(F.lit(0), "last_minor"), lambda i: F.struct(i.alias("i"), F.col("all_band").alias("j")))
-    as_minor = F.when(F.col("minor"), F.transform(F.sequence(F.lit(0), "last_all"), lambda j: F.struct(F.col("minor_band").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-    spread = banded.select("tile", "class", "n", "bitmap", "component", F.explode(F.array_distinct(F.concat(as_any, as_minor))).alias("at")).select("tile", "class", "n", "bitmap", "component", "at.i", "at.j")
+    all_parts, minor_parts = parted("size"), parted(F.col("size") - F.col("most"))
+    banded = open_tiles.select("tile", "class", "component", minor.alias("minor"), F.pmod(F.xxhash64("class"), all_parts).cast("int").alias("part"), F.pmod(F.xxhash64("class", F.lit(3)), minor_parts).cast("int").alias("minor_part"), all_parts.alias("all_parts"), minor_parts.alias("minor_parts"))
+    as_any = F.transform(F.sequence(F.lit(0), F.col("minor_parts") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j")))
+    as_minor = F.when(F.col("minor"), F.transform(F.sequence(F.lit(0), F.col("all_parts") - 1), lambda j: F.struct(F.col("minor_part").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    spread = banded.select("tile", "class", "component", F.explode(F.array_distinct(F.concat(as_any, as_minor))).alias("at")).select("tile", "class", "component", "at.i", "at.j")
+    spread = spread.join(classes.select("class", "n", "bitmap"), "class")
     undecided = written(in_tiles(spread, _undecided(percent), "tile long, i int, j int, class binary"), "jaccard-undecided")
     second = with_sets(undecided.select("class", "tile", "i", "j")).join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     more = written(in_tiles(second, _forest(percent, True), "a binary, b binary"), "jaccard-links")
