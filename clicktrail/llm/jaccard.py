@@ -267,6 +267,16 @@ def _forest(percent: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], I
     return join
 
 
+def _met_before(lists: np.ndarray, a: np.ndarray, b: np.ndarray, tile: int) -> np.ndarray:
+    """Whether the pairs surely meet in a tile of a smaller number, by the first tiles of each class (padded with the last one)."""
+    out = np.zeros(len(a), bool)
+    for start in range(0, len(a), 50_000):
+        x, y = lists[a[start : start + 50_000]], lists[b[start : start + 50_000]]
+        same = (x[:, :, None] == y[:, None, :]).any(axis=2)
+        out[start : start + 50_000] = (same & (x < tile)).any(axis=1)
+    return out
+
+
 def _undecided(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of tiles (tile, i, j) that sizes and bitmaps allow a link to a class of another component."""
 
@@ -274,12 +284,15 @@ def _undecided(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         for table, cuts in _whole_groups(batches, ["tile", "i", "j"]):
             n, bitmaps = table.column("n").to_numpy(), table.column("bitmap").to_pylist()
             _, component = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)
-            keep = np.zeros(len(table), bool)
+            keep, tiles = np.zeros(len(table), bool), table.column("tile").to_numpy()
+            lists = np.array(table.column("tiles").to_pylist(), dtype=np.int64) if "tiles" in table.column_names else None
             for start, end in zip(cuts[:-1].tolist(), [*cuts[1:-1].tolist(), len(table)], strict=True):
                 a, b = _pairs(start, end)
                 other = component[a] != component[b]
                 a, b = a[other], b[other]
                 maybe, _ = _possible(n, bitmaps, a, b, percent)
+                if lists is not None:
+                    maybe = maybe[~_met_before(lists, a[maybe], b[maybe], tiles[start])]
                 keep[a[maybe]] = keep[b[maybe]] = True
             kept = table.select(["tile", "i", "j", "class"]).filter(pa.array(keep)).combine_chunks()
             yield from kept.to_batches() or [pa.RecordBatch.from_pylist([], schema=kept.schema)]
@@ -386,7 +399,10 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, band: int = 256, id_col
     as_any = F.transform(F.sequence(F.lit(0), F.col("minor_parts") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j")))
     as_minor = F.when(F.col("minor"), F.transform(F.sequence(F.lit(0), F.col("all_parts") - 1), lambda j: F.struct(F.col("minor_part").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
     spread = banded.select("tile", "class", "component", F.explode(F.array_distinct(F.concat(as_any, as_minor))).alias("at")).select("tile", "class", "component", "at.i", "at.j")
-    spread = spread.join(classes.select("class", "n", "bitmap"), "class")
+    # A pair is looked at in the first tile that both classes list, where they list a common one.
+    listed = open_tiles.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("tile")), 1, 8).alias("tiles"))
+    listed = listed.select("class", F.concat("tiles", F.array_repeat(F.element_at("tiles", -1), 8 - F.size("tiles"))).alias("tiles"))
+    spread = spread.join(classes.join(listed, "class").select("class", "n", "bitmap", "tiles"), "class")
     undecided = written(in_tiles(spread, _undecided(percent), "tile long, i int, j int, class binary"), "jaccard-undecided")
     second = with_sets(undecided.select("class", "tile", "i", "j")).join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     more = written(in_tiles(second, _forest(percent, True), "a binary, b binary"), "jaccard-links")
