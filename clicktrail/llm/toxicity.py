@@ -1,8 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and weighted votes.
 
-The index holds a bounded number of labelled examples over the terms that tell the labels apart, and goes to every
-task. Examples stand in blocks; each term keeps its largest weight in each block, so the sum over a text's terms bounds
-every cosine in a block from above, and blocks that can't reach the nearest ones found so far are never opened.
+The index holds a bounded number of labelled examples over all of their terms, and goes to every task. A term's IDF
+is multiplied by its correlation with the label, so that rare toxic words outweigh what all texts of a language share;
+no term has weight 0. Examples stand in blocks; each term keeps its largest weight in each block, so the sum over a
+text's terms bounds every cosine in a block from above, and blocks that can't reach the nearest ones found so far are
+never opened.
 """
 
 from __future__ import annotations
@@ -10,8 +12,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,77 +24,129 @@ from pyspark.sql import functions as F
 from clicktrail.sources.scratch import written
 
 SCORED = "doc_id long, score double, evidence array<struct<example: long, label: int, cosine: double>>"
-SURE = 40.0
-"""Chi-square above which a term hardly meets a label by chance, even as one of millions."""
+Vector = dict[int, float] | tuple[np.ndarray, np.ndarray]
+"""Weights by term, or terms and their weights side by side."""
 _TERM = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str) -> list[str]:
-    """Words in lower case, their beginnings of four to seven letters, and marks for beginnings met twice and four times."""
-    words = _TERM.findall(text.lower())
-    starts = Counter(w[:n] + "*" for w in words for n in range(4, 8) if len(w) > n)
-    return [*words, *starts.elements(), *(f"{s}{n}" for n in (2, 4) for s, met in starts.items() if met >= n)]
+def terms(text: str) -> dict[str, int]:
+    """How often words in lower case and their beginnings of four to seven letters are met, and marks for beginnings met
+    twice and four times."""
+    words = Counter(_TERM.findall(text.lower()))
+    starts: dict[str, int] = {}
+    for w, n in words.items():
+        for end in range(4, min(8, len(w))):
+            s = w[:end] + "*"
+            starts[s] = starts.get(s, 0) + n
+    marks = {f"{s}{n}": 1 for n in (2, 4) for s, met in starts.items() if met >= n}
+    return {**words, **starts, **marks}
+
+
+def _arrays(vector: Vector) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(vector, dict):
+        return np.fromiter(vector.keys(), np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))
+    return vector
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by term: examples and weights, and the largest weight in each block of ``size`` examples."""
+    """Postings by term and block of ``size`` examples, with the largest weight of each term in each block.
+
+    Term t has the entries ``starts[t]`` to ``starts[t + 1]``, one for each block that it stands in; entry e has the
+    postings ``first[e]`` to ``first[e + 1]``. ``unknown`` is the IDF of a term that no example has.
+    """
 
     vocabulary: dict[str, int]
     idf: np.ndarray
+    unknown: float
     ids: np.ndarray
     labels: np.ndarray
     size: int
-    examples: list[np.ndarray]
-    weights: list[np.ndarray]
+    starts: np.ndarray
+    blocks: np.ndarray
     largest: np.ndarray
+    first: np.ndarray
+    examples: np.ndarray
+    weights: np.ndarray
 
     @classmethod
-    def build(cls, vectors: list[dict[int, float]], ids: list[int], labels: list[int], vocabulary: dict[str, int], idf: np.ndarray, size: int = 32) -> BlockMaxIndex:
+    def build(cls, vectors: Sequence[Vector], ids: Sequence[int], labels: Sequence[int], vocabulary: dict[str, int], idf: np.ndarray, size: int = 32, unknown: float = 0.0) -> BlockMaxIndex:
         """Examples with the same strongest term stand together, which keeps the bounds tight."""
-        strongest = [max(v.items(), key=lambda x: (x[1], x[0]), default=(-1, 0.0)) for v in vectors]
+        pairs = [_arrays(v) for v in vectors]
+        strongest = [(int(t[at]), float(w[at])) if len(t) and (at := np.lexsort((t, w))[-1]) >= 0 else (-1, 0.0) for t, w in pairs]
         order = sorted(range(len(ids)), key=lambda i: (labels[i], strongest[i][0], -strongest[i][1], ids[i]))
-        found: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        for place, i in enumerate(order):
-            for term, weight in vectors[i].items():
-                found[term].append((place, weight))
-        examples = [np.array([p for p, _ in f], dtype=np.int64) for f in found]
-        weights = [np.array([w for _, w in f]) for f in found]
-        largest = np.zeros((len(vocabulary), -(-len(ids) // size) or 1))
-        for t, (at, w) in enumerate(zip(examples, weights, strict=True)):
-            np.maximum.at(largest[t], at // size, w)
-        return cls(vocabulary, idf, np.array([ids[i] for i in order], dtype=np.int64), np.array([labels[i] for i in order], dtype=np.int64), size, examples, weights, largest)
-
-    def vector(self, text: str) -> dict[int, float]:
-        """Unit TF-IDF vector over the vocabulary; empty where no term is known."""
-        counts = Counter(t for t in terms(text) if t in self.vocabulary)
-        raw = {self.vocabulary[t]: (1 + math.log(n)) * self.idf[self.vocabulary[t]] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in sorted(raw.items())} if norm else {}
-
-    def nearest(self, vector: dict[int, float], k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k examples of the largest cosine above 0, ties to the smaller place; exact."""
-        if not vector:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = np.array(list(vector.values())) @ self.largest[list(vector)]
+        lengths = [len(pairs[i][0]) for i in order]
+        term = np.concatenate([np.zeros(0, np.int64), *(pairs[i][0] for i in order)]).astype(np.int32)
+        by_term = np.argsort(term, kind="stable")
+        term = term[by_term]
+        examples = np.repeat(np.arange(len(order), dtype=np.int32), lengths)[by_term]
+        weights = np.concatenate([np.zeros(0), *(pairs[i][1] for i in order)])[by_term]
+        block = examples // size
+        head = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
+        largest = np.maximum.reduceat(weights, head) if len(head) else np.zeros(0)
+        starts = np.searchsorted(term[head], np.arange(len(vocabulary) + 1))
+        first = np.append(head, len(term))
+        return cls(vocabulary, idf, unknown, np.array([ids[i] for i in order], dtype=np.int64), np.array([labels[i] for i in order], dtype=np.int64), size, starts, block[head], largest, first, examples, weights)
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the vocabulary and their weights in the unit TF-IDF vector of all terms; empty where none is known."""
+        return unit_vector(terms(text), self.vocabulary, self.idf, self.unknown)
+
+    def nearest(self, vector: Vector, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the k examples of the largest cosine above 0, ties to the smaller place; exact.
+
+        The blocks of the largest bounds are opened first, then those whose bound still reaches the k-th cosine.
+        """
+        term, weight = _arrays(vector)
         places, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(places) == k and bounds[block] < least - 1e-12:
-                break
-            start = block * self.size
-            scores = np.zeros(min(self.size, len(self.ids) - start))
-            for t, q in vector.items():
-                a, z = np.searchsorted(self.examples[t], (start, start + self.size))
-                scores[self.examples[t][a:z] - start] += q * self.weights[t][a:z]
+        if not len(term):
+            return places, cosines
+        n = self.starts[term + 1] - self.starts[term]
+        entry, weight = _ranges(self.starts[term], n), np.repeat(weight, n)
+        block = self.blocks[entry]
+        bounds = np.bincount(block, weight * self.largest[entry], -(-len(self.ids) // self.size))
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        few = -(-k // self.size) + 1
+        for group in (order[:few], order[few : 4 * few], order[4 * few :]):
+            if len(places) == k:
+                group = group[bounds[group] >= least - 1e-12]
+            if not len(group):
+                continue
+            opened = np.zeros(len(bounds), bool)
+            opened[group] = True
+            at = np.flatnonzero(opened[block])
+            n = self.first[entry[at] + 1] - self.first[entry[at]]
+            posting = _ranges(self.first[entry[at]], n)
+            scores = np.bincount(self.examples[posting], self.weights[posting] * np.repeat(weight[at], n), len(self.ids))
             hit = np.flatnonzero(scores > 0)
-            hit = hit[hit + start != skip] if skip is not None else hit
-            places, cosines = np.concatenate([places, hit + start]), np.concatenate([cosines, scores[hit]])
+            hit = hit[hit != skip] if skip is not None else hit
+            places, cosines = np.concatenate([places, hit]), np.concatenate([cosines, scores[hit]])
             best = np.lexsort((places, -cosines))[:k]
             places, cosines = places[best], cosines[best]
             least = cosines[-1] if len(cosines) else 0.0
         return places, cosines
 
 
+def unit_vector(counts: dict[str, int], vocabulary: dict[str, int], idf: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    """Known terms in order and their weights; terms that no example has count in the norm, with the IDF ``unknown``."""
+    place = np.fromiter(map(vocabulary.get, counts, repeat(-1)), np.int64, len(counts))
+    known = place >= 0
+    if not known.any():
+        return np.zeros(0, np.int64), np.zeros(0)
+    raw = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * np.where(known, idf[place], unknown)
+    norm = math.sqrt(raw @ raw)
+    place, raw = place[known], raw[known]
+    order = np.argsort(place)
+    return place[order], raw[order] / norm
+
+
 @dataclass
 class NearestExamples:
     """Votes of the nearest examples, made into probabilities; ``unknown`` is that of a text without a known term."""
@@ -110,7 +165,7 @@ class NearestExamples:
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         vector = self.index.vector(text)
-        if not vector:
+        if not len(vector[0]):
             return self.unknown, []
         places, cosines = self.index.nearest(vector, self.k)
         p = 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * self.vote(places, cosines) + self.shift))))
@@ -130,17 +185,17 @@ def _calibrate(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tup
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(label, t) for label, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True) for t in set(terms(text.as_py() or ""))]
+        rows = [(label, t) for label, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True) for t in terms(text.as_py() or "")]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], ["label", "term"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, max_terms: int = 2_000, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> NearestExamples | None:
+def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> NearestExamples | None:
     """Index at most ``max_examples`` labelled documents, half of each label at most, those of the smallest id hash.
 
-    The terms of the largest chi-square between presence and label, ``max_terms`` at most, make up the vocabulary: those
-    above ``SURE``, or the first few of a small training set that has none. Document
-    frequencies are counted over all documents. The bounds keep the broadcast small. None where one label has no
-    document or no term tells the labels apart.
+    All terms of the examples make up the vocabulary. A term's weight is its IDF, with document frequencies counted over
+    all documents, times the correlation of presence and label among the examples (the root of chi-square over n, both
+    plus 1). A term that no example has is taken as one that no other document has and no label prefers. What is broadcast
+    grows with the examples' texts, never with the documents. None where one label has no document or no example has a term.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").distinct()
     picked = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples // 2) for y in (0, 1)]
@@ -153,42 +208,54 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, max_ter
     seen = examples.select("label", "text").mapInArrow(_document_terms, "label int, term string").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     n, with_term = pos + neg, F.col("a") + F.col("b")
     chi = n * F.pow(F.col("a") * neg - F.col("b") * pos, F.lit(2)) / (with_term * (n - with_term + 0.5) * pos * neg)
-    ranked = seen.withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(max_terms).select("term", "chi").collect()
-    chosen = [r for r in ranked if r["chi"] > SURE] or [r for r in ranked[:20] if r["chi"] > 5]
-    if not chosen:
+    met = seen.select("term", F.sqrt((chi + 1) / (n + 1)).alias("weight")).orderBy("term").toArrow()
+    if not len(met):
         return None
-    vocabulary = {r["term"]: i for i, r in enumerate(sorted(chosen, key=lambda r: r["term"]))}
+    spark, vocabulary = docs.sparkSession, {t: i for i, t in enumerate(met.column("term").to_pylist())}
+    places = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, rows = np.zeros(len(vocabulary), np.int64), 0
+        place = places.value
+        count, rows = np.zeros(len(place), np.int64), 0
         for batch in batches:
             rows += len(batch)
             for text in batch.column(0):
-                for t in vocabulary.keys() & set(terms(text.as_py() or "")):
-                    count[vocabulary[t]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *np.flatnonzero(count).tolist()], pa.int32()), pa.array([rows, *count[count > 0].tolist()], pa.int64())], ["term", "n"])
-
-    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([math.log((1 + df[-1]) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    empty = BlockMaxIndex.build([], [], [], vocabulary, idf)
+                counts = terms(text.as_py() or "")
+                found = np.fromiter(map(place.get, counts, repeat(-1)), np.int64, len(counts))
+                count[found[found >= 0]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, np.flatnonzero(count)), pa.int32()), pa.array(np.append(rows, count[count > 0]), pa.int64())], ["term", "n"])
+
+    df = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, total = df.column("term").to_numpy(), df.column("n").to_numpy()
+    count = np.zeros(len(vocabulary), np.int64)
+    count[at[at >= 0]] = total[at >= 0]
+    rows = int(total[at < 0][0])
+    idf = (np.log((1 + rows) / (1 + count)) + 1) * met.column("weight").to_numpy()
+    unknown = (math.log((1 + rows) / 2) + 1) * math.sqrt(1 / (n + 1))
+    given = spark.sparkContext.broadcast(idf)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [empty.vector(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))], ["doc_id", "label", "terms", "weights"])
+            found = [unit_vector(terms(t.as_py() or ""), places.value, given.value, unknown) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([v[0] for v in found], pa.list_(pa.int64())), pa.array([v[1] for v in found], pa.list_(pa.float64()))], ["doc_id", "label", "terms", "weights"])
 
-    rows = examples.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, terms array<int>, weights array<double>").orderBy("doc_id", "label", "terms").limit(max_examples).collect()
-    index = BlockMaxIndex.build([dict(zip(r["terms"], r["weights"], strict=True)) for r in rows], [r["doc_id"] for r in rows], [r["label"] for r in rows], vocabulary, idf)
+    rows = examples.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, terms array<long>, weights array<double>").orderBy("doc_id", "label", "terms", "weights").limit(max_examples).toArrow()
+    pairs = list(zip(*([x.values.to_numpy() for x in rows.column(c)] for c in ("terms", "weights")), strict=True))
+    index = BlockMaxIndex.build(pairs, rows.column("doc_id").to_pylist(), rows.column("label").to_pylist(), vocabulary, idf, unknown=unknown)
     share = known.agg(F.avg("label")).first()[0]
-    return _fit(index, {r["doc_id"]: dict(zip(r["terms"], r["weights"], strict=True)) for r in rows}, k, share)
+    return _fit(index, k, share)
 
 
-def _fit(index: BlockMaxIndex, vectors: dict[int, dict[int, float]], k: int, share: float) -> NearestExamples:
+def _fit(index: BlockMaxIndex, k: int, share: float) -> NearestExamples:
     """Calibrate on each example's vote without itself, with both labels weighed back to their share."""
     model = NearestExamples(index, k, share, 0.0, 0.0, share)
     weight = np.where(index.labels == 1, share / max(1, (index.labels == 1).sum()), (1 - share) / max(1, (index.labels == 0).sum())) * len(index.ids)
-    known = np.array([bool(vectors[int(i)]) for i in index.ids])
-    votes = np.array([model.vote(*index.nearest(vectors[int(i)], k, skip=place)) for place, i in enumerate(index.ids)])
+    term = np.repeat(np.repeat(np.arange(len(index.vocabulary)), np.diff(index.starts)), np.diff(index.first))
+    order = np.argsort(index.examples, kind="stable")
+    ends = np.searchsorted(index.examples[order], np.arange(len(index.ids) + 1))
+    own = [order[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+    known = np.array([len(x) > 0 for x in own])
+    votes = np.array([model.vote(*index.nearest((term[x], index.weights[x]), k, skip=place)) for place, x in enumerate(own)])
     model.slope, model.shift = _calibrate(votes[known], index.labels[known], weight[known])
     none = weight[~known]
     model.unknown = float((none @ index.labels[~known] + share) / (none.sum() + 1))
@@ -201,9 +268,10 @@ def score(docs: DataFrame, model: NearestExamples | None, id_col: str = "doc_id"
     A null or empty text, or one without a known term, has the examples' probability of such a text and no evidence.
     Null and repeated ids are rows like any other; without a model every score is 0.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+        model, kind = shared.value, pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
             found = [model.score(t.as_py() or "") if model else (0.0, []) for t in batch.column(1)]
             evidence = pa.array([[dict(zip(("example", "label", "cosine"), e, strict=True)) for e in x] for _, x in found], kind)
@@ -216,8 +284,10 @@ def keep(docs: DataFrame, model: NearestExamples | None, below: float, text_col:
     """The rows of documents that score below ``below``, with all their columns; without a model, all rows."""
     if model is None:
         return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py() or "")[0] < below for t in batch.column(text_col)], pa.bool_()))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clicktrail.llm import quality, toxicity
 from clicktrail.llm.queries import held_out
+from tests.llm.conftest import frame
 
 
 def accuracy(scored, labels, column, cut):
@@ -78,3 +79,26 @@ def test_pairs_teach_the_order():
     assert (raw[good][:, None] > raw[~good][None, :]).mean() > 0.97
     assert ((model.score(rows) >= 0.5) == (raw >= model.cut)).all()
     assert abs((raw < model.cut).mean() - (~good).mean()) < 0.01
+
+
+def test_rare_toxic_words_count(spark):
+    """Each toxic word stands in ten toxic examples only, beside words that both labels use alike."""
+    draw = np.random.default_rng(5)
+    bad = [f"{a}{b}" for a in ("quib", "zorl", "vext", "jamp", "wulk", "drof", "plim", "skag") for b in ("a", "e", "i", "o", "u")]
+
+    def text(*extra):
+        return " ".join(draw.permutation([*(f"{x}" for x in draw.choice(["one", "two", "red", "sea", "sun", "day", "owl", "ice"], 12)), *extra]))
+
+    toxic = [text(w, *(["vile"] if i % 4 == 0 else [])) for w in bad for i in range(10)]
+    examples = toxic + [text() for _ in toxic]
+    asked = [text(w) for w in bad] + [text() for _ in bad]
+    docs = frame(spark, examples + asked)
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i in range(len(examples))], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert set(bad) < set(model.index.vocabulary) and {"one", "ice"} < set(model.index.vocabulary) and (model.index.idf > 0).all()
+    rows = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    right = [(rows[len(examples) + i].score >= 0.5) == (i < len(bad)) for i in range(len(asked))]
+    assert sum(right) > 0.95 * len(right)
+    assert all(r.evidence for r in rows.values())
+    known, more = model.index.vector("one quiba"), model.index.vector("one quiba nowhere")
+    assert (known[0] == more[0]).all() and (more[1] < known[1]).all()
