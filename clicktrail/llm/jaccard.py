@@ -62,21 +62,29 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word between white space, with A-Z as a-z."""
+    """A 64-bit hash of each word between white space, with A-Z as a-z.
+
+    Words of more than ``PIECE`` bytes, wherever they stand, are hashed by blake2b, all others by a polynomial.
+    """
     out = []
     for piece in _pieces(raw):
         letters = np.frombuffer(piece, np.uint8)
         space = _SPACE[letters]
         edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
         starts, ends = edges[::2], edges[1::2]
-        if len(piece) > 2 * PIECE:
-            folded = bytes(_FOLD[letters].astype(np.uint8))
-            out.append(np.array([int.from_bytes(hashlib.blake2b(folded[a:z], digest_size=8).digest(), "little") for a, z in zip(starts, ends, strict=True)], np.uint64))
-            continue
+        hashes = np.zeros(len(starts), np.uint64)
+        long = ends - starts > PIECE
+        for i in np.flatnonzero(long):
+            word = _FOLD[letters[starts[i] : ends[i]]].astype(np.uint8)
+            hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        # A piece ends with its first word that reaches PIECE bytes, so what stands before a long word fits the powers.
+        reach = int(starts[long][0]) if long.any() else len(piece)
         power, inverse = _powers()
         with np.errstate(over="ignore"):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((_FOLD[letters] + np.uint64(1)) * power[: len(piece)], dtype=np.uint64)])
-            out.append(_mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(_MIX2)))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((_FOLD[letters[:reach]] + np.uint64(1)) * power[:reach], dtype=np.uint64)])
+            a, z = starts[~long], ends[~long]
+            hashes[~long] = _mix((sums[z] - sums[a]) * inverse[a] + (z - a).astype(np.uint64) * np.uint64(_MIX2))
+        out.append(hashes)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -105,6 +105,18 @@ def test_words_are_the_same_in_pieces(monkeypatch):
     assert (cut[:-2] == whole[:-2]).all() and cut[-1] == whole[-1]
 
 
+def test_words_before_a_huge_one_keep_their_hashes():
+    """Hashes depend on the word alone, so a text that ends in a huge word still shares what stands before it."""
+    words = " ".join(f"word{i}" for i in range(1000))
+    for size in (jaccard.PIECE - 1, jaccard.PIECE, jaccard.PIECE + 1, 2 * jaccard.PIECE + 200_000):
+        huge = b"x" * size
+        alone, before = jaccard.word_hashes(huge), jaccard.word_hashes(words.encode() + b" " + huge + b" end")
+        assert (before[:1000] == jaccard.word_hashes(words.encode())).all()
+        assert before[1000] == alone[0] and len(before) == 1002
+    a, b = (jaccard.shingle_set(f"{words} {'x' * n}") for n in (2_200_000, 10_000))
+    assert len(np.intersect1d(a, b)) == 996 and len(a) == len(b) == 997
+
+
 @examples(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, links):
