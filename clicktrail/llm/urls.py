@@ -84,24 +84,29 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits per character."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(letters)
-    shares = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / n)
-    return F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.log2(p))
+    """Bits per character, from the runs of the sorted characters."""
 
+    def closed(a: Column) -> Column:
+        return a["total"] + F.when(a["run"] > 0, a["run"] * F.log2(a["run"])).otherwise(0.0)
 
-def lexical(urls: DataFrame, url_col: str = "url", longest: int = 2048) -> DataFrame:
+    def follow(a: Column, c: Column) -> Column:
+        same = a["last"] == c
+        run, total = F.when(same, a["run"] + 1).otherwise(1.0), F.when(same, a["total"]).otherwise(closed(a))
+        return F.struct(c.alias("last"), run.alias("run"), total.alias("total"), (a["n"] + 1).alias("n"))
+
+    letters = F.sort_array(F.filter(F.split(text, ""), lambda c: c != ""))
+    start = F.struct(F.lit("").alias("last"), *(F.lit(0.0).alias(x) for x in ("run", "total", "n")))
+    return F.aggregate(letters, start, follow, lambda a: F.when(a["n"] > 0, F.greatest(F.log2(a["n"]) - closed(a) / a["n"], F.lit(0.0))).otherwise(0.0))
+
+
+def lexical(urls: DataFrame, url_col: str = "url") -> DataFrame:
     """Add ``host``, ``path``, the lexical features and the four suffixes. A null URL counts as empty.
 
-    Entropy is taken over characters of the whole URL; above ``longest`` characters, where a URL is an error on its
-    own, it is that of the digits and other classes instead, to stay linear.
+    Entropy is taken over the characters of the whole URL or host, whatever its length.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     df = urls.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     host, path = F.col("host"), F.col("path")
-    short = F.when(F.length(url) > longest, F.translate(F.regexp_replace(url, "[0-9]+", "0"), UPPER + LOWER, "A" * 26 + "a" * 26)).otherwise(url)
-    short_host = F.when(F.length(host) > longest, F.translate(F.regexp_replace(host, "[0-9]+", "0"), LOWER, "a" * 26)).otherwise(host)
     query = F.when(F.instr(url, "?") > 0, F.substring_index(url.substr(F.instr(url, "?") + 1, F.length(url)), "#", 1)).otherwise("")
     return df.select(
         "*",
@@ -114,8 +119,8 @@ def lexical(urls: DataFrame, url_col: str = "url", longest: int = 2048) -> DataF
         _ratio(_count(host, "[0-9]"), F.length(host)).alias("host_digit_ratio"),
         _count(url, "-").alias("hyphens"),
         _count(url, r"[^A-Za-z0-9/.:-]").alias("symbols"),
-        _entropy(short).alias("entropy"),
-        _entropy(short_host).alias("host_entropy"),
+        _entropy(url).alias("entropy"),
+        _entropy(host).alias("host_entropy"),
         F.when(query == "", 0).otherwise(_count(query, "&") + 1).alias("params"),
         F.length(query).alias("query_length"),
         (F.instr(url, "#") > 0).cast("int").alias("has_fragment"),

@@ -1,5 +1,8 @@
 """URL rules against plain Python, and the trees on held-out URLs."""
 
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +92,13 @@ def test_features(spark):
     assert (row.tld, row.domain, row.first_step, row.file_type) == ("com", "example.com", "p", "html")
     assert row.digit_ratio == pytest.approx(5 / row.length)
     assert urls.lexical(pages_of(spark, ["aabb"])).first().entropy == pytest.approx(1.0)
+
+
+def test_entropy_is_that_of_the_characters_at_every_length(spark):
+    def bits(text):
+        return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values()) if text else 0.0
+
+    letters = "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))
+    given = ["", "a", "http://aB1.org/x?y=22", *(f"http://{'aBc1207' * n}.org/{'Qz-93' * n}" for n in (100, 400, 2000)), f"http://{letters}.org/{letters}"]
+    for r in urls.lexical(pages_of(spark, given)).collect():
+        assert r.entropy == pytest.approx(bits(r.url)) and r.host_entropy == pytest.approx(bits(r.host))
