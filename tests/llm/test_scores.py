@@ -102,3 +102,10 @@ def test_rare_toxic_words_count(spark):
     assert all(r.evidence for r in rows.values())
     known, more = model.index.vector("one quiba"), model.index.vector("one quiba nowhere")
     assert (known[0] == more[0]).all() and (more[1] < known[1]).all()
+
+
+def test_the_number_of_pairs_can_be_given(documents, labels, monkeypatch):
+    met, rank = [], quality.rank
+    monkeypatch.setattr(quality, "rank", lambda *a, **b: met.append(b["pairs"]) or rank(*a, **b))
+    few, all_of = (quality.train(documents, labels, pairs=n) for n in (20, 10**6))
+    assert met == [20, 10**6] and (few.weights != all_of.weights).any()
