@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import bpe, jaccard, neighbours, packing, quality, secrets, sharding, simhash, toxicity, urls
+from clicktrail.llm import bpe, jaccard, merkle, neighbours, packing, quality, secrets, sharding, simhash, topk, toxicity, urls, whitening
 
 TOKENIZER = {
     "path": public_tokenizers.path("byte_bpe_50k.json"),
@@ -107,6 +107,18 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **TOKENIZER)
 
 
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def row_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=held_out()).drop("path")
+
+
+def largest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secret_spans,
@@ -119,6 +131,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": linked_documents,
         "op9_packing": packed,
         "op10_bpe": bpe_round_trip,
+        "op11_whitening": whitened,
+        "op12_merkle": row_manifest,
+        "op13_topk": largest_products,
     }
 
 
