@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktrail.llm import bpe, jaccard, merkle, neighbours, packing, quality, secrets, sharding, simhash, topk, toxicity, urls, whitening
+from clicktrail.llm import bpe, jaccard, merkle, neighbours, oracle, packing, quality, secrets, sharding, simhash, topk, toxicity, urls, whitening
 
 TOKENIZER = {
     "path": public_tokenizers.path("byte_bpe_50k.json"),
@@ -138,4 +138,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_jaccard_join": oracle.JACCARD, "op12_merkle": oracle.MERKLE, "op13_topk": oracle.TOP_PRODUCTS}
