@@ -182,7 +182,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
         return found(other, np.where(np.isnan(least), -np.inf, least), group)
 
     left = pairs.join(asking, "tile").groupBy("tile", "block")
-    right = pairs.join(held, "block").select("tile", "block", "id", "x", "held").groupBy("tile", "block")
+    named = pairs.select(F.col("tile").alias("for_tile"), F.col("block").alias("of"))
+    right = named.join(held, F.col("of") == F.col("block")).select("for_tile", "of", "block", "id", "x", "held").groupBy("for_tile", "of")
     far = left.cogroup(right).applyInArrow(meet, FOUND)
     return first(near.unionByName(far))
 
