@@ -66,12 +66,15 @@ def nearest(ids: np.ndarray, queries: np.ndarray, query_table: np.ndarray, least
     """
     slack = np.float32(SLACK * max(query_table.max(initial=0), row_table.max(initial=0)))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    by_pivot = np.ascontiguousarray(row_table.T)
+    gap = np.empty((together, len(row_ids)), np.float32)
     for a in range(0, len(ids), together):
         at, q, least_now = ids[a : a + together], queries[a : a + together], least[a : a + together].astype(float)
         length = (q.astype(float) ** 2).sum(axis=1) + largest**2
         bound = np.zeros((len(at), len(row_ids)), np.float32)
-        for p in range(row_table.shape[1]):
-            np.maximum(bound, np.abs(query_table[a : a + together, p, None] - row_table[None, :, p]), out=bound)
+        for p, held in enumerate(by_pivot):
+            np.subtract(query_table[a : a + together, p, None], held, out=gap[: len(at)])
+            np.maximum(bound, np.abs(gap[: len(at)], out=gap[: len(at)]), out=bound)
         smallest = bound.min(axis=0)
         order = np.argsort(smallest, kind="stable")
         who, which, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
