@@ -201,7 +201,7 @@ def _open_pairs(asking: DataFrame, held: DataFrame, width: int, largest: float)
         return made.select(key, *lists, *(c for c in ("radius",) if c in made.columns))
 
     square = F.aggregate("x", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) + largest**2 - F.col("least") * 2.0
-    radius = F.coalesce(F.sqrt(F.greatest(square, F.lit(0.0))), F.lit(float("inf")))
+    radius = F.when(F.col("least").isNotNull(), F.sqrt(F.greatest(square, F.lit(0.0)))).otherwise(float("inf"))
     tiles = ranges(asking.withColumn("r", radius), "tile", "asked", F.max("r").alias("radius"))
     blocks = ranges(held, "block", "held")
     number = asking.agg(F.max("tile")).first()[0]
