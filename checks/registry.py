@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ from clicktrail.sources import (
     clear_table,
     compact_table,
     create_table,
+    drop_replaced,
+    drop_table,
     read_raw,
     read_task_log,
     register,
@@ -161,7 +164,7 @@ def _with_table(spark: SparkSession, work: Callable[[str], None]) -> DataFrame:
         work(name)
         return written(table_logs(spark, name), "loaded")
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_table(spark, name)
 
 
 @_query("load_table_twice", oracle.stored(f"SELECT {COLUMNS} FROM stored"))
@@ -183,6 +186,23 @@ def _load_then_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_table(spark, work)
 
 
+@_query("read_across_compaction", oracle.stored(f"SELECT {COLUMNS} FROM stored"))
+def _read_across_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader built before the second load, a compaction and the removal of what it replaced."""
+    readers = []
+
+    def work(name: str) -> None:
+        load_files(spark, derive.raw_files(spark, sf_dir, 1), name)
+        readers.append(table_logs(spark, name))
+        load_files(spark, derive.raw_files(spark, sf_dir, 2), name)
+        compact_table(spark, name)
+        drop_replaced(spark, name, timedelta(0))
+        readers.append(written(readers[0], "across"))
+
+    _with_table(spark, work)
+    return readers[1]
+
+
 @_query("create_clear_reload", oracle.stored(f"SELECT {COLUMNS} FROM clicks WHERE line_no < 10000000 QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY line_no DESC) = 1"))
 def _create_clear_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(name: str) -> None:

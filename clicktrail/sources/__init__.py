@@ -6,6 +6,8 @@ from clicktrail.sources.tables import (
     clear_table,
     compact_table,
     create_table,
+    drop_replaced,
+    drop_table,
     loads,
     read_logs,
     register,
@@ -21,6 +23,8 @@ __all__ = [
     "clear_table",
     "compact_table",
     "create_table",
+    "drop_replaced",
+    "drop_table",
     "loads",
     "read_logs",
     "read_raw",

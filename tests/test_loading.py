@@ -1,5 +1,7 @@
 """Reading, parsing, upserting and writing."""
 
+from datetime import timedelta
+
 import pytest
 from hypothesis import HealthCheck, given
 from hypothesis import settings as examples
@@ -15,6 +17,8 @@ from clicktrail.sources import (
     clear_table,
     compact_table,
     create_table,
+    drop_replaced,
+    drop_table,
     loads,
     read_logs,
     read_raw,
@@ -23,6 +27,7 @@ from clicktrail.sources import (
     upsert_table,
     write_logs,
 )
+from clicktrail.sources import tables
 from clicktrail.sources.settings import settings
 from clicktrail.sources.tables import partitions_for
 
@@ -258,9 +263,9 @@ def test_files_are_in_key_order(spark, logs, tmp_path):
 @pytest.fixture
 def table(spark):
     name = "clicks_under_test"
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    drop_table(spark, name)
     yield name
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    drop_table(spark, name)
 
 
 def test_create_clear_table(spark, table):
@@ -291,7 +296,12 @@ def test_a_load_leaves_all_earlier_files(spark, table):
     compact_table(spark, table)
     assert table_rows(spark, table) == expected
     assert len(loads(spark, table)) == 1
+    # Readers that began before still have their files, until these are dropped.
+    assert set(spark.table(table).inputFiles()) == after
+    assert drop_replaced(spark, table, timedelta(hours=1)) == []
+    assert len(drop_replaced(spark, table, timedelta(0))) == 2
     assert not set(spark.table(table).inputFiles()) & after
+    assert table_rows(spark, table) == expected
     # A load after a compaction still comes last, and one row more is one more load.
     upsert_table(spark, table, some_clicks(spark, line(numbers="6 6")), "line_no")
     assert table_rows(spark, table)[1] == ("ann", "07:41:12", 6)
@@ -309,6 +319,164 @@ def test_the_oldest_load_is_not_grouped(spark, table):
     assert table_rows(spark, table) == [("ann", "07:41:12", 3), ("u2", "07:41:12", 4)]
 
 
+def add(spark, table, *lines):
+    return upsert_table(spark, table, some_clicks(spark, *lines), "line_no")
+
+
+def test_a_reader_goes_on_across_loads_and_compactions(spark, table):
+    """A DataFrame built before gives the state of the moment in which it runs."""
+    add(spark, table, line(user="u1"), line(user="u2"))
+    reader = table_logs(spark, table)
+    ranks = lambda: sorted((r.user_id, r["rank"]) for r in reader.select("user_id", "rank").collect())
+    assert ranks() == [("u1", 4), ("u2", 4)]
+    add(spark, table, line(user="u2", numbers="7 7"), line(user="u3"))
+    assert ranks() == [("u1", 4), ("u2", 7), ("u3", 4)]
+    for _ in range(2):
+        assert compact_table(spark, table)
+        assert ranks() == [("u1", 4), ("u2", 7), ("u3", 4)]
+        drop_replaced(spark, table, timedelta(0))
+        assert ranks() == [("u1", 4), ("u2", 7), ("u3", 4)]
+        add(spark, table, line(user="u2", numbers="7 7"))
+    assert reader.where(F.col("user_id") == "u2").count() == 1
+
+
+def test_two_compactions_at_once(spark, table, monkeypatch):
+    """The second one has waited for a claim that went stale, and ends first."""
+    add(spark, table, *(line(user=f"u{i}") for i in range(40)))
+    add(spark, table, *(line(user=f"u{i}", numbers="9 9") for i in range(20, 60)))
+    expected = table_rows(spark, table)
+    assert len(expected) == 60
+    commit, second = tables._commit, []
+
+    def slow(spark, name, load, kind, *rest):
+        if kind == tables.MERGED and not second:
+            second.append(None)
+            assert compact_table(spark, name) is None  # the claim is held
+            second[0] = compact_table(spark, name, stale_after=timedelta(0))
+            assert second[0] and table_rows(spark, name) == expected
+            add(spark, name, line(user="u0", numbers="3 3"))
+        commit(spark, name, load, kind, *rest)
+
+    monkeypatch.setattr(tables, "_commit", slow)
+    first = compact_table(spark, table)
+    expected = sorted([r for r in expected if r[0] != "u0"] + [("u0", "07:41:12", 3)])
+    assert {first, second[0]} < {r.load for r in spark.table(f"{table}__log").collect()}
+    assert table_rows(spark, table) == expected
+    drop_replaced(spark, table, timedelta(0))
+    assert table_rows(spark, table) == expected
+    compact_table(spark, table)
+    drop_replaced(spark, table, timedelta(0))
+    assert table_rows(spark, table) == expected and len(loads(spark, table)) == 1
+    # Of both merged loads and all others only the last merged one is left.
+    assert {p["load"] for p in tables._partitions(spark, f"{table}__base")} == set(loads(spark, table))
+    assert tables._partitions(spark, table) == []
+
+
+def test_a_load_that_began_before_a_compaction(spark, table, monkeypatch):
+    add(spark, table, line(user="u1"), line(user="u2"))
+    commit = tables._commit
+
+    def late(spark, name, load, kind, *rest):
+        monkeypatch.setattr(tables, "_commit", commit)
+        assert table_rows(spark, name) == [("u1", "07:41:12", 4), ("u2", "07:41:12", 4)]  # written, but not in the log
+        assert compact_table(spark, name)
+        commit(spark, name, load, kind, *rest)
+
+    monkeypatch.setattr(tables, "_commit", late)
+    add(spark, table, line(user="u2", numbers="5 5"))
+    for _ in range(2):
+        assert table_rows(spark, table) == [("u1", "07:41:12", 4), ("u2", "07:41:12", 5)]
+        compact_table(spark, table)
+        drop_replaced(spark, table, timedelta(0))
+
+
+def test_a_killed_compaction_changes_nothing(spark, table, monkeypatch):
+    add(spark, table, line(user="u1"), line(user="u2"))
+    add(spark, table, line(user="u2", numbers="5 5"))
+    expected = table_rows(spark, table)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_commit", killed)
+        with pytest.raises(KeyboardInterrupt):
+            compact_table(spark, table)
+        with pytest.raises(KeyboardInterrupt):
+            add(spark, table, line(user="u9"))
+    assert table_rows(spark, table) == expected
+    merged = compact_table(spark, table)
+    assert merged and table_rows(spark, table) == expected
+    # What both have left goes with the loads that were merged.
+    drop_replaced(spark, table, timedelta(0))
+    assert {p["load"] for p in tables._partitions(spark, f"{table}__base")} == {merged} and not tables._partitions(spark, table)
+    assert table_rows(spark, table) == expected
+
+
+def test_a_claim_ends(spark, table):
+    add(spark, table, line(user="u1"))
+    assert tables._claim(spark, table, timedelta(hours=1))
+    assert compact_table(spark, table) is None
+    assert compact_table(spark, table, stale_after=timedelta(0))
+    assert compact_table(spark, table) is None  # nothing new
+    assert not spark.catalog.tableExists(f"{table}__claim")
+
+
+def test_the_base_is_not_shuffled(spark, table):
+    """Later loads over the limit are shuffled to the base's buckets; fewer are broadcast."""
+    add(spark, table, *(line(user=f"u{i}") for i in range(30)))
+    compact_table(spark, table)
+    add(spark, table, *(line(user=f"u{i}", numbers="2 2") for i in range(20, 40)))
+    with settings(spark, autoBroadcastJoinThreshold="-1", adaptive__enabled="false"):
+        many, few = table_logs(spark, table, broadcast_rows=5), table_logs(spark, table)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (many, few)]
+        rows = [sorted(df.collect()) for df in (many, few)]
+    assert rows[0] == rows[1] and len(rows[0]) == 40
+    lines = plans[0].splitlines()
+    at = next(i for i, x in enumerate(lines) if f"{table}__base" in x or ("FileScan" in x and "Bucketed: true" in x))
+    above = []
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    level = depth(lines[at])
+    for x in reversed(lines[:at]):
+        if depth(x) < level:
+            above.append(x)
+            level = depth(x)
+    assert any("SortMergeJoin" in x for x in above) and not any("Exchange" in x for x in above), above
+    assert "BroadcastHashJoin" in plans[1] and "SortMergeJoin" not in plans[1]
+
+
+def test_only_the_loads_that_count_are_read(spark, table):
+    """The subquery over the log prunes partitions when the query runs."""
+    for numbers in ("1 1", "2 2", "3 3"):
+        add(spark, table, *(line(user=f"u{i}", numbers=numbers) for i in range(10)))
+    compact_table(spark, table)
+    add(spark, table, line(user="u1", numbers="4 4"))
+    reader = table_logs(spark, table).where(F.col("salt") >= 0)
+    with settings(spark, adaptive__enabled="false"):
+        assert len(reader.collect()) == 10
+        plan = reader._jdf.queryExecution().executedPlan()
+        spans = []
+
+        def scans(node):
+            if node.nodeName().startswith("Scan parquet"):
+                spans.append((node.toString(), node.metrics().apply("numPartitions").value()))
+            for i in range(node.children().size()):
+                scans(node.children().apply(i))
+
+        scans(plan)
+    loaded = [n for text, n in spans if f"{table}__base" not in text]
+    assert loaded and max(loaded) <= 1, spans
+
+
+def test_a_reader_that_was_built_for_few_rows_says_when_there_are_many(spark, table):
+    add(spark, table, line(user="u1"))
+    reader = table_logs(spark, table, broadcast_rows=2)
+    add(spark, table, *(line(user=f"u{i}") for i in range(30)))
+    with pytest.raises(Exception, match="call table_logs again"):
+        reader.collect()
+    assert table_logs(spark, table, broadcast_rows=2).count() == 30
+
+
 def test_more_input_gives_more_files(spark, table, tmp_path):
     texts = [line(user=f"u{i}") for i in range(4000)]
     write(tmp_path / "small" / "a.log", "\n".join(texts[:400]).encode())
