@@ -47,7 +47,7 @@ from clicktrail.operators import (
     user_frequency,
     with_share,
 )
-from clicktrail.plans import load_documents, load_files, load_result, save_result, search_saved, traffic_report, write_report
+from clicktrail.plans import first_rows, load_documents, load_files, load_result, save_result, search_saved, traffic_report, write_report
 from clicktrail.schema import LOG_COLUMNS
 from clicktrail.sources import (
     clear_table,
@@ -600,6 +600,20 @@ def _saved_result_ambiguous_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_saved(logs, one, path).unionByName(search_saved(logs, two, path))
 
 
+@_query(
+    "saved_condition_text",
+    oracle.stored(
+        f"""SELECT 'time:06:00:00|20:00:00+user:user1|user2|user3|user5|user7|user9+query:CLICK|view+rank:1-10+click:1-5' AS condition,
+  count(*) AS keys FROM (SELECT 1 FROM stored WHERE {CONDITION_SQL} ORDER BY row_key LIMIT 100) HAVING count(*) > 0"""
+    ),
+)
+def _saved_condition_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The display text that is saved with the keys of a result."""
+    path = new_path(spark, "saved")
+    save_result(derive.stored(spark, sf_dir), CONDITION, path)
+    return spark.read.parquet(path).groupBy("condition").agg(F.count("*").alias("keys"))
+
+
 # --- Statistics --------------------------------------------------------------------------------
 
 _on_window("window_clicks", lambda win: win, f"SELECT {COLUMNS} FROM win")
@@ -654,6 +668,13 @@ def _report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(f"{folder}/domain_distribution", schema="domain string, count bigint, percentage double")
 
 
+_on_logs(
+    "report_preview",
+    lambda logs: first_rows(traffic_report(logs, START, END, keep=False)["domain_statistics"]),
+    oracle.windowed(_TOP.format(key="domain", name="visit_count", k=10), START, END),
+)
+
+
 def _on_report_file(name: str, schema: str, select: str) -> None:
     """One of the files that a report writes, read back."""
 

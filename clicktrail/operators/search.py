@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +60,10 @@ def search_summary(logs: DataFrame, condition: Condition = None, mode: Mode = "l
     return counted.orderBy(F.desc("count"), *keys).limit(k)
 
 
-# Lengths of key prefixes: the salt, then more and more of the time. Each has at most 1,100 longer ones.
-_PREFIXES = (2, 5, 8, 11, 14, 17, 20, 22)
+# Digits of time that one look tells apart: at most 10,000 key prefixes.
+_DIGITS = 4
+# Length of a key up to the end of its time.
+_TIMED = 22
 # Rows that one task may sort for a page besides its own.
 _SORTED = 10_000
 
@@ -67,37 +71,46 @@ _SORTED = 10_000
 def page(found: DataFrame, number: int, size: int = 20) -> DataFrame:
     """Page ``number``, from 1, of hits in key order.
 
-    Salts are counted in key order until they cover the page, each in a job that reads one partition; then the
-    start is narrowed down by longer and longer key prefixes, so that no task sorts all the rows before it.
+    A first job counts the hits of the first salt, which a page near the start needs only; a second one those of all other
+    salts, at most 15 rows. Where many rows of a salt come before the page, one more job counts them per key prefix, beyond
+    what its first and last key have in common, so that no task sorts them all; longer prefixes are only looked at where
+    one of these holds too many rows.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
     skip = (number - 1) * size
-    first, last, counted = None, 0, 0
-    for last in range(SALT_BUCKETS):
-        n = found.where(F.col("salt") == last).count()
-        if first is None and skip < n:
-            first = last
-        elif first is None:
-            skip -= n
-            continue
-        counted += n
-        if counted >= skip + size:
+    counts = _per_salt(found.where(F.col("salt") == 0))
+    if sum(n for n, _, _ in counts.values()) < skip + size:
+        counts |= _per_salt(found.where(F.col("salt") > 0))
+    before, first, last = 0, None, 0
+    for last, (n, _, _) in sorted(counts.items()):
+        if first is None and skip < before + n:
+            first, skip_in = last, skip - before
+        before += n
+        if before >= skip + size:
             break
     if first is None:
         return found.limit(0)
-    start, skip = _narrowed(found.where(F.col("salt") == first), skip)
+    shared = len(os.path.commonprefix(counts[first][1:]))
+    start, skip_in = _narrowed(found.where(F.col("salt") == first), skip_in, shared)
     rest = found.where(F.col("salt").between(first, last) & (F.col("row_key") >= start))
-    return rest.orderBy("row_key").offset(skip).limit(size)
+    return rest.orderBy("row_key").offset(skip_in).limit(size)
+
+
+def _per_salt(found: DataFrame) -> dict[int, tuple[int, str, str]]:
+    """Number of hits, first and last key of each salt."""
+    key = F.substring("row_key", 1, _TIMED)
+    counted = found.groupBy("salt").agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    return {r["salt"]: (r["n"], r["low"], r["high"]) for r in counted.collect()}
 
 
-def _narrowed(inside: DataFrame, skip: int) -> tuple[str, int]:
-    """A key prefix from which few rows have to be skipped, and how many."""
+def _narrowed(inside: DataFrame, skip: int, shared: int) -> tuple[str, int]:
+    """A key prefix from which few rows have to be skipped, and how many; all keys share their first letters."""
     start = ""
-    for length in _PREFIXES[1:]:
+    for length in range(shared + _DIGITS, _TIMED + _DIGITS, _DIGITS):
         if skip <= _SORTED:
             break
-        prefix = F.substring("row_key", 1, length).alias("prefix")
+        prefix = F.substring("row_key", 1, min(length, _TIMED)).alias("prefix")
         for start, n in inside.groupBy(prefix).agg(F.count("*").alias("n")).orderBy("prefix").collect():
             if skip < n:
                 break

@@ -10,16 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicktrail.operators.stats import (
+    click_order_distribution,
+    domain_share,
     facet_counts,
     first_by_count,
     head_facet,
     head_of_facets,
     in_window,
+    rank_distribution,
     share_of_head,
     summary_of_head,
+    summary_report,
+    top_domains,
+    top_queries,
     total_of_head,
+    total_searches,
+    user_frequency,
 )
 
+
 class TrafficReport(Mapping[str, DataFrame]):
     """Parts of a report by name. Leave the ``with`` block, or call ``close``, to free what it keeps."""
 
@@ -53,11 +62,12 @@ def traffic_report(
 
     The stored clicks are scanned and shuffled once, for the counts per value of all five facets. Only what the parts
     show is kept: the ``k`` largest of three facets, the two distributions and the sums, however many users there are.
-    With ``keep`` false nothing is kept and every part counts anew, for a caller who wants one of them.
+    With ``keep`` false nothing is kept and every part is the single statistic, for a caller who wants one of them.
     """
-    head = head_of_facets(facet_counts(in_window(logs, start, end)), k)
-    if keep:
-        head = head.persist(StorageLevel.MEMORY_AND_DISK)
+    window = in_window(logs, start, end)
+    if not keep:
+        return TrafficReport(window, _single_parts(window, start, end, k))
+    head = head_of_facets(facet_counts(window), k).persist(StorageLevel.MEMORY_AND_DISK)
 
     def top(key: str, name: str) -> DataFrame:
         return first_by_count(head_facet(head, key, name), key, name, k)
@@ -77,6 +87,20 @@ def traffic_report(
     return TrafficReport(head, parts)
 
 
+def _single_parts(window: DataFrame, start: str, end: str, k: int) -> dict[str, DataFrame]:
+    return {
+        "total_searches": total_searches(window),
+        "query_statistics": top_queries(window, k),
+        "domain_statistics": top_domains(window, k),
+        "user_frequency": user_frequency(window, k),
+        "rank_statistics": rank_distribution(window),
+        "top10_rank_statistics": rank_distribution(window, 10),
+        "click_order_statistics": click_order_distribution(window),
+        "domain_distribution": domain_share(window, k),
+        "summary_report": summary_report(window, start, end),
+    }
+
+
 # The parts that are written to files; the others are shown only.
 FILES = (
     "query_statistics",
@@ -102,6 +126,11 @@ def write_report(results: Mapping[str, DataFrame], out: str, run_id: str | None
     return folder
 
 
+def first_rows(df: DataFrame, n: int = 10) -> DataFrame:
+    """The rows that a preview shows, in the order of ``df``."""
+    return df.limit(n)
+
+
 def preview(df: DataFrame, n: int = 10) -> None:
     """Print the first rows."""
-    df.limit(n).show(n, truncate=False)
+    first_rows(df, n).show(n, truncate=False)

@@ -218,6 +218,17 @@ def test_pages_of_times_outside_a_day(spark, logs, monkeypatch):
         assert [r.row_key for r in page(found, number, 20).collect()] == keys[(number - 1) * 20 : number * 20]
 
 
+def test_a_page_takes_two_counts_at_most(logs, logs_list, monkeypatch):
+    module, calls = sys.modules["clicktrail.operators.search"], []
+    count = module._per_salt
+    monkeypatch.setattr(module, "_per_salt", lambda found: calls.append(1) or count(found))
+    in_first = sum(r.salt == 0 for r in logs_list)
+    for number, jobs in ((1, 1), (in_first // 50 + 2, 2), (len(logs_list) // 50 + 1, 2)):
+        calls.clear()
+        page(logs, number, 50)
+        assert len(calls) == jobs, number
+
+
 def test_deep_pages(logs, logs_list, monkeypatch):
     keys = sorted(r.row_key for r in logs_list)
     monkeypatch.setattr(sys.modules["clicktrail.operators.search"], "_SORTED", 0)
