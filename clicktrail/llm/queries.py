@@ -42,11 +42,12 @@ URL_RULES = [
 
 
 QUALITY_CUT = 0.3
+UNIFORM = 0.1
 
 
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
+    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs), uniform=UNIFORM))
     return found.select(
         "doc_id",
         *(F.col(f"n_{k}").cast("long").alias(f"n_{k}") for k in secrets.KINDS),
