@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktrail.llm import jaccard, packing, quality, secrets, toxicity
-from clicktrail.llm.queries import QUALITY_CUT, TOKENIZER, held_out, importable, table
+from clicktrail.llm.queries import QUALITY_CUT, TOKENIZER, UNIFORM, held_out, importable, table
 from clicktrail.sources.scratch import written
 
 TOXIC_CUT = 0.5
@@ -40,7 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; n_chars follows the text."""
-    clean = secrets.redact(docs, secrets.train(secrets.labelled_samples(docs)))
+    clean = secrets.redact(docs, secrets.train(secrets.labelled_samples(docs), uniform=UNIFORM))
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
