@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from itertools import repeat
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,108 @@ def terms(text: str) -> dict[str, int]:
     return {**words, **starts, **marks}
 
 
+class Terms(Mapping):
+    """Terms by place, kept as one Arrow array; numbers by term are worked out where a text is read, once per process."""
+
+    def __init__(self, terms: Iterable[str] | pa.Array) -> None:
+        self._terms = terms if isinstance(terms, pa.Array) else pa.array(list(terms), pa.string())
+        self._places: dict[str, int] | None = None
+
+    def __getstate__(self) -> pa.Array:
+        return self._terms
+
+    def __setstate__(self, state: pa.Array) -> None:
+        self._terms, self._places = state, None
+
+    def places(self) -> dict[str, int]:
+        if self._places is None:
+            self._places = {t: i for i, t in enumerate(self._terms.to_pylist())}
+        return self._places
+
+    def __getitem__(self, term: str) -> int:
+        return self.places()[term]
+
+    def __iter__(self) -> Iterator[str]:
+        return (t.as_py() for t in self._terms)
+
+    def __len__(self) -> int:
+        return len(self._terms)
+
+
+class Reader:
+    """Texts to numbered terms and how often each is met, as ``terms`` has them, by way of their distinct pieces between
+    blanks, of which no word is longer.
+
+    A piece's terms are looked up once and remembered; terms outside the vocabulary get numbers beyond it, as they count in
+    norms. What is remembered is forgotten after ``limit`` pieces, which changes no result.
+    """
+
+    def __init__(self, vocabulary: Mapping[str, int], limit: int = 1_000_000) -> None:
+        self._known = vocabulary.places() if isinstance(vocabulary, Terms) else dict(vocabulary)
+        self.size, self._limit = len(self._known), limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self._extra: dict[str, int] = {}
+        self._starts: dict[str, int] = {}
+        # Piece p has the numbers flat[begin[p]] to flat[begin[p + 1]]; a beginning's marks stand at its own number, else -1.
+        self._pieces: dict[str, int] = {}
+        self._flat, self._begin = array("i"), array("i", [0])
+        self._marks = tuple(array("i", [-1]) * self.size for _ in (2, 4))
+
+    def _new(self) -> int:
+        for marks in self._marks:
+            marks.append(-1)
+        return len(self._marks[0]) - 1
+
+    def _start(self, s: str) -> int:
+        place = self._known.get(s)
+        place = self._starts[s] = self._new() if place is None else place
+        for marks, n in zip(self._marks, (2, 4), strict=True):
+            mark = self._known.get(f"{s}{n}")
+            marks[place] = self._new() if mark is None else mark
+        return place
+
+    def _add(self, piece: str) -> int:
+        for word in _TERM.findall(piece):
+            place = self._known.get(word)
+            if place is None:
+                place = self._extra.get(word)
+                if place is None:
+                    place = self._extra[word] = self._new()
+            self._flat.append(place)
+            for end in range(4, min(8, len(word))):
+                s = word[:end] + "*"
+                place = self._starts.get(s)
+                self._flat.append(self._start(s) if place is None else place)
+        self._begin.append(len(self._flat))
+        found = self._pieces[piece] = len(self._pieces)
+        return found
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct numbers, those of marks last, and counts; numbers from ``size`` on are outside the vocabulary."""
+        if max(len(self._pieces), len(self._starts), len(self._flat) // 8) > self._limit:
+            self._forget()
+        pieces = Counter(text.lower().split())
+        at = list(map(self._pieces.get, pieces))
+        if None in at:
+            at = [self._add(p) if i is None else i for i, p in zip(at, pieces, strict=True)]
+        begin = np.frombuffer(self._begin, np.int32)
+        at = np.array(at, np.int64)
+        size = begin[at + 1] - begin[at]
+        if not size.any():
+            return np.zeros(0, np.int64), np.zeros(0)
+        numbers = np.frombuffer(self._flat, np.int32)[_ranges(begin[at], size)]
+        times = np.repeat(np.fromiter(pieces.values(), np.int64, len(pieces)), size)
+        order = np.argsort(numbers)
+        numbers = numbers[order]
+        head = np.flatnonzero(np.diff(numbers, prepend=-1))
+        place, total = numbers[head].astype(np.int64), np.add.reduceat(times[order], head)
+        marked = [np.frombuffer(marks, np.int32)[place[total >= n]] for marks, n in zip(self._marks, (2, 4), strict=True)]
+        more = np.concatenate([m[m >= 0] for m in marked])
+        return np.concatenate([place, more]), np.concatenate([total, np.ones(len(more))])
+
+
 def _arrays(vector: Vector) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(vector, dict):
         return np.fromiter(vector.keys(), np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))
@@ -59,10 +161,11 @@ class BlockMaxIndex:
     """Postings by term and block of ``size`` examples, with the largest weight of each term in each block.
 
     Term t has the entries ``starts[t]`` to ``starts[t + 1]``, one for each block that it stands in; entry e has the
-    postings ``first[e]`` to ``first[e + 1]``. ``unknown`` is the IDF of a term that no example has.
+    postings ``first[e]`` to ``first[e + 1]``. ``unknown`` is the IDF of a term that no example has. Up to ``dense`` terms
+    that most examples share are also laid out as a matrix by block, for many texts at a time.
     """
 
-    vocabulary: dict[str, int]
+    vocabulary: Mapping[str, int]
     idf: np.ndarray
     unknown: float
     ids: np.ndarray
@@ -74,9 +177,12 @@ class BlockMaxIndex:
     first: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
+    dense: int = 1_024
+    _reader: Reader | None = field(default=None, repr=False)
+    _parts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = field(default=None, repr=False)
 
     @classmethod
-    def build(cls, vectors: Sequence[Vector], ids: Sequence[int], labels: Sequence[int], vocabulary: dict[str, int], idf: np.ndarray, size: int = 32, unknown: float = 0.0) -> BlockMaxIndex:
+    def build(cls, vectors: Sequence[Vector], ids: Sequence[int], labels: Sequence[int], vocabulary: Mapping[str, int], idf: np.ndarray, size: int = 32, unknown: float = 0.0, dense: int = 1_024) -> BlockMaxIndex:
         """Examples with the same strongest term stand together, which keeps the bounds tight."""
         pairs = [_arrays(v) for v in vectors]
         strongest = [(int(t[at]), float(w[at])) if len(t) and (at := np.lexsort((t, w))[-1]) >= 0 else (-1, 0.0) for t, w in pairs]
@@ -92,59 +198,99 @@ class BlockMaxIndex:
         largest = np.maximum.reduceat(weights, head) if len(head) else np.zeros(0)
         starts = np.searchsorted(term[head], np.arange(len(vocabulary) + 1))
         first = np.append(head, len(term))
-        return cls(vocabulary, idf, unknown, np.array([ids[i] for i in order], dtype=np.int64), np.array([labels[i] for i in order], dtype=np.int64), size, starts, block[head], largest, first, examples, weights)
+        return cls(vocabulary, idf, unknown, np.array([ids[i] for i in order], dtype=np.int64), np.array([labels[i] for i in order], dtype=np.int64), size, starts, block[head], largest, first, examples, weights, dense)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_reader": None, "_parts": None}
+
+    def reader(self) -> Reader:
+        if self._reader is None:
+            self._reader = Reader(self.vocabulary)
+        return self._reader
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the vocabulary and their weights in the unit TF-IDF vector of all terms; empty where none is known."""
-        return unit_vector(terms(text), self.vocabulary, self.idf, self.unknown)
+        return unit_vector(*self.reader().read(text), self.idf, self.unknown)
+
+    def _dense_parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each of the terms with the most postings, -1 for others; their weights by block, and the block maxima."""
+        if self._parts is None:
+            blocks = -(-len(self.ids) // self.size)
+            met = self.first[self.starts[1:]] - self.first[self.starts[:-1]]
+            chosen = np.argsort(-met, kind="stable")[: self.dense]
+            chosen = np.sort(chosen[met[chosen] > len(self.ids) / 32])
+            slot = np.full(len(met), -1)
+            slot[chosen] = np.arange(len(chosen))
+            weights = np.zeros((blocks, len(chosen), self.size))
+            posting = _ranges(self.first[self.starts[chosen]], met[chosen])
+            example = self.examples[posting]
+            weights[example // self.size, np.repeat(np.arange(len(chosen)), met[chosen]), example % self.size] = self.weights[posting]
+            largest = np.zeros((len(chosen), blocks))
+            entry = _ranges(self.starts[chosen], self.starts[chosen + 1] - self.starts[chosen])
+            largest[np.repeat(np.arange(len(chosen)), self.starts[chosen + 1] - self.starts[chosen]), self.blocks[entry]] = self.largest[entry]
+            self._parts = slot, weights, largest
+        return self._parts
 
     def nearest(self, vector: Vector, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k examples of the largest cosine above 0, ties to the smaller place; exact.
+        """(places, cosines) of the k examples of the largest cosine above 0, ties to the smaller place; exact."""
+        return self.nearest_of([vector], k, [skip])[0]
+
+    def nearest_of(self, vectors: Sequence[Vector], k: int, skip: Sequence[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for many vectors side by side.
 
-        The blocks of the largest bounds are opened first, then those whose bound still reaches the k-th cosine.
+        A block's bound is the sum of its largest weights over the terms with many postings, and the largest sum of its
+        examples over all others, whose few postings are added up outright. The blocks of the largest bounds are opened
+        first, then those whose bound still reaches the k-th cosine.
         """
-        term, weight = _arrays(vector)
-        places, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        if not len(term):
-            return places, cosines
-        n = self.starts[term + 1] - self.starts[term]
-        entry, weight = _ranges(self.starts[term], n), np.repeat(weight, n)
-        block = self.blocks[entry]
-        bounds = np.bincount(block, weight * self.largest[entry], -(-len(self.ids) // self.size))
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        few = -(-k // self.size) + 1
-        for group in (order[:few], order[few : 4 * few], order[4 * few :]):
-            if len(places) == k:
-                group = group[bounds[group] >= least - 1e-12]
-            if not len(group):
-                continue
-            opened = np.zeros(len(bounds), bool)
-            opened[group] = True
-            at = np.flatnonzero(opened[block])
-            n = self.first[entry[at] + 1] - self.first[entry[at]]
-            posting = _ranges(self.first[entry[at]], n)
-            scores = np.bincount(self.examples[posting], self.weights[posting] * np.repeat(weight[at], n), len(self.ids))
-            hit = np.flatnonzero(scores > 0)
-            hit = hit[hit != skip] if skip is not None else hit
-            places, cosines = np.concatenate([places, hit]), np.concatenate([cosines, scores[hit]])
-            best = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[best], cosines[best]
-            least = cosines[-1] if len(cosines) else 0.0
-        return places, cosines
-
-
-def unit_vector(counts: dict[str, int], vocabulary: dict[str, int], idf: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
-    """Known terms in order and their weights; terms that no example has count in the norm, with the IDF ``unknown``."""
-    place = np.fromiter(map(vocabulary.get, counts, repeat(-1)), np.int64, len(counts))
-    known = place >= 0
+        slot, weights, largest = self._dense_parts()
+        blocks, width = -(-len(self.ids) // self.size), -(-len(self.ids) // self.size) * self.size
+        dense, rest = np.zeros((len(vectors), len(largest))), np.zeros((len(vectors), width))
+        for i, vector in enumerate(vectors):
+            term, weight = _arrays(vector)
+            at = slot[term]
+            dense[i, at[at >= 0]] = weight[at >= 0]
+            term, weight = term[at < 0], weight[at < 0]
+            begin = self.first[self.starts[term]]
+            n = self.first[self.starts[term + 1]] - begin
+            posting = _ranges(begin, n)
+            rest[i] = np.bincount(self.examples[posting], self.weights[posting] * np.repeat(weight, n), width)
+        bounds = dense @ largest + rest.reshape(len(vectors), blocks, self.size).max(axis=2)
+        scores = np.zeros((len(vectors), width))
+
+        def open_(mask: np.ndarray) -> None:
+            for block in np.flatnonzero(mask.any(axis=0)):
+                who, at = np.flatnonzero(mask[:, block]), slice(block * self.size, (block + 1) * self.size)
+                scores[who, at] = dense[who] @ weights[block] + rest[who, at]
+            for i, place in enumerate(skip or []):
+                if place is not None:
+                    scores[i, place] = 0.0
+
+        few = min(blocks, -(-k // self.size) + 1)
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, np.argpartition(-bounds, few - 1, axis=1)[:, :few], True, axis=1)
+        first &= bounds > 0
+        open_(first)
+        least = np.partition(scores, width - k, axis=1)[:, width - k] if k < width else np.zeros(len(vectors))
+        open_((bounds >= least[:, None] - 1e-12) & (bounds > 0) & ~first)
+        out = []
+        for row in scores:
+            hit = np.flatnonzero(row > 0)
+            if len(hit) > k:
+                hit = hit[row[hit] >= np.partition(row[hit], len(hit) - k)[len(hit) - k]]
+            best = hit[np.lexsort((hit, -row[hit]))[:k]]
+            out.append((best, row[best]))
+        return out
+
+
+def unit_vector(place: np.ndarray, counts: np.ndarray, idf: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    """Known terms and their weights; terms that no example has count in the norm, with the IDF ``unknown``."""
+    known = place < len(idf)
     if not known.any():
         return np.zeros(0, np.int64), np.zeros(0)
-    raw = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * np.where(known, idf[place], unknown)
-    norm = math.sqrt(raw @ raw)
-    place, raw = place[known], raw[known]
-    order = np.argsort(place)
-    return place[order], raw[order] / norm
+    weight = np.full(len(place), unknown)
+    weight[known] = idf[place[known]]
+    raw = (1 + np.log(counts)) * weight
+    return place[known], raw[known] / math.sqrt(raw @ raw)
 
 
 @dataclass
@@ -164,12 +310,22 @@ class NearestExamples:
         return float((w @ self.index.labels[places] + 0.1 * self.prior) / (w.sum() + 0.1))
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        vector = self.index.vector(text)
-        if not len(vector[0]):
-            return self.unknown, []
-        places, cosines = self.index.nearest(vector, self.k)
-        p = 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * self.vote(places, cosines) + self.shift))))
-        return p, [(int(self.index.ids[i]), int(self.index.labels[i]), float(c)) for i, c in zip(places[:3], cosines[:3], strict=True)]
+        return self.score_all([text])[0]
+
+    def score_all(self, texts: Sequence[str], together: int = 128) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """Score and evidence of each text; equal texts are scored once."""
+        distinct = list(dict.fromkeys(texts))
+        found: dict[str, tuple[float, list[tuple[int, int, float]]]] = {}
+        for a in range(0, len(distinct), together):
+            some = distinct[a : a + together]
+            vectors = [self.index.vector(t) for t in some]
+            for text, vector, (places, cosines) in zip(some, vectors, self.index.nearest_of(vectors, self.k), strict=True):
+                if not len(vector[0]):
+                    found[text] = self.unknown, []
+                    continue
+                p = 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * self.vote(places, cosines) + self.shift))))
+                found[text] = p, [(int(self.index.ids[i]), int(self.index.labels[i]), float(c)) for i, c in zip(places[:3], cosines[:3], strict=True)]
+        return [found[t] for t in texts]
 
 
 def _calibrate(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -211,18 +367,17 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, k: int
     met = seen.select("term", F.sqrt((chi + 1) / (n + 1)).alias("weight")).orderBy("term").toArrow()
     if not len(met):
         return None
-    spark, vocabulary = docs.sparkSession, {t: i for i, t in enumerate(met.column("term").to_pylist())}
+    spark, vocabulary = docs.sparkSession, Terms(met.column("term").combine_chunks())
     places = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = places.value
-        count, rows = np.zeros(len(place), np.int64), 0
+        reader = Reader(places.value)
+        count, rows = np.zeros(reader.size, np.int64), 0
         for batch in batches:
             rows += len(batch)
-            for text in batch.column(0):
-                counts = terms(text.as_py() or "")
-                found = np.fromiter(map(place.get, counts, repeat(-1)), np.int64, len(counts))
-                count[found[found >= 0]] += 1
+            for text, times in Counter(t.as_py() or "" for t in batch.column(0)).items():
+                found = reader.read(text)[0]
+                count[found[found < reader.size]] += times
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, np.flatnonzero(count)), pa.int32()), pa.array(np.append(rows, count[count > 0]), pa.int64())], ["term", "n"])
 
     df = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -235,8 +390,9 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, k: int
     given = spark.sparkContext.broadcast(idf)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(places.value)
         for batch in batches:
-            found = [unit_vector(terms(t.as_py() or ""), places.value, given.value, unknown) for t in batch.column("text")]
+            found = [unit_vector(*reader.read(t.as_py() or ""), given.value, unknown) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([v[0] for v in found], pa.list_(pa.int64())), pa.array([v[1] for v in found], pa.list_(pa.float64()))], ["doc_id", "label", "terms", "weights"])
 
     rows = examples.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, terms array<long>, weights array<double>").orderBy("doc_id", "label", "terms", "weights").limit(max_examples).toArrow()
@@ -255,7 +411,12 @@ def _fit(index: BlockMaxIndex, k: int, share: float) -> NearestExamples:
     ends = np.searchsorted(index.examples[order], np.arange(len(index.ids) + 1))
     own = [order[a:z] for a, z in zip(ends, ends[1:], strict=False)]
     known = np.array([len(x) > 0 for x in own])
-    votes = np.array([model.vote(*index.nearest((term[x], index.weights[x]), k, skip=place)) for place, x in enumerate(own)])
+    votes = []
+    for a in range(0, len(own), 128):
+        some = own[a : a + 128]
+        met = index.nearest_of([(term[x], index.weights[x]) for x in some], k, range(a, a + len(some)))
+        votes += [model.vote(*m) for m in met]
+    votes = np.array(votes)
     model.slope, model.shift = _calibrate(votes[known], index.labels[known], weight[known])
     none = weight[~known]
     model.unknown = float((none @ index.labels[~known] + share) / (none.sum() + 1))
@@ -273,7 +434,7 @@ def score(docs: DataFrame, model: NearestExamples | None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, kind = shared.value, pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
-            found = [model.score(t.as_py() or "") if model else (0.0, []) for t in batch.column(1)]
+            found = model.score_all([t.as_py() or "" for t in batch.column(1)]) if model else [(0.0, [])] * len(batch)
             evidence = pa.array([[dict(zip(("example", "label", "cosine"), e, strict=True)) for e in x] for _, x in found], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in found], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
@@ -289,6 +450,6 @@ def keep(docs: DataFrame, model: NearestExamples | None, below: float, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t.as_py() or "")[0] < below for t in batch.column(text_col)], pa.bool_()))
+            yield batch.filter(pa.array([p < below for p, _ in model.score_all([t.as_py() or "" for t in batch.column(text_col)])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,5 +1,9 @@
 """Toxicity and quality: exact search, learned weights, held-out labels, and rows out of the ordinary."""
 
+import dataclasses
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +27,7 @@ def test_the_index_finds_the_nearest_exactly():
         raw = draw.random(len(chosen)) + 0.1
         vectors.append({int(t): float(x) for t, x in zip(chosen, raw / (np.sqrt((raw**2).sum()) or 1), strict=True)})
     index = toxicity.BlockMaxIndex.build(vectors, list(range(n)), [i % 2 for i in range(n)], {str(t): t for t in range(terms)}, np.ones(terms), size=16)
+    assert index.dense > terms
     dense = np.zeros((n, terms))
     for place, i in enumerate(index.ids):
         for t, x in vectors[int(i)].items():
@@ -37,6 +42,68 @@ def test_the_index_finds_the_nearest_exactly():
             allowed = np.array([p for p in np.flatnonzero(cosines > 1e-12) if p != skip], dtype=int)
             assert np.allclose(np.sort(got)[::-1], np.sort(cosines[allowed])[::-1][:k])
             assert np.allclose(cosines[got_places], got)
+    # The same whether few or all terms are laid out as a matrix.
+    few = dataclasses.replace(index, dense=3, _parts=None)
+    for one, two in zip(index.nearest_of(vectors, 7), few.nearest_of(vectors, 7), strict=True):
+        assert np.allclose(one[1], two[1])
+
+
+def test_texts_are_read_as_their_terms_say(documents):
+    """Pieces between blanks, remembered or forgotten, give the terms and counts of the whole text."""
+    texts = [t or "" for t in documents.toPandas()["text"][:300]] + ["", " . ", "Über-Wörter über wörter,wörter;WÖRTER İstanbul ßtraßenbahn", "a1b2c3 x\x1cy\u2003zebra zebra zebrafish"]
+    every = sorted({t for x in texts[::2] for t in toxicity.terms(x)})
+    for limit in (10**6, 50):
+        reader = toxicity.Reader(toxicity.Terms(every), limit)
+        for text in texts:
+            wanted = toxicity.terms(text)
+            place, counts = reader.read(text)
+            assert len(set(place.tolist())) == len(place) == len(wanted)
+            got = dict(zip(place.tolist(), counts.tolist(), strict=True))
+            assert all(got.pop(reader._known[t]) == n for t, n in wanted.items() if t in reader._known)
+            assert sorted(got.values()) == sorted(float(n) for t, n in wanted.items() if t not in reader._known)
+            assert all(p >= reader.size for p in got)
+
+
+def test_whole_scores_by_brute_force(spark, documents, labels):
+    """Every step again in plain Python: document frequencies, correlation, cosines, votes and the calibrated curve."""
+    model = toxicity.train(documents, labels.filter(~held_out()), max_examples=200)
+    rows = documents.select("doc_id", "text").collect()
+    texts = {r.doc_id: r.text or "" for r in rows}
+    index = model.index
+    examples = dict(zip(index.ids.tolist(), index.labels.tolist(), strict=True))
+    assert len(examples) == len(index.ids) and all(examples[r.doc_id] == r.toxic for r in labels.collect() if r.doc_id in examples)
+    every = {i: toxicity.terms(t) for i, t in texts.items()}
+    frequency = Counter(t for c in every.values() for t in c)
+    positive = Counter(t for i, y in examples.items() if y for t in every[i])
+    with_term = Counter(t for i in examples for t in every[i])
+    n, pos = len(examples), sum(examples.values())
+    neg = n - pos
+
+    def idf(t):
+        if t not in with_term:
+            return (math.log((1 + len(texts)) / 2) + 1) * math.sqrt(1 / (n + 1))
+        a, m = positive[t], with_term[t]
+        chi = n * (a * neg - (m - a) * pos) ** 2 / (m * (n - m + 0.5) * pos * neg)
+        return (math.log((1 + len(texts)) / (1 + frequency[t])) + 1) * math.sqrt((chi + 1) / (n + 1))
+
+    def unit(counts):
+        raw = {t: (1 + math.log(c)) * idf(t) for t, c in counts.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        return {t: x / norm for t, x in raw.items()}
+
+    vectors = {i: unit(every[i]) for i in examples}
+    assert list(index.vocabulary) == sorted(with_term)
+    scored = {r.doc_id: r for r in toxicity.score(documents, model).collect()}
+    for i in list(texts)[::9]:
+        q = unit(every[i]) if every[i] else {}
+        if not any(t in with_term for t in q):
+            assert scored[i].score == pytest.approx(model.unknown) and not scored[i].evidence
+            continue
+        cosines = sorted(((sum(x * v.get(t, 0.0) for t, x in q.items()), j) for j, v in vectors.items()), reverse=True)[: model.k]
+        weight = sum(c * c for c, _ in cosines)
+        vote = (sum(c * c * examples[j] for c, j in cosines) + 0.1 * model.prior) / (weight + 0.1)
+        assert scored[i].score == pytest.approx(1 / (1 + math.exp(-(model.slope * vote + model.shift))), abs=1e-9)
+        assert [e.cosine for e in scored[i].evidence] == pytest.approx([c for c, _ in cosines[:3]], abs=1e-9)
 
 
 def test_toxicity_of_held_out_documents(documents, labels):
