@@ -188,20 +188,31 @@ class BlockMaxIndex:
         strongest = [(int(t[at]), float(w[at])) if len(t) and (at := np.lexsort((t, w))[-1]) >= 0 else (-1, 0.0) for t, w in pairs]
         order = sorted(range(len(ids)), key=lambda i: (labels[i], strongest[i][0], -strongest[i][1], ids[i]))
         lengths = [len(pairs[i][0]) for i in order]
-        term = np.concatenate([np.zeros(0, np.int64), *(pairs[i][0] for i in order)]).astype(np.int32)
-        by_term = np.argsort(term, kind="stable")
+        term = np.concatenate([np.zeros(0, np.int32), *(pairs[i][0].astype(np.int32) for i in order)])
+        by_term = np.argsort(term, kind="stable").astype(np.int32)
         term = term[by_term]
         examples = np.repeat(np.arange(len(order), dtype=np.int32), lengths)[by_term]
         weights = np.concatenate([np.zeros(0), *(pairs[i][1] for i in order)])[by_term]
+        del pairs, by_term
         block = examples // size
         head = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
         largest = np.maximum.reduceat(weights, head) if len(head) else np.zeros(0)
-        starts = np.searchsorted(term[head], np.arange(len(vocabulary) + 1))
-        first = np.append(head, len(term))
+        starts = np.searchsorted(term[head], np.arange(len(vocabulary) + 1)).astype(np.int32)
+        first = np.append(head, len(term)).astype(np.int32)
         return cls(vocabulary, idf, unknown, np.array([ids[i] for i in order], dtype=np.int64), np.array([labels[i] for i in order], dtype=np.int64), size, starts, block[head], largest, first, examples, weights, dense)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_reader": None, "_parts": None}
+        """Without what the rest tells: ``blocks`` and ``largest`` follow from the postings."""
+        return self.__dict__ | {"_reader": None, "_parts": None, "blocks": None, "largest": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.blocks = self.examples[self.first[:-1]] // self.size
+        self.largest = np.maximum.reduceat(self.weights, self.first[:-1]) if len(self.weights) else np.zeros(0)
+
+    def forget(self) -> None:
+        """Free what was worked out for searching; it is worked out again where it is needed."""
+        self._reader = self._parts = None
 
     def reader(self) -> Reader:
         if self._reader is None:
@@ -386,6 +397,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, k: int
     count[at[at >= 0]] = total[at >= 0]
     rows = int(total[at < 0][0])
     idf = (np.log((1 + rows) / (1 + count)) + 1) * met.column("weight").to_numpy()
+    del count, at, total
     unknown = (math.log((1 + rows) / 2) + 1) * math.sqrt(1 / (n + 1))
     given = spark.sparkContext.broadcast(idf)
 
@@ -393,11 +405,22 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, k: int
         reader = Reader(places.value)
         for batch in batches:
             found = [unit_vector(*reader.read(t.as_py() or ""), given.value, unknown) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([v[0] for v in found], pa.list_(pa.int64())), pa.array([v[1] for v in found], pa.list_(pa.float64()))], ["doc_id", "label", "terms", "weights"])
-
-    rows = examples.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, terms array<long>, weights array<double>").orderBy("doc_id", "label", "terms", "weights").limit(max_examples).toArrow()
-    pairs = list(zip(*([x.values.to_numpy() for x in rows.column(c)] for c in ("terms", "weights")), strict=True))
-    index = BlockMaxIndex.build(pairs, rows.column("doc_id").to_pylist(), rows.column("label").to_pylist(), vocabulary, idf, unknown=unknown)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([v[0].astype(np.int32) for v in found], pa.list_(pa.int32())), pa.array([v[1] for v in found], pa.list_(pa.float64()))], ["doc_id", "label", "terms", "weights"])
+
+    made = written(examples.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, terms array<int>, weights array<double>"), "toxicity-vectors")
+    if pos + neg > max_examples:  # ids that stand for several texts
+        made = made.orderBy("doc_id", "label", "terms", "weights").limit(max_examples)
+    for shared in (places, given):
+        shared.destroy()
+    del df, met
+    rows = made.toArrow()
+    ids, marks = rows.column("doc_id").to_pylist(), rows.column("label").to_pylist()
+    # Views of the rows' own memory, chunk by chunk.
+    pairs = list(zip(*([x.values.to_numpy() for chunk in rows.column(c).chunks for x in chunk] for c in ("terms", "weights")), strict=True))
+    pa.default_memory_pool().release_unused()
+    index = BlockMaxIndex.build(pairs, ids, marks, vocabulary, idf, unknown=unknown)
+    del pairs, rows
+    pa.default_memory_pool().release_unused()
     share = known.agg(F.avg("label")).first()[0]
     return _fit(index, k, share)
 
@@ -406,8 +429,8 @@ def _fit(index: BlockMaxIndex, k: int, share: float) -> NearestExamples:
     """Calibrate on each example's vote without itself, with both labels weighed back to their share."""
     model = NearestExamples(index, k, share, 0.0, 0.0, share)
     weight = np.where(index.labels == 1, share / max(1, (index.labels == 1).sum()), (1 - share) / max(1, (index.labels == 0).sum())) * len(index.ids)
-    term = np.repeat(np.repeat(np.arange(len(index.vocabulary)), np.diff(index.starts)), np.diff(index.first))
-    order = np.argsort(index.examples, kind="stable")
+    term = np.repeat(np.repeat(np.arange(len(index.vocabulary), dtype=np.int32), np.diff(index.starts)), np.diff(index.first))
+    order = np.argsort(index.examples, kind="stable").astype(np.int32)
     ends = np.searchsorted(index.examples[order], np.arange(len(index.ids) + 1))
     own = [order[a:z] for a, z in zip(ends, ends[1:], strict=False)]
     known = np.array([len(x) > 0 for x in own])
@@ -420,6 +443,7 @@ def _fit(index: BlockMaxIndex, k: int, share: float) -> NearestExamples:
     model.slope, model.shift = _calibrate(votes[known], index.labels[known], weight[known])
     none = weight[~known]
     model.unknown = float((none @ index.labels[~known] + share) / (none.sum() + 1))
+    index.forget()
     return model
 
 
