@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, one beside the session's warehouse."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one beside the session's warehouse.
+
+    The warehouse may be a folder of the driver's machine only, so on a cluster the setting is needed.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch").rstrip("/")
 
 
