@@ -74,4 +74,4 @@ def test_odd_rows_and_empty_table(spark, odd, documents):
 def test_run_is_registered():
     assert __spark_entry__.queries()["pipeline"] is pipeline.run
     names = [n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")]
-    assert names == [f"op{i}" for i in range(1, 11)]
+    assert names == [f"op{i}" for i in range(1, 14)]
