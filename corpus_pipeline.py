@@ -2,6 +2,10 @@
 
 Each stage takes the documents that the one before kept and returns those that it keeps, with the columns of
 ``documents``; the last returns the packed pieces. Stages are written as Parquet in between.
+
+A null text counts as an empty one and stays null. Texts of any length are taken whole. Rows that stand twice get the same
+decision; of these, the near-duplicate stage keeps one. An empty table gives an empty one, and a classifier without examples
+of both labels keeps all rows. Further columns, whatever their names, are passed on by all stages but the last.
 """
 
 from __future__ import annotations
