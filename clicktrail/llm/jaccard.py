@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from clicktrail.sources.scratch import written
 NARROW, WIDE = 256, 1 << 17
 """Bits of the bitmaps of the smallest and of the largest sets."""
 PIECE = 1 << 20
+SIDE_BY_SIDE = 1 << 17
+"""Short texts are hashed together, in stretches of some so many bytes."""
 BROADCAST_ENTRIES = 500_000
 """A lookup side of at most so many entries (of some 50 bytes) is broadcast after they were counted; a larger one is shuffled."""
 _SPACE = np.zeros(256, bool)
@@ -61,12 +64,12 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
         at = end
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word between white space, with A-Z as a-z.
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words between white space, with A-Z as a-z.
 
     Words of more than ``PIECE`` bytes, wherever they stand, are hashed by blake2b, all others by a polynomial.
     """
-    out = []
+    begin, out, at = [], [], 0
     for piece in _pieces(raw):
         letters = np.frombuffer(piece, np.uint8)
         space = _SPACE[letters]
@@ -84,27 +87,62 @@ def word_hashes(raw: bytes) -> np.ndarray:
             sums = np.concatenate([[np.uint64(0)], np.cumsum((_FOLD[letters[:reach]] + np.uint64(1)) * power[:reach], dtype=np.uint64)])
             a, z = starts[~long], ends[~long]
             hashes[~long] = _mix((sums[z] - sums[a]) * inverse[a] + (z - a).astype(np.uint64) * np.uint64(_MIX2))
+        begin.append(starts + at)
         out.append(hashes)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        at += len(piece)
+    return (np.concatenate(begin), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def shingle_set(text: str, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of k words in a row; of all words where there are fewer; empty without words."""
-    words = word_hashes(text.encode("utf-8"))
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, as in ``_words``."""
+    return _words(raw)[1]
+
+
+def _runs(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of k words in a row, in the order of the text; of all words where there are fewer."""
     n = len(words)
-    if not n:
-        return words
     width = min(n, k)
     with np.errstate(over="ignore"):
         sums = np.full(n - width + 1, width if n < k else 0, np.uint64)
         for j in range(width):
             sums = _mix(sums + words[j : n - width + 1 + j] * _STEP[j % 8])
-    return np.unique(sums)
+    return sums
+
+
+def shingle_sets(texts: Iterable[str], k: int = 5) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of k words in a row; of all words where there are fewer; empty without words."""
+
+    def sets(raws: list[bytes]) -> Iterator[np.ndarray]:
+        starts, words = _words(b" ".join(raws))
+        ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws])).tolist()
+        runs = _runs(words, k) if len(words) >= k else words
+        for start, end in zip([0, *ends[:-1]], ends, strict=True):
+            if end - start < k:
+                yield _runs(words[start:end], k) if end > start else words[:0]
+            else:
+                found = np.sort(runs[start : end - k + 1])
+                yield found[np.concatenate([[True], found[1:] != found[:-1]])]
+
+    held, size = [], 0
+    for text in texts:
+        raw = text.encode("utf-8")
+        if held and size + len(raw) > SIDE_BY_SIDE:
+            yield from sets(held)
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield from sets(held)
+
+
+def shingle_set(text: str, k: int = 5) -> np.ndarray:
+    """The set of one text, as in ``shingle_sets``."""
+    return next(shingle_sets([text], k))
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
-    """A bit for each shingle, in twice as many bits as shingles, up to a power of two."""
-    width = min(WIDE, max(NARROW, 1 << (2 * len(shingles) - 1).bit_length()))
+    """A bit for each shingle, in as many bits as shingles, up to a power of two."""
+    width = min(WIDE, max(NARROW, 1 << (len(shingles) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -146,8 +184,8 @@ def frequent_shingles(texts: DataFrame, k: int, percent: int, at_most: int = 1_0
 
         parts, held = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                parts.append(_first(shingle_set(text.as_py(), k), np.zeros(0, np.uint64), percent))
+            for shingles in shingle_sets((t.as_py() for t in batch.column(0)), k):
+                parts.append(_first(shingles, np.zeros(0, np.uint64), percent))
                 held += len(parts[-1])
                 if held > 4_000_000:
                     yield report(parts)
@@ -162,19 +200,18 @@ def frequent_shingles(texts: DataFrame, k: int, percent: int, at_most: int = 1_0
 
 
 def signatures(texts: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, class, bitmap, first) of every text; ``class`` is a digest of the shingles, null for an empty set."""
+    """(doc_id, n, digest, bitmap, first) of every text; the digest is that of the shingles, null for an empty set."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), k)
+            for s in shingle_sets((t.as_py() for t in batch.column(1)), k):
                 rows.append((len(s), _digest(s), _bitmap(s), _first(s, shared.value, percent)) if len(s) else (0, None, None, None))
             n, digest, bitmap, first = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bitmap, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "n", "class", "bitmap", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bitmap, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "bitmap", "first"])
 
-    return texts.mapInArrow(sign, "doc_id long, n long, class binary, bitmap binary, first array<long>")
+    return texts.mapInArrow(sign, "doc_id long, n long, digest binary, bitmap binary, first array<long>")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -220,14 +257,17 @@ def _possible(n: np.ndarray, bitmaps: list[bytes], a: np.ndarray, b: np.ndarray,
     places, differing = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for width in np.unique(narrow).tolist():
         at = fits[narrow == width]
-        rows, where = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
-        bits = np.stack([_folded(bitmaps[r], width) for r in rows.tolist()])
+        bits = np.zeros((len(bitmaps), width // 64), np.uint64)
+        for r in np.flatnonzero(widths >= width).tolist():
+            bits[r] = _folded(bitmaps[r], width) if widths[r] > width else np.frombuffer(bitmaps[r], np.uint64)
+        held = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         step = max(1, (1 << 24) // width)
         for start in range(0, len(at), step):
             part = at[start : start + step]
-            p, q = bits[where[: len(at)][start : start + step]], bits[where[len(at) :][start : start + step]]
-            only_a, only_b = np.bitwise_count(p & ~q).sum(axis=1).astype(np.int64), np.bitwise_count(q & ~p).sum(axis=1).astype(np.int64)
-            x, y = n[a[part]], n[b[part]]
+            p, q = a[part], b[part]
+            common = np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64)
+            only_a, only_b = held[p] - common, held[q] - common
+            x, y = n[p], n[q]
             both = np.minimum(x - only_a, y - only_b)
             maybe = 100 * both >= percent * (x + y - both)
             places.append(part[maybe])
@@ -240,9 +280,9 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _pairs(start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.triu_indices(end - start, 1)
-    return a + start, b + start
+@lru_cache(maxsize=64)
+def _pairs(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(size, 1)
 
 
 def _forest(percent: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -254,23 +294,24 @@ def _forest(percent: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], I
             n, bitmaps = table.column("n").to_numpy(), table.column("bitmap").to_pylist()
             known = table.column("component").to_pylist() if apart else names
             sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-            out: list[tuple[bytes, bytes]] = []
+            out: list[tuple[int, int]] = []
             for start, end in zip(cuts[:-1].tolist(), [*cuts[1:-1].tolist(), len(table)], strict=True):
                 lead = {known[r]: known[r] for r in range(start, end)}
 
-                def top(x: bytes, lead: dict = lead) -> bytes:
+                def top(x: int, lead: dict = lead) -> int:
                     while lead[x] != x:
                         lead[x] = x = lead[lead[x]]
                     return x
 
-                a, b = _pairs(start, end)
-                maybe, differing = _possible(n, bitmaps, a, b, percent)
+                a, b = _pairs(end - start)
+                maybe, differing = _possible(n[start:end], bitmaps[start:end], a, b, percent)
+                a, b = a + start, b + start
                 for p in maybe[np.argsort(differing, kind="stable")].tolist():
                     x, y = top(known[a[p]]), top(known[b[p]])
                     if x != y and _linked(sets[a[p]], sets[b[p]], percent):
                         lead[y] = x
                         out.append((names[a[p]], names[b[p]]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     return join
 
@@ -291,14 +332,15 @@ def _undecided(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _whole_groups(batches, ["tile", "i", "j"]):
             n, bitmaps = table.column("n").to_numpy(), table.column("bitmap").to_pylist()
-            _, component = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)
+            component = table.column("component").to_numpy()
             keep, tiles = np.zeros(len(table), bool), table.column("tile").to_numpy()
-            lists = np.array(table.column("tiles").to_pylist(), dtype=np.int64) if "tiles" in table.column_names else None
+            lists = pc.list_flatten(table.column("tiles")).to_numpy().reshape(len(table), -1) if "tiles" in table.column_names else None
             for start, end in zip(cuts[:-1].tolist(), [*cuts[1:-1].tolist(), len(table)], strict=True):
-                a, b = _pairs(start, end)
-                other = component[a] != component[b]
+                a, b = _pairs(end - start)
+                other = component[start:end][a] != component[start:end][b]
                 a, b = a[other], b[other]
-                maybe, _ = _possible(n, bitmaps, a, b, percent)
+                maybe, _ = _possible(n[start:end], bitmaps[start:end], a, b, percent)
+                a, b = a + start, b + start
                 if lists is not None:
                     maybe = maybe[~_met_before(lists, a[maybe], b[maybe], tiles[start])]
                 keep[a[maybe]] = keep[b[maybe]] = True
@@ -340,18 +382,19 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, band: int = 256, id_col
     """
     texts = _texts(docs, id_col, text_col)
     signed = written(signatures(texts, frequent_shingles(texts, k, percent), k, percent), "jaccard-signed")
-    nonempty = signed.filter("class is not null")
-    classes = nonempty.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.any_value(F.struct("n", "bitmap")).alias("one"))
-    classes = written(classes.select("class", "doc_id", "one.*"), "jaccard-classes")
+    nonempty = signed.filter("digest is not null")
+    classes = nonempty.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value(F.struct("n", "bitmap")).alias("one"))
+    # Numbers stand for digests from here on; they are fixed once the table is written.
+    classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "digest", "doc_id", "one.*"), "jaccard-classes")
     by_first = Window.partitionBy("tile")
     code = F.xxhash64("class")
-    firsts = nonempty.groupBy("class").agg(F.any_value("first").alias("first")).select("class", F.explode("first").alias("tile"))
+    firsts = nonempty.groupBy("digest").agg(F.any_value("first").alias("first")).join(classes.select("digest", "class", "n"), "digest").select("class", "n", F.explode("first").alias("tile"))
     met = firsts.withColumns({"size": F.count("*").over(by_first), "x": F.bit_xor(code).over(by_first), "y": F.bit_xor(F.xxhash64(code, F.lit(1))).over(by_first)})
     met = written(met.filter("size > 1"), "jaccard-met")
     chosen = met.groupBy("size", "x", "y").agg(F.min("tile").alias("tile")).select("tile")
     # Sizes of linked sets differ by less than a band, so each class stands in its own band and in the next.
     size_band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent * 1.0001)) if percent < 100 else F.col("n")
-    shared = met.join(chosen, "tile", "left_semi").select("tile", "class").join(classes.select("class", "n"), "class")
+    shared = met.join(chosen, "tile", "left_semi").select("tile", "class", "n")
     bands = (F.struct(F.xxhash64("tile", size_band + i).alias("tile"), F.lit(i == 0).alias("own")) for i in (0, 1))
     shared = written(shared.select("class", F.inline(F.array(*bands))), "jaccard-banded")
     # Classes that only visit a band have met in their own.
@@ -360,22 +403,22 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, band: int = 256, id_col
 
     def with_sets(rows: DataFrame) -> DataFrame:
         """Rows of (class, ...) with the class's n, bitmap and shingles."""
-        wanted = rows.groupBy("class").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "class"))).alias("rows")).join(classes.select("class", "doc_id"), "class")
-        wanted = written(wanted.select(F.col("class").alias("wanted"), F.col("doc_id").alias("of"), "rows"), "jaccard-wanted")
+        wanted = rows.groupBy("class").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "class"))).alias("rows")).join(classes.select("class", "digest", "doc_id"), "class")
+        wanted = written(wanted.select("class", "digest", F.col("doc_id").alias("of"), "rows"), "jaccard-wanted")
         entries = wanted.agg(F.sum(F.size("rows") + 1)).first()[0] or 0
         side = F.broadcast(wanted) if entries <= BROADCAST_ENTRIES else wanted
-        found = texts.join(side, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "wanted", "rows")
+        found = texts.join(side, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "class", "digest", "rows")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                made = [shingle_set(t.as_py(), k) for t in batch.column("text")]
-                same = [i for i, (s, w) in enumerate(zip(made, batch.column("wanted").to_pylist(), strict=True)) if _digest(s) == w]
+                made = list(shingle_sets((t.as_py() for t in batch.column("text")), k))
+                same = [i for i, (s, w) in enumerate(zip(made, batch.column("digest").to_pylist(), strict=True)) if _digest(s) == w]
                 kept = batch.take(pa.array(same, pa.int64()))
                 made = [made[i] for i in same]
-                yield pa.RecordBatch.from_arrays([kept.column("wanted"), kept.column("rows"), pa.array([len(s) for s in made], pa.int64()), pa.array([_bitmap(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], ["class", "rows", "n", "bitmap", "shingles"])
+                yield pa.RecordBatch.from_arrays([kept.column("class"), kept.column("rows"), pa.array([len(s) for s in made], pa.int64()), pa.array([_bitmap(s) for s in made], pa.binary()), pa.array([s.tobytes() for s in made], pa.binary())], ["class", "rows", "n", "bitmap", "shingles"])
 
         kind = found.schema["rows"].dataType.simpleString()
-        full = found.mapInArrow(sets, f"class binary, rows {kind}, n long, bitmap binary, shingles binary")
+        full = found.mapInArrow(sets, f"class long, rows {kind}, n long, bitmap binary, shingles binary")
         return full.select("class", "n", "bitmap", "shingles", F.inline("rows"))
 
     def in_tiles(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -392,8 +435,8 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, band: int = 256, id_col
     at = F.when(guide, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), parts).cast("int")))
     own = own.select("class", "tile", F.explode(at).alias("i"), F.lit(0).alias("j"))
     own = own.join(classes.select("class", "n", "bitmap"), "class").withColumn("component", F.col("class"))
-    likely = written(in_tiles(own, _undecided(percent), "tile long, i int, j int, class binary"), "jaccard-likely")
-    first_links = written(in_tiles(with_sets(likely), _forest(percent, False), "a binary, b binary"), "jaccard-links")
+    likely = written(in_tiles(own, _undecided(percent), "tile long, i int, j int, class long"), "jaccard-likely")
+    first_links = written(in_tiles(with_sets(likely), _forest(percent, False), "a long, b long"), "jaccard-links")
     known = written(components(first_links), "jaccard-components")
 
     named = tiles.join(known.withColumnRenamed("node", "class"), "class", "left")
@@ -411,16 +454,16 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, band: int = 256, id_col
     listed = open_tiles.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("tile")), 1, 8).alias("tiles"))
     listed = listed.select("class", F.concat("tiles", F.array_repeat(F.element_at("tiles", -1), 8 - F.size("tiles"))).alias("tiles"))
     spread = spread.join(classes.join(listed, "class").select("class", "n", "bitmap", "tiles"), "class")
-    undecided = written(in_tiles(spread, _undecided(percent), "tile long, i int, j int, class binary"), "jaccard-undecided")
+    undecided = written(in_tiles(spread, _undecided(percent), "tile long, i int, j int, class long"), "jaccard-undecided")
     second = with_sets(undecided.select("class", "tile", "i", "j")).join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    more = written(in_tiles(second, _forest(percent, True), "a binary, b binary"), "jaccard-links")
+    more = written(in_tiles(second, _forest(percent, True), "a long, b long"), "jaccard-links")
 
     final = components(first_links.unionByName(more))
-    grouped = classes.select("class", "doc_id").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    grouped = classes.select("class", "digest", "doc_id").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = grouped.join(least, "component").select("class", "component_id")
-    linked = nonempty.select("doc_id", F.col("n").alias("n_shingles"), "class").join(of_class, "class").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(signed.filter("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of_class = grouped.join(least, "component").select("digest", "component_id")
+    linked = nonempty.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_class, "digest").select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(signed.filter("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
