@@ -140,3 +140,15 @@ def test_keep_one(spark, odd):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in linked.values()})
     ids = sorted(repr(r.doc_id) for r in jaccard.keep_one(odd).collect())
     assert ids.count("77") == 1 and ids.count("None") == 2 and "6" not in ids and "5" in ids
+
+
+def test_texts_side_by_side_give_the_sets_of_each():
+    texts = ["", " ", "one", "a b c d", "a b c d e", "A b\tc d E f", "e f", "x " * 70_000 + "end of it all", "", "a b c d e", "w" * 200_000, "ünï cödé wörds are fine too"]
+    texts += [" ".join(f"w{i % 7}{i % 11}" for i in range(n)) for n in range(300)]
+    together = list(jaccard.shingle_sets(texts))
+    assert len(together) == len(texts)
+    for text, found in zip(texts, together, strict=True):
+        words = [w.lower() for w in re.split("[\x20\x09-\x0d]+", text) if w]
+        wanted = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        assert len(found) == len(wanted) and (np.diff(found.astype(object)) > 0).all()
+        assert (found == jaccard.shingle_set(text)).all()
