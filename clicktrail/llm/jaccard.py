@@ -25,7 +25,7 @@ from clicktrail.sources.scratch import written
 
 NARROW, WIDE = 256, 1 << 17
 """Bits of the bitmaps of the smallest and of the largest sets."""
-PIECE = 1 << 20
+PIECE = 1 << 17
 SIDE_BY_SIDE = 1 << 17
 """Short texts are hashed together, in stretches of some so many bytes."""
 BROADCAST_ENTRIES = 500_000

@@ -78,7 +78,7 @@ class Reader:
     norms. What is remembered is forgotten after ``limit`` pieces, which changes no result.
     """
 
-    def __init__(self, vocabulary: Mapping[str, int], limit: int = 1_000_000) -> None:
+    def __init__(self, vocabulary: Mapping[str, int], limit: int = 250_000) -> None:
         self._known = vocabulary.places() if isinstance(vocabulary, Terms) else dict(vocabulary)
         self.size, self._limit = len(self._known), limit
         self._forget()
