@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,16 @@ SCORED = "doc_id long, score double, evidence array<struct<example: long, label:
 Vector = dict[int, float] | tuple[np.ndarray, np.ndarray]
 """Weights by term, or terms and their weights side by side."""
 _TERM = re.compile(r"[^\W\d_]+")
+_GAP = re.compile(r"[\W\d_]")
+_WHOLE_TERM = re.compile(r"[^\W\d_]+(\*[24]?)?")
+
+
+TOGETHER = 512
+"""Texts of a batch that are held as Python strings at a time; equal ones among them are worked out once."""
+
+
+def _texts(column: pa.Array, start: int) -> list[str]:
+    return [t or "" for t in column.slice(start, TOGETHER).to_pylist()]
 
 
 def terms(text: str) -> dict[str, int]:
@@ -42,26 +52,76 @@ def terms(text: str) -> dict[str, int]:
     return {**words, **starts, **marks}
 
 
-class Terms(Mapping):
-    """Terms by place, kept as one Arrow array; numbers by term are worked out where a text is read, once per process."""
+_BASE = 0x9E3779B97F4A7C15
+_WORD, _START, _TWICE, _OFTEN = 0, 1, 2, 3
+"""The last two bits of a term's key: a word, a beginning, and the marks of beginnings met twice and four times."""
 
-    def __init__(self, terms: Iterable[str] | pa.Array) -> None:
-        self._terms = terms if isinstance(terms, pa.Array) else pa.array(list(terms), pa.string())
-        self._places: dict[str, int] | None = None
 
-    def __getstate__(self) -> pa.Array:
-        return self._terms
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """By code point, whether ``_TERM`` takes it."""
+    return np.array([c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))])
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (_BASE, inverse))
+
 
-    def __setstate__(self, state: pa.Array) -> None:
-        self._terms, self._places = state, None
+class Hashes:
+    """Hashes of all runs of letters of a text: sums of mixed code points times powers of a base, so that any stretch of the
+    text is the difference of two sums."""
 
-    def places(self) -> dict[str, int]:
-        if self._places is None:
-            self._places = {t: i for i, t in enumerate(self._terms.to_pylist())}
-        return self._places
+    def __init__(self, text: str) -> None:
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edge = np.diff(_letters()[self.codes], prepend=False, append=False)
+        self.begin, self.end = np.flatnonzero(edge).reshape(-1, 2).T
+        mixed = (self.codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(29)
+        power, self._inverse = _powers(max(1 << 16, 1 << len(text).bit_length()))
+        mixed *= power[: len(mixed)]
+        self._sums = np.append(np.uint64(0), np.cumsum(mixed, dtype=np.uint64))
+
+    def keys(self, begin: np.ndarray, end: np.ndarray, kind: int | np.ndarray) -> np.ndarray:
+        """Of each stretch: 62 bits of its hash, then its kind."""
+        hashes = (self._sums[end] - self._sums[begin]) * self._inverse[begin]
+        return hashes & np.uint64(2**64 - 4) | np.asarray(kind, np.uint64)
+
+
+class Terms(Mapping):
+    """Terms by place: one Arrow array, found by sorted keys. Of two terms with one key the first would stand for both,
+    which has odds of some 1e-8 with a million terms."""
+
+    def __init__(self, terms: Iterable[str] | pa.Array) -> None:
+        self._terms = terms if isinstance(terms, pa.Array) else pa.array(list(terms), pa.string())
+        keys = np.concatenate([np.zeros(0, np.uint64), *(self._keys(self._terms.slice(a, 8_192).to_pylist()) for a in range(0, len(self), 8_192))])
+        order = np.argsort(keys, kind="stable")
+        self._sorted, self._order = keys[order], order.astype(np.int32)
+
+    @staticmethod
+    def _keys(terms: list[str]) -> np.ndarray:
+        """Keys of words, beginnings (``*``) and marks (``*2``, ``*4``)."""
+        made = Hashes("\n".join([*terms, ""]) + "\n")
+        after, then = made.codes[made.end], made.codes[made.end + 1]
+        kind = np.where(after != ord("*"), _WORD, np.select([then == ord("2"), then == ord("4")], [_TWICE, _OFTEN], _START))
+        return made.keys(made.begin, made.end, kind)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the terms with these keys, -1 where there is none."""
+        if not len(self._sorted):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self._sorted, keys), len(self._sorted) - 1)
+        return np.where(self._sorted[at] == keys, self._order[at], -1)
 
     def __getitem__(self, term: str) -> int:
-        return self.places()[term]
+        place = int(self.find(self._keys([term]))[0]) if _WHOLE_TERM.fullmatch(term) else -1
+        if place < 0:
+            raise KeyError(term)
+        return place
 
     def __iter__(self) -> Iterator[str]:
         return (t.as_py() for t in self._terms)
@@ -71,77 +131,51 @@ class Terms(Mapping):
 
 
 class Reader:
-    """Texts to numbered terms and how often each is met, as ``terms`` has them, by way of their distinct pieces between
-    blanks, of which no word is longer.
+    """Texts to numbered terms and how often each is met, as ``terms`` has them, by keys in place of strings.
 
-    A piece's terms are looked up once and remembered; terms outside the vocabulary get numbers beyond it, as they count in
-    norms. What is remembered is forgotten after ``limit`` pieces, which changes no result.
+    Terms outside the vocabulary get numbers beyond it, as they count in norms. A text is read whole, in stretches of ``stretch``
+    code points or more that end between words, which bounds what is held beside it and changes no result.
     """
 
-    def __init__(self, vocabulary: Mapping[str, int], limit: int = 250_000) -> None:
-        self._known = vocabulary.places() if isinstance(vocabulary, Terms) else dict(vocabulary)
-        self.size, self._limit = len(self._known), limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self._extra: dict[str, int] = {}
-        self._starts: dict[str, int] = {}
-        # Piece p has the numbers flat[begin[p]] to flat[begin[p + 1]]; a beginning's marks stand at its own number, else -1.
-        self._pieces: dict[str, int] = {}
-        self._flat, self._begin = array("i"), array("i", [0])
-        self._marks = tuple(array("i", [-1]) * self.size for _ in (2, 4))
-
-    def _new(self) -> int:
-        for marks in self._marks:
-            marks.append(-1)
-        return len(self._marks[0]) - 1
-
-    def _start(self, s: str) -> int:
-        place = self._known.get(s)
-        place = self._starts[s] = self._new() if place is None else place
-        for marks, n in zip(self._marks, (2, 4), strict=True):
-            mark = self._known.get(f"{s}{n}")
-            marks[place] = self._new() if mark is None else mark
-        return place
-
-    def _add(self, piece: str) -> int:
-        for word in _TERM.findall(piece):
-            place = self._known.get(word)
-            if place is None:
-                place = self._extra.get(word)
-                if place is None:
-                    place = self._extra[word] = self._new()
-            self._flat.append(place)
-            for end in range(4, min(8, len(word))):
-                s = word[:end] + "*"
-                place = self._starts.get(s)
-                self._flat.append(self._start(s) if place is None else place)
-        self._begin.append(len(self._flat))
-        found = self._pieces[piece] = len(self._pieces)
-        return found
+    def __init__(self, vocabulary: Mapping[str, int], stretch: int = 50_000) -> None:
+        self._known = vocabulary if isinstance(vocabulary, Terms) else Terms(vocabulary)
+        self.size, self._stretch = len(self._known), stretch
+
+    def _stretches(self, text: str) -> Iterator[str]:
+        start = 0
+        while len(text) - start > self._stretch:
+            gap = _GAP.search(text, start + self._stretch)
+            if gap is None:
+                break
+            yield text[start : gap.start()]
+            start = gap.start()
+        yield text[start:]
+
+    def _count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of words and beginnings, rising, and how often each is met."""
+        made = Hashes(text)
+        begin, end = made.begin, made.end
+        keys = [made.keys(begin, end, _WORD)]
+        for n in range(4, 8):
+            longer = end - begin > n
+            begin, end = begin[longer], end[longer]
+            keys.append(made.keys(begin, begin + n, _START))
+        return np.unique(np.concatenate(keys), return_counts=True)
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct numbers, those of marks last, and counts; numbers from ``size`` on are outside the vocabulary."""
-        if max(len(self._pieces), len(self._starts), len(self._flat) // 8) > self._limit:
-            self._forget()
-        pieces = Counter(text.lower().split())
-        at = list(map(self._pieces.get, pieces))
-        if None in at:
-            at = [self._add(p) if i is None else i for i, p in zip(at, pieces, strict=True)]
-        begin = np.frombuffer(self._begin, np.int32)
-        at = np.array(at, np.int64)
-        size = begin[at + 1] - begin[at]
-        if not size.any():
-            return np.zeros(0, np.int64), np.zeros(0)
-        numbers = np.frombuffer(self._flat, np.int32)[_ranges(begin[at], size)]
-        times = np.repeat(np.fromiter(pieces.values(), np.int64, len(pieces)), size)
-        order = np.argsort(numbers)
-        numbers = numbers[order]
-        head = np.flatnonzero(np.diff(numbers, prepend=-1))
-        place, total = numbers[head].astype(np.int64), np.add.reduceat(times[order], head)
-        marked = [np.frombuffer(marks, np.int32)[place[total >= n]] for marks, n in zip(self._marks, (2, 4), strict=True)]
-        more = np.concatenate([m[m >= 0] for m in marked])
-        return np.concatenate([place, more]), np.concatenate([total, np.ones(len(more))])
+        parts = [self._count(x) for x in self._stretches(text.lower())]
+        keys, counts = parts[0]
+        if len(parts) > 1:
+            keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([n for _, n in parts]))
+        starts = (keys & np.uint64(3)) == _START
+        marks = [keys[starts & (counts >= n)] + np.uint64(kind - _START) for n, kind in ((2, _TWICE), (4, _OFTEN))]
+        place = self._known.find(np.concatenate([keys, *marks]))
+        unknown = place < 0
+        place = place.astype(np.int64)
+        place[unknown] = self.size + np.arange(unknown.sum())
+        return place, np.append(counts, np.ones(len(place) - len(keys)))
 
 
 def _arrays(vector: Vector) -> tuple[np.ndarray, np.ndarray]:
@@ -386,9 +420,10 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, k: int
         count, rows = np.zeros(reader.size, np.int64), 0
         for batch in batches:
             rows += len(batch)
-            for text, times in Counter(t.as_py() or "" for t in batch.column(0)).items():
-                found = reader.read(text)[0]
-                count[found[found < reader.size]] += times
+            for a in range(0, len(batch), TOGETHER):
+                for text, times in Counter(_texts(batch.column(0), a)).items():
+                    found = reader.read(text)[0]
+                    count[found[found < reader.size]] += times
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, np.flatnonzero(count)), pa.int32()), pa.array(np.append(rows, count[count > 0]), pa.int64())], ["term", "n"])
 
     df = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -458,7 +493,7 @@ def score(docs: DataFrame, model: NearestExamples | None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, kind = shared.value, pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
-            found = model.score_all([t.as_py() or "" for t in batch.column(1)]) if model else [(0.0, [])] * len(batch)
+            found = [x for a in range(0, len(batch), TOGETHER) for x in model.score_all(_texts(batch.column(1), a))] if model else [(0.0, [])] * len(batch)
             evidence = pa.array([[dict(zip(("example", "label", "cosine"), e, strict=True)) for e in x] for _, x in found], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in found], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
@@ -474,6 +509,7 @@ def keep(docs: DataFrame, model: NearestExamples | None, below: float, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([p < below for p, _ in model.score_all([t.as_py() or "" for t in batch.column(text_col)])], pa.bool_()))
+            texts = batch.column(text_col)
+            yield batch.filter(pa.array([p < below for a in range(0, len(batch), TOGETHER) for p, _ in model.score_all(_texts(texts, a))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
