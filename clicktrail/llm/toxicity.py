@@ -94,7 +94,7 @@ class Hashes:
 
 class Terms(Mapping):
     """Terms by place: one Arrow array, found by sorted keys. Of two terms with one key the first would stand for both,
-    which has odds of some 1e-8 with a million terms."""
+    which has odds of some 1e-7 with a million terms."""
 
     def __init__(self, terms: Iterable[str] | pa.Array) -> None:
         self._terms = terms if isinstance(terms, pa.Array) else pa.array(list(terms), pa.string())
