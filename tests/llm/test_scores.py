@@ -176,3 +176,44 @@ def test_the_number_of_pairs_can_be_given(documents, labels, monkeypatch):
     monkeypatch.setattr(quality, "rank", lambda *a, **b: met.append(b["pairs"]) or rank(*a, **b))
     few, all_of = (quality.train(documents, labels, pairs=n) for n in (20, 10**6))
     assert met == [20, 10**6] and (few.weights != all_of.weights).any()
+
+
+def test_quality_learns_from_every_labelled_document(documents, labels, monkeypatch):
+    """Few rows to a share: edges, cut and weights come from all rows all the same, with labels broadcast or not."""
+    given = labels.filter(~held_out())
+    model = quality.train(documents, given, 0.3, 60)
+    rows = documents.join(given, "doc_id").filter("quality in (0, 1)").select("quality", "text").collect()
+    values, good = np.array([quality.features(r.text or "") for r in rows]), np.array([r.quality == 1 for r in rows])
+    for i, edges in enumerate(model.edges):
+        assert edges.tolist() == np.unique(np.quantile(values[:, i], np.linspace(0, 1, 13)[1:-1])).tolist()
+    raw = np.sort(model.raw(values))
+    assert model.cut == raw[max(0, (~good).sum() - 1)]
+    assert accuracy(quality.score(documents, model), labels, "quality", 0.3) > 0.9
+    monkeypatch.setattr(quality, "BROADCAST_LABELS", 0)
+    assert (quality.train(documents.repartition(3), given.repartition(5), 0.3, 60).weights == model.weights).all()
+
+
+def test_shares_hold_every_row_and_both_labels(spark):
+    """Copies are spread, the rarer label goes to every block, and each block has all of its share."""
+    rows = [(1, [float(i)], 1) for i in range(900)] + [(1, [-1.0], 1000)] + [(0, [float(i)], 2) for i in range(40)]
+    examples = spark.createDataFrame(rows, "label int, values array<double>, n long")
+    blocks = quality._dealt(examples, [1, 4], 50).collect()
+    assert {b.block for b in blocks} == set(range(4))
+    good = Counter()
+    for b in blocks:
+        good[b["values"][0]] += b.n if b.label else 0
+    assert all(good[float(i)] == 1 for i in range(40, 900)) and good[-1.0] == 1000
+    assert all(sum(b.n for b in blocks if b.block == k and not b.label) == 80 for k in range(4))
+    assert all(0 < sum(b.n for b in blocks if b.block == k and b["values"] == [-1.0]) < 600 for k in range(4))
+
+
+def test_order_statistics_are_exact(spark):
+    draw = np.random.default_rng(8)
+    values = np.concatenate([draw.normal(size=150), [0.0, -0.0, 1e300, -1e-300, 5e-324], np.repeat(draw.normal(size=10), 30)])
+    labels = draw.integers(0, 2, len(values))
+    rows = spark.createDataFrame([(int(y), [float(v), float(-v)], 1) for v, y in zip(values, labels, strict=True)], "label int, values array<double>, n long").repartition(4)
+    both = quality._least_reaching(rows, [[1, 100, len(values)], [200]])
+    assert both == [[np.sort(values)[k - 1] for k in (1, 100, len(values))], [np.sort(-values)[199]]]
+    order = np.argsort(values, kind="stable")
+    total = np.cumsum(np.where(labels[order] == 1, 3, 10**18).astype(object))
+    assert quality._least_reaching(rows, [[10**20], []], (10**18, 3))[0] == [values[order][next(i for i, t in enumerate(total) if t >= 10**20)]]
