@@ -28,6 +28,8 @@ NARROW, WIDE = 256, 1 << 17
 PIECE = 1 << 17
 SIDE_BY_SIDE = 1 << 17
 """Short texts are hashed together, in stretches of some so many bytes."""
+AT_ONCE = 500
+"""Of so many texts the sets are held at once."""
 BROADCAST_ENTRIES = 500_000
 """A lookup side of at most so many entries (of some 50 bytes) is broadcast after they were counted; a larger one is shuffled."""
 _SPACE = np.zeros(256, bool)
@@ -169,6 +171,12 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``AT_ONCE`` at a time."""
+    for batch in batches:
+        yield from (batch.slice(at, AT_ONCE) for at in range(0, len(batch), AT_ONCE))
+
+
 def frequent_shingles(texts: DataFrame, k: int, percent: int, at_most: int = 1_000_000) -> np.ndarray:
     """Shingles that many sets begin with, sorted; only the common order depends on them, no result does.
 
@@ -204,7 +212,7 @@ def signatures(texts: DataFrame, frequent: np.ndarray, k: int, percent: int) ->
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _stretches(batches):
             rows = []
             for s in shingle_sets((t.as_py() for t in batch.column(1)), k):
                 rows.append((len(s), _digest(s), _bitmap(s), _first(s, shared.value, percent)) if len(s) else (0, None, None, None))
@@ -409,7 +417,7 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, band: int = 256, id_col
         found = texts.join(side, F.col("doc_id").eqNullSafe(F.col("of"))).select("text", "class", "digest", "rows")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _stretches(batches):
                 made = list(shingle_sets((t.as_py() for t in batch.column("text")), k))
                 same = [i for i, (s, w) in enumerate(zip(made, batch.column("digest").to_pylist(), strict=True)) if _digest(s) == w]
                 kept = batch.take(pa.array(same, pa.int64()))

@@ -20,37 +20,47 @@ from clicktrail.llm.queries import QUALITY_CUT, TOKENIZER, UNIFORM, held_out, im
 from clicktrail.sources.scratch import written
 
 TOXIC_CUT = 0.5
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+"""Rows and bytes that go to a Python worker at a time. Spark's own 10,000 rows or 64 MB are held on both sides, for each task."""
+
+
+def prepare(spark: SparkSession) -> None:
+    """Workers find the package, and get whole documents in small batches (settings of the session; results are the same)."""
+    importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that rank below the cut go."""
-    importable(spark)
+    prepare(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels").filter(~held_out()), cut_score=QUALITY_CUT)
     return quality.keep(docs, model, QUALITY_CUT)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that their nearest examples call toxic go."""
-    importable(spark)
+    prepare(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
     return toxicity.keep(docs, model, TOXIC_CUT)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.75 or more, the one with the smallest id stays."""
-    importable(spark)
+    prepare(spark)
     return jaccard.keep_one(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; n_chars follows the text."""
+    prepare(spark)
     clean = secrets.redact(docs, secrets.train(secrets.labelled_samples(docs), uniform=UNIFORM))
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents become pieces of sequences of 2048 tokens."""
-    importable(spark)
+    prepare(spark)
     return packing.pack(docs, **TOKENIZER)
 
 

@@ -1,11 +1,12 @@
 """The pipeline: each stage against what its operator says, and rows out of the ordinary."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline as pipeline
-from clicktrail.llm import quality, toxicity
+from clicktrail.llm import jaccard, quality, toxicity
 from clicktrail.llm.queries import held_out
 from clicktrail.sources.scratch import written
 from tests.llm.conftest import TABLES
@@ -75,3 +76,29 @@ def test_run_is_registered():
     assert __spark_entry__.queries()["pipeline"] is pipeline.run
     names = [n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")]
     assert names == [f"op{i}" for i in range(1, 14)]
+
+
+def test_workers_get_small_batches(spark, documents):
+    """Of a partition of many rows, or of long texts, a worker of a stage holds a bounded part at a time."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)], "bytes": [batch.nbytes]})
+
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    try:
+        pipeline.packing_stage(spark, documents, "")
+        for length, n in ((1, 2_500), (100_000, 200)):
+            texts = spark.range(0, n, 1, 1).select(F.repeat(F.lit("x"), length).alias("text"))
+            met = texts.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(m.n for m in met) == n and max(m.n for m in met) <= 1_000 and max(m.bytes for m in met) < 2 * pipeline.BATCH_BYTES
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
+def test_sets_of_few_texts_are_held_at_once():
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (0, 3, jaccard.AT_ONCE, 2 * jaccard.AT_ONCE + 1)]
+    parts = list(jaccard._stretches(iter(batches)))
+    assert [x for p in parts for x in p.column("x").to_pylist()] == [x for b in batches for x in b.column("x").to_pylist()]
+    assert max(map(len, parts)) == jaccard.AT_ONCE
