@@ -76,15 +76,17 @@ class Hashes:
 
     def __init__(self, text: str) -> None:
         self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        edge = np.diff(_letters()[self.codes], prepend=False, append=False)
-        self.begin, self.end = np.flatnonzero(edge).reshape(-1, 2).T
+        inside = np.zeros(len(self.codes) + 2, bool)
+        inside[1:-1] = _letters()[self.codes]
+        self.begin, self.end = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
         mixed = (self.codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x94D049BB133111EB)
         mixed ^= mixed >> np.uint64(29)
         power, self._inverse = _powers(max(1 << 16, 1 << len(text).bit_length()))
         mixed *= power[: len(mixed)]
-        self._sums = np.append(np.uint64(0), np.cumsum(mixed, dtype=np.uint64))
+        self._sums = np.zeros(len(mixed) + 1, np.uint64)
+        np.cumsum(mixed, out=self._sums[1:])
 
     def keys(self, begin: np.ndarray, end: np.ndarray, kind: int | np.ndarray) -> np.ndarray:
         """Of each stretch: 62 bits of its hash, then its kind."""
@@ -93,14 +95,18 @@ class Hashes:
 
 
 class Terms(Mapping):
-    """Terms by place: one Arrow array, found by sorted keys. Of two terms with one key the first would stand for both,
-    which has odds of some 1e-7 with a million terms."""
+    """Terms by place: one Arrow array, found by sorted keys, which are looked up from where those with the same first bits
+    begin. Of two terms with one key the first would stand for both, which has odds of some 1e-7 with a million terms."""
 
     def __init__(self, terms: Iterable[str] | pa.Array) -> None:
         self._terms = terms if isinstance(terms, pa.Array) else pa.array(list(terms), pa.string())
         keys = np.concatenate([np.zeros(0, np.uint64), *(self._keys(self._terms.slice(a, 8_192).to_pylist()) for a in range(0, len(self), 8_192))])
         order = np.argsort(keys, kind="stable")
-        self._sorted, self._order = keys[order], order.astype(np.int32)
+        # The last entry ends every search; no term stands there.
+        self._sorted, self._order = np.append(keys[order], np.uint64(2**64 - 1)), np.append(order, -1).astype(np.int32)
+        bits = max(1, len(keys).bit_length())
+        self._shift = np.uint64(64 - bits)
+        self._heads = np.searchsorted(self._sorted[:-1], np.arange(1 << bits, dtype=np.uint64) << self._shift).astype(np.int32)
 
     @staticmethod
     def _keys(terms: list[str]) -> np.ndarray:
@@ -112,9 +118,11 @@ class Terms(Mapping):
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of the terms with these keys, -1 where there is none."""
-        if not len(self._sorted):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self._sorted, keys), len(self._sorted) - 1)
+        at = self._heads[keys >> self._shift]
+        short = np.flatnonzero(self._sorted[at] < keys)
+        while len(short):
+            at[short] += 1
+            short = short[self._sorted[at[short]] < keys[short]]
         return np.where(self._sorted[at] == keys, self._order[at], -1)
 
     def __getitem__(self, term: str) -> int:
@@ -160,7 +168,9 @@ class Reader:
             longer = end - begin > n
             begin, end = begin[longer], end[longer]
             keys.append(made.keys(begin, begin + n, _START))
-        return np.unique(np.concatenate(keys), return_counts=True)
+        found = np.sort(np.concatenate(keys))
+        head = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
+        return found[head], np.diff(head, append=len(found))
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct numbers, those of marks last, and counts; numbers from ``size`` on are outside the vocabulary."""
@@ -293,12 +303,18 @@ class BlockMaxIndex:
         for i, vector in enumerate(vectors):
             term, weight = _arrays(vector)
             at = slot[term]
-            dense[i, at[at >= 0]] = weight[at >= 0]
-            term, weight = term[at < 0], weight[at < 0]
+            other = at < 0
+            dense[i, at[~other]] = weight[~other]
+            term, weight = term[other], weight[other]
+            # In the order of the postings, which are then read from one end to the other.
+            order = np.argsort(term)
+            term, weight = term[order], weight[order]
             begin = self.first[self.starts[term]]
             n = self.first[self.starts[term + 1]] - begin
             posting = _ranges(begin, n)
-            rest[i] = np.bincount(self.examples[posting], self.weights[posting] * np.repeat(weight, n), width)
+            product = self.weights[posting]
+            product *= np.repeat(weight, n)
+            rest[i] = np.bincount(self.examples[posting], product, width)
         bounds = dense @ largest + rest.reshape(len(vectors), blocks, self.size).max(axis=2)
         scores = np.zeros((len(vectors), width))
 
@@ -312,18 +328,22 @@ class BlockMaxIndex:
 
         few = min(blocks, -(-k // self.size) + 1)
         first = np.zeros(bounds.shape, bool)
-        np.put_along_axis(first, np.argpartition(-bounds, few - 1, axis=1)[:, :few], True, axis=1)
+        best = np.argpartition(-bounds, few - 1, axis=1)[:, :few]
+        np.put_along_axis(first, best, True, axis=1)
         first &= bounds > 0
         open_(first)
-        least = np.partition(scores, width - k, axis=1)[:, width - k] if k < width else np.zeros(len(vectors))
+        least = np.zeros(len(vectors))
+        if k < width:
+            opened = np.take_along_axis(scores.reshape(len(vectors), blocks, self.size), best[:, :, None], axis=1).reshape(len(vectors), -1)
+            least = np.partition(opened, opened.shape[1] - k, axis=1)[:, opened.shape[1] - k]
         open_((bounds >= least[:, None] - 1e-12) & (bounds > 0) & ~first)
         out = []
-        for row in scores:
-            hit = np.flatnonzero(row > 0)
+        for row, enough in zip(scores, least, strict=True):
+            hit = np.flatnonzero((row > 0) & (row >= enough))
             if len(hit) > k:
                 hit = hit[row[hit] >= np.partition(row[hit], len(hit) - k)[len(hit) - k]]
-            best = hit[np.lexsort((hit, -row[hit]))[:k]]
-            out.append((best, row[best]))
+            near = hit[np.lexsort((hit, -row[hit]))[:k]]
+            out.append((near, row[near]))
         return out
 
 

@@ -48,6 +48,26 @@ def test_the_index_finds_the_nearest_exactly():
         assert np.allclose(one[1], two[1])
 
 
+def test_only_examples_of_opened_blocks_are_ranked(monkeypatch):
+    """The k-th cosine is sought among the blocks opened first, not among all examples of every text."""
+    draw = np.random.default_rng(3)
+    raw = draw.random((400, 12)) * (draw.random((400, 12)) < 0.4)
+    vectors = [{int(t): float(row[t] / np.linalg.norm(row)) for t in np.flatnonzero(row)} for row in raw]
+    index = toxicity.BlockMaxIndex.build(vectors, list(range(400)), [i % 2 for i in range(400)], {str(t): t for t in range(12)}, np.ones(12), size=16)
+    ranked, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **k: ranked.append(x.shape[-1]) or partition(x, *a, **k))
+    index.nearest_of(vectors[:50], 7)
+    assert ranked and max(ranked) < 200
+
+
+def test_keys_are_found_as_by_their_order():
+    known = toxicity.Terms([f"{a}{b}{end}" for a in "abcdefghij" for b in ("word", "längst", "слово") for end in ("", "*", "*2", "*4")])
+    keys = np.concatenate([known._sorted, known._sorted[:-1] + np.uint64(4), np.array([0, 2**63, 2**64 - 1], np.uint64)])
+    expected = [{int(k): int(p) for k, p in zip(known._sorted, known._order, strict=True)}.get(int(x), -1) for x in keys]
+    assert known.find(keys).tolist() == expected
+    assert toxicity.Terms([]).find(keys).tolist() == [-1] * len(keys)
+
+
 def test_texts_are_read_as_their_terms_say(documents):
     """Pieces between blanks, remembered or forgotten, give the terms and counts of the whole text."""
     texts = [t or "" for t in documents.toPandas()["text"][:300]] + ["", " . ", "Über-Wörter über wörter,wörter;WÖRTER İstanbul ßtraßenbahn", "a1b2c3 x\x1cy\u2003zebra zebra zebrafish"]
