@@ -357,15 +357,21 @@ def _undecided(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return sift
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every node has either one link to a smaller node or only links to larger ones."""
+    ends = links.select(F.inline(F.array(*(F.struct(F.col(c).alias("node"), F.lit(int(c == "u")).alias("down"), F.lit(int(c == "v")).alias("up")) for c in ("u", "v")))))
+    most = ends.groupBy("node").agg((F.sum("down") + F.max("up")).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) <= 1
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of the edges; a component's name is its smallest node.
 
     Large-star and small-star steps in turn: every node's larger neighbours, then all of them, are tied to its smallest
-    one, until nothing changes. Each step is written; no list of links leaves the executors.
+    one, until only stars are left. Each step is written; no list of links leaves the executors.
     """
     links = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "links")
-    state = None
-    while True:
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -373,10 +379,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(smallest, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = written(moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -465,8 +467,12 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, band: int = 256, id_col
     second = with_sets(undecided.select("class", "tile", "i", "j")).join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     more = written(in_tiles(second, _forest(percent, True), "a long, b long"), "jaccard-links")
 
-    final = components(first_links.unionByName(more))
-    grouped = classes.select("class", "digest", "doc_id").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    # Only the names of known components are left to be tied.
+    for end in ("a", "b"):
+        more = more.join(known.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    whole = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    grouped = classes.select("class", "digest", "doc_id").join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    grouped = grouped.join(whole, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = grouped.join(least, "component").select("digest", "component_id")
     linked = nonempty.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_class, "digest").select("doc_id", "n_shingles", "component_id")

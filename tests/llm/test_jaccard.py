@@ -152,3 +152,12 @@ def test_texts_side_by_side_give_the_sets_of_each():
         wanted = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
         assert len(found) == len(wanted) and (np.diff(found.astype(object)) > 0).all()
         assert (found == jaccard.shingle_set(text)).all()
+
+
+def test_links_that_are_stars_take_no_more_steps(spark, monkeypatch):
+    """Every step is jobs and plans on the driver."""
+    steps, written = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, what: steps.append(what) or written(df, what))
+    df = spark.createDataFrame([(5, 1), (1, 7), (9, 1), (1, 9), (3, 4)], "a long, b long")
+    assert {r.node: r.component for r in jaccard.components(df).collect()} == {1: 1, 5: 1, 7: 1, 9: 1, 3: 3, 4: 3}
+    assert steps == ["links"]
