@@ -5,7 +5,7 @@ common to all (frequent shingles last, else by hash), so classes meet in the til
 Large tiles are cut into parts, and parts are compared in pairs. Inside a tile, sizes and then hashed bitmaps bound the overlap from above; what is left
 is decided by intersecting sorted arrays. Links inside a component that is known already need no test: each class is
 first compared in one tile of its own, and then only classes of different components are compared in the others. Tiles
-give back links of a spanning forest, never all pairs.
+give back stars that join the same classes, never all pairs.
 """
 
 from __future__ import annotations
@@ -292,8 +292,24 @@ def _pairs(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(size, 1)
 
 
+def _stars_of(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that join the same names: in each component, all others to the smallest one."""
+    lead: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := lead.setdefault(x, x)) != x:
+            lead[x] = x = lead[up]
+        return x
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        lead[max(x, y)] = min(x, y)
+    return [(r, x) for x in lead if (r := top(x)) != x]
+
+
 def _forest(percent: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each tile (tile, i, j) the links that join its classes, as (a, b); with ``apart``, known components are one to begin with."""
+    """For the tiles (tile, i, j) stars (a, b) that join those classes that links join; with ``apart``, known components are one
+    to begin with, and stars join their names."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _whole_groups(batches, ["tile", "i", "j"]):
@@ -317,7 +333,8 @@ def _forest(percent: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], I
                     x, y = top(known[a[p]]), top(known[b[p]])
                     if x != y and _linked(sets[a[p]], sets[b[p]], percent):
                         lead[y] = x
-                        out.append((names[a[p]], names[b[p]]))
+                        out.append((known[a[p]], known[b[p]]))
+            out = _stars_of(out)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     return join
@@ -374,7 +391,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not _stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large, "links")
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(smallest, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -468,8 +485,6 @@ def join(docs: DataFrame, percent: int = 75, k: int = 5, band: int = 256, id_col
     more = written(in_tiles(second, _forest(percent, True), "a long, b long"), "jaccard-links")
 
     # Only the names of known components are left to be tied.
-    for end in ("a", "b"):
-        more = more.join(known.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
     whole = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     grouped = classes.select("class", "digest", "doc_id").join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     grouped = grouped.join(whole, "component", "left").withColumn("component", F.coalesce("whole", "component"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clicktrail.llm.memory import give_back
 from clicktrail.sources.scratch import written
 
 SCORED = "doc_id long, score double, evidence array<struct<example: long, label: int, cosine: double>>"
@@ -472,12 +473,14 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, k: int
     ids, marks = rows.column("doc_id").to_pylist(), rows.column("label").to_pylist()
     # Views of the rows' own memory, chunk by chunk.
     pairs = list(zip(*([x.values.to_numpy() for chunk in rows.column(c).chunks for x in chunk] for c in ("terms", "weights")), strict=True))
-    pa.default_memory_pool().release_unused()
+    give_back()
     index = BlockMaxIndex.build(pairs, ids, marks, vocabulary, idf, unknown=unknown)
     del pairs, rows
-    pa.default_memory_pool().release_unused()
+    give_back()
     share = known.agg(F.avg("label")).first()[0]
-    return _fit(index, k, share)
+    model = _fit(index, k, share)
+    give_back()
+    return model
 
 
 def _fit(index: BlockMaxIndex, k: int, share: float) -> NearestExamples:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktrail.llm import jaccard, packing, quality, secrets, toxicity
+from clicktrail.llm.memory import give_back
 from clicktrail.llm.queries import QUALITY_CUT, TOKENIZER, UNIFORM, held_out, importable, table
 from clicktrail.sources.scratch import written
 
@@ -25,7 +26,11 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Workers find the package, and get whole documents in small batches (settings of the session; results are the same)."""
+    """Workers find the package, and get whole documents in small batches (settings of the session; results are the same).
+
+    What the stage before has freed in the driver's Python, such as its model, goes back to the system.
+    """
+    give_back()
     importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

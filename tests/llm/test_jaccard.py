@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import HealthCheck, given
 from hypothesis import settings as examples
 from hypothesis import strategies as st
@@ -161,3 +162,14 @@ def test_links_that_are_stars_take_no_more_steps(spark, monkeypatch):
     df = spark.createDataFrame([(5, 1), (1, 7), (9, 1), (1, 9), (3, 4)], "a long, b long")
     assert {r.node: r.component for r in jaccard.components(df).collect()} == {1: 1, 5: 1, 7: 1, 9: 1, 3: 3, 4: 3}
     assert steps == ["links"]
+
+
+def test_tiles_give_stars():
+    """Links of a chain tie all of its classes, in a tile, to the smallest; each step that a chain needs is jobs and plans on the driver."""
+    sets = [np.arange(i, i + 40, dtype=np.uint64) for i in range(30)]
+    names = [(7 * i) % 30 + 5 for i in range(30)]
+    columns = {"tile": [1] * 30, "i": [0] * 30, "j": [0] * 30, "class": names, "component": [x + 100 for x in names], "n": [40] * 30, "bitmap": [jaccard._bitmap(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+    for apart in (False, True):
+        found = [tuple(r.values()) for b in jaccard._forest(75, apart)(iter([pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
+        least = 105 if apart else 5
+        assert sorted(found) == [(least, least + i) for i in range(1, 30)]

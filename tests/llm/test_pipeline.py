@@ -1,5 +1,8 @@
 """The pipeline: each stage against what its operator says, and rows out of the ordinary."""
 
+import os
+from pathlib import Path
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +105,17 @@ def test_sets_of_few_texts_are_held_at_once():
     parts = list(jaccard._stretches(iter(batches)))
     assert [x for p in parts for x in p.column("x").to_pylist()] == [x for b in batches for x in b.column("x").to_pylist()]
     assert max(map(len, parts)) == jaccard.AT_ONCE
+
+
+def test_freed_memory_goes_back_before_a_stage(spark):
+    """What a stage has freed isn't held by the driver's Python while the next one runs."""
+
+    def held():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    blocks = [bytes([i % 251]) * 4_000 for i in range(50_000)]
+    last = bytes(blocks[-1][:-1]) + b"!"  # stands above the others, so that they aren't the end of the heap
+    del blocks
+    before = held()
+    pipeline.prepare(spark)
+    assert last and held() < before - 100
