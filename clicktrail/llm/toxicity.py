@@ -2,9 +2,10 @@
 
 The index holds a bounded number of labelled examples over all of their terms, and goes to every task. A term's IDF
 is multiplied by its correlation with the label, so that rare toxic words outweigh what all texts of a language share;
-no term has weight 0. Examples stand in blocks; each term keeps its largest weight in each block, so the sum over a
-text's terms bounds every cosine in a block from above, and blocks that can't reach the nearest ones found so far are
-never opened.
+no term has weight 0. Examples stand in blocks, those of one family (such as a language) together. The terms that many of
+a family share are laid out as matrices and keep their largest weight in each block; with the exact sums over all other
+terms these bound every cosine in a block from above, and blocks that can't reach the nearest ones found so far are never
+opened.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,7 @@ def terms(text: str) -> dict[str, int]:
 
 
 _BASE = 0x9E3779B97F4A7C15
+_BEGINNINGS = np.arange(4, 8)
 _WORD, _START, _TWICE, _OFTEN = 0, 1, 2, 3
 """The last two bits of a term's key: a word, a beginning, and the marks of beginnings met twice and four times."""
 
@@ -64,6 +67,20 @@ def _letters() -> np.ndarray:
     return np.array([c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))])
 
 
+def _mix(codes: np.ndarray) -> np.ndarray:
+    mixed = (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+@lru_cache(maxsize=1)
+def _mixed() -> np.ndarray:
+    """The first 65,536 code points, mixed."""
+    return _mix(np.arange(1 << 16, dtype=np.uint32))
+
+
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64."""
@@ -79,11 +96,8 @@ class Hashes:
         self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = np.zeros(len(self.codes) + 2, bool)
         inside[1:-1] = _letters()[self.codes]
-        self.begin, self.end = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
-        mixed = (self.codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(29)
+        self.begin, self.end = np.ascontiguousarray(np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T)
+        mixed = _mixed()[self.codes] if self.codes.max(initial=0) < 1 << 16 else _mix(self.codes)
         power, self._inverse = _powers(max(1 << 16, 1 << len(text).bit_length()))
         mixed *= power[: len(mixed)]
         self._sums = np.zeros(len(mixed) + 1, np.uint64)
@@ -94,6 +108,17 @@ class Hashes:
         hashes = (self._sums[end] - self._sums[begin]) * self._inverse[begin]
         return hashes & np.uint64(2**64 - 4) | np.asarray(kind, np.uint64)
 
+    def beginnings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the beginnings of four to seven letters of all longer words, in the order of the words, and how many each word has."""
+        sizes = self.end - self.begin
+        long = np.flatnonzero(sizes > 4)
+        begin = self.begin[long]
+        has = sizes[long][:, None] > _BEGINNINGS
+        sums = self._sums.take(begin[:, None] + _BEGINNINGS, mode="clip")
+        sums -= self._sums[begin][:, None]
+        sums *= self._inverse[begin][:, None]
+        return sums[has] & np.uint64(2**64 - 4) | np.uint64(_START), np.clip(sizes - 4, 0, 4)
+
 
 class Terms(Mapping):
     """Terms by place: one Arrow array, found by sorted keys, which are looked up from where those with the same first bits
@@ -120,11 +145,13 @@ class Terms(Mapping):
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of the terms with these keys, -1 where there is none."""
         at = self._heads[keys >> self._shift]
-        short = np.flatnonzero(self._sorted[at] < keys)
+        met = self._sorted[at]
+        short = np.flatnonzero(met < keys)
         while len(short):
             at[short] += 1
-            short = short[self._sorted[at[short]] < keys[short]]
-        return np.where(self._sorted[at] == keys, self._order[at], -1)
+            met[short] = now = self._sorted[at[short]]
+            short = short[now < keys[short]]
+        return np.where(met == keys, self._order[at], -1)
 
     def __getitem__(self, term: str) -> int:
         place = int(self.find(self._keys([term]))[0]) if _WHOLE_TERM.fullmatch(term) else -1
@@ -160,33 +187,66 @@ class Reader:
             start = gap.start()
         yield text[start:]
 
-    def _count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of words and beginnings, rising, and how often each is met."""
-        made = Hashes(text)
-        begin, end = made.begin, made.end
-        keys = [made.keys(begin, end, _WORD)]
-        for n in range(4, 8):
-            longer = end - begin > n
-            begin, end = begin[longer], end[longer]
-            keys.append(made.keys(begin, begin + n, _START))
-        found = np.sort(np.concatenate(keys))
-        head = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
-        return found[head], np.diff(head, append=len(found))
+    def _count(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of words and beginnings of one text after the other, rising, how often each is met, and where each text begins."""
+        made = Hashes("\n".join(texts))
+        words, (starts, per_word) = made.keys(made.begin, made.end, _WORD), made.beginnings()
+        word = np.append(0, np.searchsorted(made.begin, np.cumsum([len(t) + 1 for t in texts])))
+        start = np.append(0, np.cumsum(per_word))[word]
+        # Each text's words, then their beginnings; a text's own share is sorted.
+        found, at = np.empty(len(words) + len(starts), np.uint64), word + start
+        for a, b, c, d, e, f in zip(at.tolist(), at[1:].tolist(), word.tolist(), word[1:].tolist(), start.tolist(), start[1:].tolist(), strict=False):
+            part, n = found[a:b], d - c
+            part[:n], part[n:] = words[c:d], starts[e:f]
+            part.sort()
+        new = np.empty(len(found), bool)
+        np.not_equal(found[1:], found[:-1], out=new[1:])
+        new[at[:-1][at[:-1] < len(found)]] = True
+        head = np.flatnonzero(new)
+        return found[head], np.diff(head, append=len(found)), np.searchsorted(head, at)
+
+    def _places(self, keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of each text's terms, those of marks last, counts, and where each text begins."""
+        starts = np.flatnonzero(((keys & np.uint64(3)) == _START) & (counts >= 2))
+        often = starts[counts[starts] >= 4]
+        place = self._known.find(np.concatenate([keys, keys[starts] + np.uint64(_TWICE - _START), keys[often] + np.uint64(_OFTEN - _START)]))
+        if len(cuts) > 2:
+            of = [np.repeat(np.arange(len(cuts) - 1), np.diff(x)) for x in (cuts, np.searchsorted(starts, cuts), np.searchsorted(often, cuts))]
+            of = np.concatenate(of)
+            order = np.argsort(of, kind="stable")
+            place, cuts = place[order], np.append(0, np.cumsum(np.bincount(of, minlength=len(cuts) - 1)))
+            counts = np.append(counts, np.ones(len(place) - len(counts)))[order]
+        else:
+            counts, cuts = np.append(counts, np.ones(len(place) - len(counts))), np.array([0, len(place)])
+        place = place.astype(np.int64)
+        unknown = np.flatnonzero(place < 0)
+        place[unknown] = self.size + np.arange(len(unknown))
+        return place, counts, cuts
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct numbers, those of marks last, and counts; numbers from ``size`` on are outside the vocabulary."""
-        parts = [self._count(x) for x in self._stretches(text.lower())]
+        parts = [self._count([x])[:2] for x in self._stretches(text.lower())]
         keys, counts = parts[0]
         if len(parts) > 1:
             keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             counts = np.bincount(place, np.concatenate([n for _, n in parts]))
-        starts = (keys & np.uint64(3)) == _START
-        marks = [keys[starts & (counts >= n)] + np.uint64(kind - _START) for n, kind in ((2, _TWICE), (4, _OFTEN))]
-        place = self._known.find(np.concatenate([keys, *marks]))
-        unknown = place < 0
-        place = place.astype(np.int64)
-        place[unknown] = self.size + np.arange(unknown.sum())
-        return place, np.append(counts, np.ones(len(place) - len(keys)))
+        return self._places(keys, counts, np.array([0, len(keys)]))[:2]
+
+    def read_all(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``read`` of many texts: numbers and counts of some of them, one after the other, and where each text begins."""
+        some, room = [], self._stretch
+        for text in map(str.lower, texts):
+            if some and len(text) >= room:
+                yield self._places(*self._count(some))
+                some, room = [], self._stretch
+            if len(text) > self._stretch:
+                place, counts = self.read(text)
+                yield place, counts, np.array([0, len(place)])
+            else:
+                some.append(text)
+                room -= len(text) + 1
+        if some:
+            yield self._places(*self._count(some))
 
 
 def _arrays(vector: Vector) -> tuple[np.ndarray, np.ndarray]:
@@ -201,13 +261,49 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
+def _families(starts: np.ndarray, examples: np.ndarray, weights: np.ndarray, n: int, most: int = 8, common: int = 1_024) -> np.ndarray:
+    """Examples by likeness over the commonest terms (spherical k-means from far-off seeds), such as by language; it decides speed only."""
+    chosen = np.argsort(starts[:-1] - starts[1:], kind="stable")[:common]
+    met = starts[chosen + 1] - starts[chosen]
+    rows, posting = np.zeros((n, len(chosen)), np.float32), _ranges(starts[chosen], met)
+    rows[examples[posting], np.repeat(np.arange(len(chosen)), met)] = weights[posting]
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+
+    rows = unit(rows)
+    seeds, near = [0], rows @ rows[0]
+    while len(seeds) < min(most, n):
+        seeds.append(int(near.argmin()))
+        near = np.maximum(near, rows @ rows[seeds[-1]])
+    centres = rows[seeds]
+    for _ in range(6):
+        family = (rows @ centres.T).argmax(axis=1)
+        centres = unit(np.stack([rows[family == f].sum(axis=0) for f in range(len(centres))]))
+    return family
+
+
+SHARED = 8
+"""A term is laid out in the matrix of a family where more than one of so many examples has it."""
+
+
+@dataclass
+class Shelf:
+    """Matrix of one family: weights by block, place of each of its commonest terms and example, and the largest weights by
+    place and block. ``first`` is the family's first block."""
+
+    first: int
+    weights: np.ndarray
+    largest: np.ndarray
+
+
 @dataclass
 class BlockMaxIndex:
-    """Postings by term and block of ``size`` examples, with the largest weight of each term in each block.
+    """Postings by term, and blocks of ``size`` examples with the largest weight of each common term in each block.
 
-    Term t has the entries ``starts[t]`` to ``starts[t + 1]``, one for each block that it stands in; entry e has the
-    postings ``first[e]`` to ``first[e + 1]``. ``unknown`` is the IDF of a term that no example has. Up to ``dense`` terms
-    that most examples share are also laid out as a matrix by block, for many texts at a time.
+    Term t has the postings ``starts[t]`` to ``starts[t + 1]``. ``unknown`` is the IDF of a term that no example
+    has. ``families`` are where blocks of similar examples end. Up to ``dense`` terms that most examples of a family share are
+    also laid out as its matrix by block, for many texts at a time. Of equal cosines the smaller ``rank`` comes first.
     """
 
     vocabulary: Mapping[str, int]
@@ -215,45 +311,41 @@ class BlockMaxIndex:
     unknown: float
     ids: np.ndarray
     labels: np.ndarray
+    rank: np.ndarray
+    families: np.ndarray
     size: int
     starts: np.ndarray
-    blocks: np.ndarray
-    largest: np.ndarray
-    first: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
     dense: int = 1_024
     _reader: Reader | None = field(default=None, repr=False)
-    _parts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+    _parts: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Shelf]] | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, vectors: Sequence[Vector], ids: Sequence[int], labels: Sequence[int], vocabulary: Mapping[str, int], idf: np.ndarray, size: int = 32, unknown: float = 0.0, dense: int = 1_024) -> BlockMaxIndex:
-        """Examples with the same strongest term stand together, which keeps the bounds tight."""
+        """Examples of one family, and in it those with the same strongest term, stand together, which keeps the bounds tight."""
         pairs = [_arrays(v) for v in vectors]
         strongest = [(int(t[at]), float(w[at])) if len(t) and (at := np.lexsort((t, w))[-1]) >= 0 else (-1, 0.0) for t, w in pairs]
         order = sorted(range(len(ids)), key=lambda i: (labels[i], strongest[i][0], -strongest[i][1], ids[i]))
         lengths = [len(pairs[i][0]) for i in order]
         term = np.concatenate([np.zeros(0, np.int32), *(pairs[i][0].astype(np.int32) for i in order)])
         by_term = np.argsort(term, kind="stable").astype(np.int32)
-        term = term[by_term]
+        starts = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1)).astype(np.int32)
+        del term
         examples = np.repeat(np.arange(len(order), dtype=np.int32), lengths)[by_term]
         weights = np.concatenate([np.zeros(0), *(pairs[i][1] for i in order)])[by_term]
         del pairs, by_term
-        block = examples // size
-        head = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
-        largest = np.maximum.reduceat(weights, head) if len(head) else np.zeros(0)
-        starts = np.searchsorted(term[head], np.arange(len(vocabulary) + 1)).astype(np.int32)
-        first = np.append(head, len(term)).astype(np.int32)
-        return cls(vocabulary, idf, unknown, np.array([ids[i] for i in order], dtype=np.int64), np.array([labels[i] for i in order], dtype=np.int64), size, starts, block[head], largest, first, examples, weights, dense)
+        family = _families(starts, examples, weights, len(order))
+        rank = np.argsort(family, kind="stable")
+        place = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.int32)
+        place[rank] = np.arange(len(order))
+        # A block on a border goes to the family of its middle example.
+        middles = np.minimum(np.arange(size // 2, len(order) + size // 2, size), len(order) - 1)
+        families = np.unique(np.searchsorted(family[rank][middles], np.arange(family.max() + 1), side="right"))
+        return cls(vocabulary, idf, unknown, np.array([ids[order[i]] for i in rank], dtype=np.int64), np.array([labels[order[i]] for i in rank], dtype=np.int64), rank, families[families > 0], size, starts, place[examples], weights, dense)
 
     def __getstate__(self) -> dict:
-        """Without what the rest tells: ``blocks`` and ``largest`` follow from the postings."""
-        return self.__dict__ | {"_reader": None, "_parts": None, "blocks": None, "largest": None}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.blocks = self.examples[self.first[:-1]] // self.size
-        self.largest = np.maximum.reduceat(self.weights, self.first[:-1]) if len(self.weights) else np.zeros(0)
+        return self.__dict__ | {"_reader": None, "_parts": None}
 
     def forget(self) -> None:
         """Free what was worked out for searching; it is worked out again where it is needed."""
@@ -268,23 +360,33 @@ class BlockMaxIndex:
         """Terms of the vocabulary and their weights in the unit TF-IDF vector of all terms; empty where none is known."""
         return unit_vector(*self.reader().read(text), self.idf, self.unknown)
 
-    def _dense_parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of each of the terms with the most postings, -1 for others; their weights by block, and the block maxima."""
+    def vectors(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``vector`` of each text."""
+        return [v for x in self.reader().read_all(texts) for v in unit_vectors(*x, self.idf, self.unknown)]
+
+    def _dense_parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Shelf]]:
+        """Starts, examples and weights of the postings that no matrix has, each term's place in the matrix of each family, -1
+        where it has none, and the matrices."""
         if self._parts is None:
-            blocks = -(-len(self.ids) // self.size)
-            met = self.first[self.starts[1:]] - self.first[self.starts[:-1]]
-            chosen = np.argsort(-met, kind="stable")[: self.dense]
-            chosen = np.sort(chosen[met[chosen] > len(self.ids) / 32])
-            slot = np.full(len(met), -1)
-            slot[chosen] = np.arange(len(chosen))
-            weights = np.zeros((blocks, len(chosen), self.size))
-            posting = _ranges(self.first[self.starts[chosen]], met[chosen])
-            example = self.examples[posting]
-            weights[example // self.size, np.repeat(np.arange(len(chosen)), met[chosen]), example % self.size] = self.weights[posting]
-            largest = np.zeros((len(chosen), blocks))
-            entry = _ranges(self.starts[chosen], self.starts[chosen + 1] - self.starts[chosen])
-            largest[np.repeat(np.arange(len(chosen)), self.starts[chosen + 1] - self.starts[chosen]), self.blocks[entry]] = self.largest[entry]
-            self._parts = slot, weights, largest
+            met, shelves = np.diff(self.starts), []
+            term = np.repeat(np.arange(len(met), dtype=np.int32), met)
+            laid = np.zeros(len(term), bool)
+            slots = np.full((len(met), len(self.families)), -1, np.int16 if self.dense < 1 << 15 else np.int32)
+            for f, (a, z) in enumerate(zip(np.append(0, self.families), self.families, strict=False)):
+                posting = np.flatnonzero((self.examples >= a * self.size) & (self.examples < z * self.size)).astype(np.int32)
+                common = np.bincount(term[posting], minlength=len(met))
+                chosen = np.argsort(-common, kind="stable")[: self.dense]
+                chosen = np.sort(chosen[common[chosen] > (z - a) * self.size / SHARED])
+                slots[chosen, f] = np.arange(len(chosen))
+                posting = posting[slots[term[posting], f] >= 0]
+                laid[posting] = True
+                example, at = self.examples[posting] - a * self.size, slots[term[posting], f]
+                weights = np.zeros((z - a, len(chosen), self.size))
+                weights[example // self.size, at, example % self.size] = self.weights[posting]
+                shelves.append(Shelf(int(a), weights, np.ascontiguousarray(weights.max(axis=2, initial=0.0).T)))
+            starts = np.append(0, np.cumsum(met - np.bincount(term[laid], minlength=len(met))))
+            del term
+            self._parts = starts, self.examples[~laid], self.weights[~laid], slots, shelves
         return self._parts
 
     def nearest(self, vector: Vector, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -298,36 +400,40 @@ class BlockMaxIndex:
         examples over all others, whose few postings are added up outright. The blocks of the largest bounds are opened
         first, then those whose bound still reaches the k-th cosine.
         """
-        slot, weights, largest = self._dense_parts()
+        starts, examples, weights, slots, shelves = self._dense_parts()
         blocks, width = -(-len(self.ids) // self.size), -(-len(self.ids) // self.size) * self.size
-        dense, rest = np.zeros((len(vectors), len(largest))), np.zeros((len(vectors), width))
-        for i, vector in enumerate(vectors):
-            term, weight = _arrays(vector)
-            at = slot[term]
-            other = at < 0
-            dense[i, at[~other]] = weight[~other]
-            term, weight = term[other], weight[other]
-            # In the order of the postings, which are then read from one end to the other.
-            order = np.argsort(term)
-            term, weight = term[order], weight[order]
-            begin = self.first[self.starts[term]]
-            n = self.first[self.starts[term + 1]] - begin
-            posting = _ranges(begin, n)
-            product = self.weights[posting]
-            product *= np.repeat(weight, n)
-            rest[i] = np.bincount(self.examples[posting], product, width)
-        bounds = dense @ largest + rest.reshape(len(vectors), blocks, self.size).max(axis=2)
+        rest = np.zeros((len(vectors), width))
+        pairs = [_arrays(v) for v in vectors]
+        row = np.repeat(np.arange(len(pairs)), [len(t) for t, _ in pairs])
+        term, weight = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs, strict=True))
+        begin = starts[term]
+        sizes = starts[term + 1] - begin
+        ends = np.searchsorted(row, np.arange(len(pairs) + 1)).tolist()
+        for i, (a, z) in enumerate(zip(ends, ends[1:], strict=False)):
+            posting = _ranges(begin[a:z], sizes[a:z])
+            product = weights[posting]
+            product *= np.repeat(weight[a:z], sizes[a:z])
+            rest[i] = np.bincount(examples[posting], product, width)
+        bounds = rest.reshape(len(vectors), blocks, self.size).max(axis=2)
+        place, dense = slots[term].T, []
+        for shelf, at in zip(shelves, place, strict=True):
+            on = np.flatnonzero(at >= 0)
+            dense.append(np.zeros((len(vectors), len(shelf.largest))))
+            dense[-1][row[on], at[on]] = weight[on]
+            bounds[:, shelf.first : shelf.first + len(shelf.weights)] += dense[-1] @ shelf.largest
         scores = np.zeros((len(vectors), width))
 
         def open_(mask: np.ndarray) -> None:
-            for block in np.flatnonzero(mask.any(axis=0)):
-                who, at = np.flatnonzero(mask[:, block]), slice(block * self.size, (block + 1) * self.size)
-                scores[who, at] = dense[who] @ weights[block] + rest[who, at]
+            for shelf, given in zip(shelves, dense, strict=True):
+                for block, matrix in enumerate(shelf.weights, shelf.first):
+                    who, at = np.flatnonzero(mask[:, block]), slice(block * self.size, (block + 1) * self.size)
+                    if len(who):
+                        scores[who, at] = given[who] @ matrix + rest[who, at]
             for i, place in enumerate(skip or []):
                 if place is not None:
                     scores[i, place] = 0.0
 
-        few = min(blocks, -(-k // self.size) + 1)
+        few = min(blocks, 3 * -(-k // self.size) + 3)
         first = np.zeros(bounds.shape, bool)
         best = np.argpartition(-bounds, few - 1, axis=1)[:, :few]
         np.put_along_axis(first, best, True, axis=1)
@@ -343,20 +449,27 @@ class BlockMaxIndex:
             hit = np.flatnonzero((row > 0) & (row >= enough))
             if len(hit) > k:
                 hit = hit[row[hit] >= np.partition(row[hit], len(hit) - k)[len(hit) - k]]
-            near = hit[np.lexsort((hit, -row[hit]))[:k]]
+            near = hit[np.lexsort((self.rank[hit], -row[hit]))[:k]]
             out.append((near, row[near]))
         return out
 
 
 def unit_vector(place: np.ndarray, counts: np.ndarray, idf: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
     """Known terms and their weights; terms that no example has count in the norm, with the IDF ``unknown``."""
+    return unit_vectors(place, counts, np.array([0, len(place)]), idf, unknown)[0]
+
+
+def unit_vectors(place: np.ndarray, counts: np.ndarray, cuts: np.ndarray, idf: np.ndarray, unknown: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``unit_vector`` of each text that begins at a cut; the last cut is the end."""
     known = place < len(idf)
-    if not known.any():
-        return np.zeros(0, np.int64), np.zeros(0)
     weight = np.full(len(place), unknown)
     weight[known] = idf[place[known]]
     raw = (1 + np.log(counts)) * weight
-    return place[known], raw[known] / math.sqrt(raw @ raw)
+    cuts = cuts.tolist()
+    # A text without terms divides by 1.
+    raw /= np.repeat([math.sqrt(raw[a:z] @ raw[a:z]) or 1.0 for a, z in zip(cuts, cuts[1:], strict=False)], np.diff(cuts))
+    place, raw, ends = place[known], raw[known], np.append(0, np.cumsum(known))[cuts].tolist()
+    return [(place[a:z], raw[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
 
 
 @dataclass
@@ -378,13 +491,13 @@ class NearestExamples:
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         return self.score_all([text])[0]
 
-    def score_all(self, texts: Sequence[str], together: int = 128) -> list[tuple[float, list[tuple[int, int, float]]]]:
+    def score_all(self, texts: Sequence[str], together: int = 256) -> list[tuple[float, list[tuple[int, int, float]]]]:
         """Score and evidence of each text; equal texts are scored once."""
         distinct = list(dict.fromkeys(texts))
         found: dict[str, tuple[float, list[tuple[int, int, float]]]] = {}
         for a in range(0, len(distinct), together):
             some = distinct[a : a + together]
-            vectors = [self.index.vector(t) for t in some]
+            vectors = self.index.vectors(some)
             for text, vector, (places, cosines) in zip(some, vectors, self.index.nearest_of(vectors, self.k), strict=True):
                 if not len(vector[0]):
                     found[text] = self.unknown, []
@@ -442,9 +555,11 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = 4_000, k: int
         for batch in batches:
             rows += len(batch)
             for a in range(0, len(batch), TOGETHER):
-                for text, times in Counter(_texts(batch.column(0), a)).items():
-                    found = reader.read(text)[0]
-                    count[found[found < reader.size]] += times
+                met = Counter(_texts(batch.column(0), a))
+                times = iter(met.values())
+                for found, _, cuts in reader.read_all(list(met)):
+                    known = found < reader.size
+                    np.add.at(count, found[known], np.repeat(list(islice(times, len(cuts) - 1)), np.diff(cuts))[known])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, np.flatnonzero(count)), pa.int32()), pa.array(np.append(rows, count[count > 0]), pa.int64())], ["term", "n"])
 
     df = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -487,7 +602,7 @@ def _fit(index: BlockMaxIndex, k: int, share: float) -> NearestExamples:
     """Calibrate on each example's vote without itself, with both labels weighed back to their share."""
     model = NearestExamples(index, k, share, 0.0, 0.0, share)
     weight = np.where(index.labels == 1, share / max(1, (index.labels == 1).sum()), (1 - share) / max(1, (index.labels == 0).sum())) * len(index.ids)
-    term = np.repeat(np.repeat(np.arange(len(index.vocabulary), dtype=np.int32), np.diff(index.starts)), np.diff(index.first))
+    term = np.repeat(np.arange(len(index.vocabulary), dtype=np.int32), np.diff(index.starts))
     order = np.argsort(index.examples, kind="stable").astype(np.int32)
     ends = np.searchsorted(index.examples[order], np.arange(len(index.ids) + 1))
     own = [order[a:z] for a, z in zip(ends, ends[1:], strict=False)]

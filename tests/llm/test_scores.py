@@ -84,6 +84,61 @@ def test_texts_are_read_as_their_terms_say(documents):
             assert all(p >= reader.size for p in got)
 
 
+def test_many_texts_are_read_together(documents, monkeypatch):
+    """Short texts are hashed side by side, as many as fit a stretch, and read as each alone."""
+    texts = [t or "" for t in documents.toPandas()["text"][:100]] + ["", "", " . ", "\U00010400bcdefgh wordsworth", "Word words, words; WORDS wordy", "ΑΣ", "Σ", "long words " * 2_000, "a"]
+    known = toxicity.Terms(sorted({t for x in texts[::2] for t in toxicity.terms(x)}))
+    made, hashes = [], toxicity.Hashes
+    monkeypatch.setattr(toxicity, "Hashes", lambda text: made.append(text) or hashes(text))
+    for stretch, most in ((50, 10**6), (50_000, 30)):
+        reader = toxicity.Reader(known, stretch)
+        alone = [reader.read(t) for t in texts]
+        made.clear()
+        got = [(place[a:z], counts[a:z]) for place, counts, cuts in reader.read_all(texts) for a, z in zip(cuts, cuts[1:], strict=False)]
+        assert len(made) < most
+        assert len(got) == len(alone)
+        for (place, counts), (wanted, met) in zip(got, alone, strict=True):
+            assert (np.where(place < reader.size, place, -1) == np.where(wanted < reader.size, wanted, -1)).all()
+            assert (counts == met).all() and len(set(place.tolist())) == len(place)
+
+
+def test_terms_that_a_family_shares_are_added_up_by_matrix(monkeypatch):
+    """Eight languages without a common word: one of 32 examples has a word, a quarter of those of its language."""
+    draw = np.random.default_rng(7)
+    languages, each, words = 8, 64, 40
+    vectors, ids = [], []
+    for i in range(languages * each):
+        chosen = draw.choice(words, 10, replace=False) + words * (i % languages)
+        raw = draw.random(10) + 0.1
+        vectors.append({int(t): float(x) for t, x in zip(chosen, raw / np.linalg.norm(raw), strict=True)})
+        ids.append(1_000 + i)
+    terms = languages * words
+    index = toxicity.BlockMaxIndex.build(vectors, ids, [i // 8 % 2 for i in range(len(ids))], {str(t): t for t in range(terms)}, np.ones(terms), size=16)
+    assert index.families[-1] == 32 and len(index.families) == languages
+    table = np.zeros((len(ids), terms))
+    for i, v in enumerate(vectors):
+        table[i, list(v)] = list(v.values())
+    index.nearest_of(vectors[:1], 5)
+    added, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: added.append(len(x)) or bincount(x, *a, **k))
+    found = index.nearest_of(vectors, 5)
+    monkeypatch.undo()
+    postings = sum(int((table[:, list(v)] > 0).sum()) for v in vectors)
+    assert sum(added) < postings / 10
+    for i, (places, cosines) in enumerate(found):
+        assert np.allclose(cosines, np.sort(table @ table[i])[::-1][:5])
+        assert np.allclose(table[index.ids[places] - 1_000] @ table[i], cosines)
+
+
+def test_of_equal_cosines_the_smaller_rank_comes_first():
+    """Copies stand in several blocks; without a label, they are taken by their ids."""
+    vectors = [{0: 1.0}] * 100 + [{1: 0.6, 2: 0.8}] * 50
+    index = toxicity.BlockMaxIndex.build(vectors, list(range(150)), [int(i % 3 == 0) for i in range(150)], {"a": 0, "b": 1, "c": 2}, np.ones(3), size=16)
+    for query, members in (({0: 1.0}, range(100)), ({1: 1.0}, range(100, 150))):
+        wanted = sorted(members, key=lambda i: (i % 3 == 0, i))[:40]
+        assert index.ids[index.nearest(query, 40)[0]].tolist() == wanted
+
+
 def test_whole_scores_by_brute_force(spark, documents, labels):
     """Every step again in plain Python: document frequencies, correlation, cosines, votes and the calibrated curve."""
     model = toxicity.train(documents, labels.filter(~held_out()), max_examples=200)
