@@ -20,6 +20,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -351,6 +352,13 @@ class BlockMaxIndex:
         """Free what was worked out for searching; it is worked out again where it is needed."""
         self._reader = self._parts = None
 
+    def only_search(self) -> BlockMaxIndex:
+        """Lay out what searching needs and let go of the postings, as a task may that scores alone."""
+        if self._parts is None:
+            self._dense_parts()
+            self.examples, self.weights = self.examples[:0], self.weights[:0]
+        return self
+
     def reader(self) -> Reader:
         if self._reader is None:
             self._reader = Reader(self.vocabulary)
@@ -385,7 +393,7 @@ class BlockMaxIndex:
                 weights[example // self.size, at, example % self.size] = self.weights[posting]
                 shelves.append(Shelf(int(a), weights, np.ascontiguousarray(weights.max(axis=2, initial=0.0).T)))
             starts = np.append(0, np.cumsum(met - np.bincount(term[laid], minlength=len(met))))
-            del term
+            del term, posting, example, at
             self._parts = starts, self.examples[~laid], self.weights[~laid], slots, shelves
         return self._parts
 
@@ -491,7 +499,7 @@ class NearestExamples:
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         return self.score_all([text])[0]
 
-    def score_all(self, texts: Sequence[str], together: int = 256) -> list[tuple[float, list[tuple[int, int, float]]]]:
+    def score_all(self, texts: Sequence[str], together: int = 128) -> list[tuple[float, list[tuple[int, int, float]]]]:
         """Score and evidence of each text; equal texts are scored once."""
         distinct = list(dict.fromkeys(texts))
         found: dict[str, tuple[float, list[tuple[int, int, float]]]] = {}
@@ -620,6 +628,15 @@ def _fit(index: BlockMaxIndex, k: int, share: float) -> NearestExamples:
     return model
 
 
+def _for_scores(shared: Broadcast) -> NearestExamples | None:
+    """A task's own copy, made smaller; what the worker's earlier tasks have freed goes back to the system first."""
+    give_back()
+    if shared.value:
+        shared.value.index.only_search()
+        give_back()
+    return shared.value
+
+
 def score(docs: DataFrame, model: NearestExamples | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, evidence) of every whole text: the probability of label 1, and the three nearest examples.
 
@@ -629,7 +646,7 @@ def score(docs: DataFrame, model: NearestExamples | None, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, kind = shared.value, pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+        model, kind = _for_scores(shared), pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
             found = [x for a in range(0, len(batch), TOGETHER) for x in model.score_all(_texts(batch.column(1), a))] if model else [(0.0, [])] * len(batch)
             evidence = pa.array([[dict(zip(("example", "label", "cosine"), e, strict=True)) for e in x] for _, x in found], kind)
@@ -645,7 +662,7 @@ def keep(docs: DataFrame, model: NearestExamples | None, below: float, text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = _for_scores(shared)
         for batch in batches:
             texts = batch.column(text_col)
             yield batch.filter(pa.array([p < below for a in range(0, len(batch), TOGETHER) for p, _ in model.score_all(_texts(texts, a))], pa.bool_()))

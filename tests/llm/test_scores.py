@@ -2,6 +2,7 @@
 
 import dataclasses
 import math
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -130,6 +131,18 @@ def test_terms_that_a_family_shares_are_added_up_by_matrix(monkeypatch):
         assert np.allclose(table[index.ids[places] - 1_000] @ table[i], cosines)
 
 
+def test_a_task_keeps_what_searching_needs_only():
+    draw = np.random.default_rng(9)
+    vectors = [{int(t): float(x) for t, x in zip(draw.choice(90, 5, replace=False), draw.random(5) + 0.1, strict=True)} for _ in range(200)]
+    index = toxicity.BlockMaxIndex.build(vectors, list(range(200)), [i % 2 for i in range(200)], {str(t): t for t in range(90)}, np.ones(90), size=16)
+    task = pickle.loads(pickle.dumps(index))
+    for _ in range(2):
+        task.only_search()
+        assert not len(task.examples) and not len(task.weights)
+        for one, two in zip(index.nearest_of(vectors, 7), task.nearest_of(vectors, 7), strict=True):
+            assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
+
+
 def test_of_equal_cosines_the_smaller_rank_comes_first():
     """Copies stand in several blocks; without a label, they are taken by their ids."""
     vectors = [{0: 1.0}] * 100 + [{1: 0.6, 2: 0.8}] * 50
